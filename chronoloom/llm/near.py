@@ -237,11 +237,11 @@ def rest_pairs(members: DataFrame, parts: DataFrame, classes: DataFrame, scratch
     sizes = told.groupBy("bk", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bk").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"))
     mixed = told.join(main.where("parts > 1"), "bk").join(classes.select("fp", "sig"), "fp")
-    blocks, chunks = F.expr(f"1 + g div {BLOCK}"), F.expr(f"1 + rest div {BLOCK}")
+    blocks, chunks = F.expr(f"cast(g div {BLOCK} as int)"), F.expr(f"cast(rest div {BLOCK} as int)")
     block = F.expr(f"cast(pmod(xxhash64(fp, 1), 1 + g div {BLOCK}) as int)")
     chunk = F.expr(f"cast(pmod(xxhash64(fp, 2), 1 + rest div {BLOCK}) as int)")
-    all_ = mixed.select("bk", "fp", "g", "component", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).cast("int").alias("chunk"))
-    out = mixed.where("component <> main").select("bk", "fp", "g", "component", "sig", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).cast("int").alias("block"), chunk.alias("chunk"))
+    all_ = mixed.select("bk", "fp", "g", "component", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"))
+    out = mixed.where("component <> main").select("bk", "fp", "g", "component", "sig", F.explode(F.sequence(F.lit(0), blocks)).alias("block"), chunk.alias("chunk"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got: list[tuple] = []
