@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of a UTF-8 text to bytes of words: A-Z lower-cased, 0-9, a-z and every
 #: non-ASCII byte kept, all other ASCII a space. ``translate(...).split()`` gives
@@ -62,7 +63,14 @@ class Scratch:
     def write(self, df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
         path = self.path(name)
         df.write.options(**(options or {})).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return self._read(path, df.schema)
+
+    def again(self, df: DataFrame) -> DataFrame:
+        """The same table, as another frame to join it with."""
+        return self._read(df._scratch_path, df.schema)
+
+    def _read(self, path: str, schema: StructType) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 

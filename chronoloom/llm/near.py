@@ -108,29 +108,31 @@ def sketch(rows: DataFrame, *, hashes: int, shingle: int = 5) -> DataFrame:
 
 
 def band_members(classes: DataFrame, scratch: Scratch, *, bands: int, rows: int) -> DataFrame:
-    """Of classes (fp, sig): (bk, fp, g, hubs) for each bucket of at least two, with its size and a few hubs."""
+    """Of classes (fp, sig): (bk, fp, g) for each bucket of at least two, with its size."""
     width = 4 * rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(bands)])
     banded = classes.select("fp", F.explode(keys).alias("bk"))
-    part = F.pmod(F.xxhash64("fp"), F.lit(HUBS))
-    sizes = (
-        banded.groupBy("bk")
-        .agg(F.count("*").alias("g"), *[F.min(F.when(part == i, F.xxhash64("fp"))).alias(f"h{i}") for i in range(HUBS)])
-        .where("g > 1")
-    )
-    hubs = F.when(F.col("g") > SMALL_BUCKET, F.array_compact(F.array(*[f"h{i}" for i in range(HUBS)])))
-    return scratch.write(banded.join(sizes.select("bk", "g", hubs.alias("hubs")), "bk"), "members")
+    sizes = banded.groupBy("bk").agg(F.count("*").alias("g")).where("g > 1")
+    return scratch.write(banded.join(sizes, "bk"), "members")
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct (a, b, g): all pairs of small buckets; hub and member in large ones."""
+def candidate_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (a, b, g): all pairs of small buckets; hub and member in large ones. The hubs of a
+    bucket are the members of smallest hash in each of a few parts."""
     small = members.where(F.col("g") <= SMALL_BUCKET).groupBy("bk").agg(F.array_sort(F.collect_list("fp")).alias("l"))
     pair = F.expr(
         "flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> named_struct('a', x, 'b', y))))"
     )
     near = small.select(F.explode(pair).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("g"))
+    part, rank = F.pmod(F.xxhash64("fp"), F.lit(HUBS)), F.struct(F.xxhash64("fp").alias("h"), "fp")
+    heads = (
+        scratch.again(members)
+        .where(F.col("g") > SMALL_BUCKET)
+        .groupBy("bk", part.alias("part"))
+        .agg(F.min(rank).alias("head"))
+        .select(F.col("bk").alias("hb"), F.col("head.fp").alias("a"))
+    )
     large = members.where(F.col("g") > SMALL_BUCKET)
-    heads = large.where(F.array_contains("hubs", F.xxhash64("fp"))).select(F.col("bk").alias("hb"), F.col("fp").alias("a"))
     star = large.join(heads, large["bk"] == heads["hb"]).where("a <> fp").select("a", F.col("fp").alias("b"), "g")
     return near.unionByName(star).groupBy("a", "b").agg(F.max("g").alias("g"))
 
@@ -236,12 +238,12 @@ def rest_pairs(members: DataFrame, parts: DataFrame, classes: DataFrame, scratch
     told = scratch.write(told, "told")
     sizes = told.groupBy("bk", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bk").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"))
-    mixed = told.join(main.where("parts > 1"), "bk").join(classes.select("fp", "sig"), "fp")
+    mixed = scratch.write(told.join(main.where("parts > 1"), "bk").join(classes.select("fp", "sig"), "fp"), "mixed")
     blocks, chunks = F.expr(f"cast(g div {BLOCK} as int)"), F.expr(f"cast(rest div {BLOCK} as int)")
     block = F.expr(f"cast(pmod(xxhash64(fp, 1), 1 + g div {BLOCK}) as int)")
     chunk = F.expr(f"cast(pmod(xxhash64(fp, 2), 1 + rest div {BLOCK}) as int)")
     all_ = mixed.select("bk", "fp", "g", "component", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"))
-    out = mixed.where("component <> main").select("bk", "fp", "g", "component", "sig", F.explode(F.sequence(F.lit(0), blocks)).alias("block"), chunk.alias("chunk"))
+    out = scratch.again(mixed).where("component <> main").select("bk", "fp", "g", "component", "sig", F.explode(F.sequence(F.lit(0), blocks)).alias("block"), chunk.alias("chunk"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got: list[tuple] = []
@@ -270,7 +272,7 @@ class NearLinks:
             self.sketches.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes"
         )
         members = band_members(self.classes, scratch, bands=bands, rows=band_rows)
-        links = self._links(rows, candidate_pairs(members), rule, threshold, shingle, similar)
+        links = self._links(rows, candidate_pairs(members, scratch), rule, threshold, shingle, similar)
         self.parts = components(links, scratch)
         if not members.where(F.col("g") > SMALL_BUCKET).isEmpty():
             rest = scratch.write(rest_pairs(members, self.parts, self.classes, scratch, rule), "rest")
