@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_folder, table
 from .decontamination import contamination_report
 from .exact_dedup import find_exact_copies
+from .html_text import extract_text
+from .lang_crf import predict_languages, train_languages
+from .lm_score import cross_entropy_difference
 from .near_join import near_classes
 from .packing import pack
+from .paragraphs import find_repeats
+from .token_store import write_training_order
 from .toxicity import score_severity, train_severity
 
 
@@ -18,10 +24,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of quality 1; background: all documents."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_training_order(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, train_languages(docs)).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+
+
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_severity(docs, train_severity(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +56,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_exact_copies(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -38,7 +67,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_decontamination, op5_near_join, op7_toxicity, op8_packing, op10_exact_dedup)
+        for f in (
+            op1_decontamination,
+            op2_lm_score,
+            op3_token_store,
+            op4_language_id,
+            op5_near_join,
+            op6_paragraphs,
+            op7_toxicity,
+            op8_packing,
+            op9_html_text,
+            op10_exact_dedup,
+        )
     }
 
 
