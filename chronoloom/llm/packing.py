@@ -9,8 +9,11 @@ the last one is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,30 +36,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Token ids, as little-endian unsigned 32-bit values, of whole texts. The tokenizer never
-    joins what white space separates, so each chunk between spaces is encoded once and remembered."""
+#: A punctuation mark between an ASCII letter and white space: the tokenizer separates it from both.
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=\s|\Z)")
+
+
+class _Chunks(dict):
+    """The ids of a chunk of text, as bytes; at most ``most`` are remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.plain = _plain_letters(path)
         self.most = most
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.plain and chunk.isalpha():  # one word, which normalisation and splitting leave as it is
+            ids = [t.id for t in self.tokenizer.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(self) < self.most:
+            self[chunk] = out
+        return out
+
+
+def _plain_letters(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits letters from the rest."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    kinds = {x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])}
+    splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return "Lowercase" in kinds and bool(splits) and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
+
+
+class Encoder:
+    """Token ids, as little-endian unsigned 32-bit values, of whole texts, for tokenizers that
+    lower-case, drop white space and split punctuation from letters: what stands between spaces, or is
+    a mark after a letter, is encoded once and remembered."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.known = _Chunks(path, most)
+        if not self.known.plain:
+            raise ValueError(f"{path} doesn't lower-case and drop white space; its ids depend on more than chunks")
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list({c for chunks in split for c in chunks})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[chunk] = b"".join(i.to_bytes(WIDTH, "little") for i in found.ids)
         known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [b"".join([known[c] for c in _MARK.sub(rb" \g<0>", t.lower()).split()]) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)
