@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import mean, total
+from .vectors import let, mean, total
 
 #: Samples a second, for features that have a time axis.
 FS = 100.0
@@ -30,13 +30,13 @@ def _count(x: Column) -> Column:
 
 
 def _moment(x: Column, m: Column, k: int) -> Column:
-    def power(v: Column) -> Column:
+    def power(v: Column, m: Column) -> Column:
         out = v - m
         for _ in range(k - 1):
             out = out * (v - m)
         return out
 
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + power(v)) / F.nullif(F.size(x), F.lit(0))
+    return let(m, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + power(v, m))) / F.nullif(F.size(x), F.lit(0))
 
 
 def _runs_entropy(s: Column, n: Column) -> Column:
@@ -78,18 +78,23 @@ def _slope(v: Column, n: Column) -> Column:
     return top / F.nullif(n.cast("double") * (n.cast("double") * n - 1) / 12.0, F.lit(0.0))
 
 
+def _median_deviation(c: dict[str, Column]) -> Column:
+    apart = let(_quantile(c["s"], c["n"], 0.5), lambda m: F.array_sort(F.transform(c["v"], lambda x: F.abs(x - m))))
+    return let(apart, lambda s: _quantile(s, c["n"], 0.5))
+
+
 #: Of the prepared columns v (values), n, s (sorted), m (mean), d (differences), ds (sorted differences), q (sum of squares) and var.
 FEATURES: dict[str, Callable[[dict[str, Column]], Column]] = {
     "0_Interquartile range": lambda c: _quantile(c["s"], c["n"], 0.75) - _quantile(c["s"], c["n"], 0.25),
     "0_Kurtosis": lambda c: _moment(c["v"], c["m"], 4) / F.nullif(c["var"] * c["var"], F.lit(0.0)) - 3,
     "0_Max": lambda c: F.get(c["s"], c["n"] - 1),
     "0_Mean": lambda c: c["m"],
-    "0_Mean absolute deviation": lambda c: mean(F.transform(c["v"], lambda x: F.abs(x - c["m"]))),
+    "0_Mean absolute deviation": lambda c: let(c["m"], lambda m: mean(F.transform(c["v"], lambda x: F.abs(x - m)))),
     "0_Mean absolute diff": lambda c: mean(F.transform(c["d"], F.abs)),
     "0_Mean diff": lambda c: mean(c["d"]),
     "0_Median": lambda c: _quantile(c["s"], c["n"], 0.5),
-    "0_Median absolute deviation": lambda c: _quantile(F.array_sort(F.transform(c["v"], lambda x: F.abs(x - _quantile(c["s"], c["n"], 0.5)))), c["n"], 0.5),
-    "0_Median absolute diff": lambda c: _quantile(F.array_sort(F.transform(c["d"], F.abs)), c["n"] - 1, 0.5),
+    "0_Median absolute deviation": lambda c: _median_deviation(c),
+    "0_Median absolute diff": lambda c: let(F.array_sort(F.transform(c["d"], F.abs)), lambda s: _quantile(s, c["n"] - 1, 0.5)),
     "0_Median diff": lambda c: _quantile(c["ds"], c["n"] - 1, 0.5),
     "0_Min": lambda c: F.get(c["s"], 0),
     "0_Skewness": lambda c: _moment(c["v"], c["m"], 3) / F.nullif(F.pow(c["var"], F.lit(1.5)), F.lit(0.0)),
@@ -123,10 +128,13 @@ def prepare(series: DataFrame, values: str = "values") -> tuple[DataFrame, dict[
     v, n = F.col(values), F.col("__n")
     df = series.withColumn("__n", F.size(values))
     df = df.withColumns({"__s": F.array_sort(v), "__m": mean(v), "__q": _squares(v), "__d": F.zip_with(F.slice(v, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(v, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)})
-    low, high = F.get("__s", F.lit(0)), F.get("__s", n - 1)
-    bins = F.when(low == high, F.transform(v, lambda x: F.lit(5))).otherwise(
-        F.transform(v, lambda x: F.least(F.floor((x - low) * 10 / F.nullif(high - low, F.lit(0.0))).cast("int"), F.lit(9)))
-    )
+    ends = F.struct(F.get("__s", F.lit(0)).alias("low"), F.get("__s", n - 1).alias("high"))
+
+    def binned(e: Column) -> Column:
+        place = lambda x: F.least(F.floor((x - e["low"]) * 10 / F.nullif(e["high"] - e["low"], F.lit(0.0))).cast("int"), F.lit(9))
+        return F.when(e["low"] == e["high"], F.transform(v, lambda x: F.lit(5))).otherwise(F.transform(v, place))
+
+    bins = let(ends, binned)
     df = df.withColumns({"__ds": F.array_sort("__d"), "__var": _moment(v, F.col("__m"), 2), "__bins": bins})
     return df, {"v": v} | {k: F.col(f"__{k}") for k in ("n", "s", "m", "q", "d", "ds", "var", "bins")}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column | str) -> Column:
     return F.aggregate(_col(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -20,11 +27,16 @@ def mean(x: Column | str) -> Column:
     return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(total(x) / F.size(x))
 
 
+def squares_about(x: Column | str, centre: Column) -> Column:
+    x = _col(x)
+    return let(centre, lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
+
+
 def stddev(x: Column | str, ddof: int = 0) -> Column:
     """0 where there are no more than ``ddof`` values."""
     x = _col(x)
-    n, m = F.size(x), mean(x)
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+    n = F.size(x)
+    square = squares_about(x, mean(x))
     return F.when(n <= ddof, F.lit(0.0)).otherwise(F.sqrt(square / F.nullif(n - ddof, F.lit(0))))
 
 
@@ -101,10 +113,13 @@ def downsample(x: Column | str, max_len: int | None) -> Column:
 def znorm(x: Column | str, tiny: float = 1e-12) -> Column:
     """Centred, and divided by the population deviation unless the variance is at most ``tiny``."""
     x = _col(x)
-    m = mean(x)
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.nullif(F.size(x), F.lit(0))
-    scale = F.when(var <= tiny, F.lit(1.0)).otherwise(F.sqrt(var))
-    return F.transform(x, lambda v: (v - m) / scale)
+    stats = F.struct(mean(x).alias("m"), (squares_about(x, mean(x)) / F.nullif(F.size(x), F.lit(0))).alias("var"))
+
+    def scaled(st: Column) -> Column:
+        scale = F.when(st["var"] <= tiny, F.lit(1.0)).otherwise(F.sqrt(st["var"]))
+        return let(F.struct(st["m"].alias("m"), scale.alias("s")), lambda b: F.transform(x, lambda v: (v - b["m"]) / b["s"]))
+
+    return F.when(F.size(x) == 0, x).otherwise(let(stats, scaled))
 
 
 def ordered_vector(features: Column | str, order: list[str]) -> Column:
