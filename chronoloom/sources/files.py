@@ -77,8 +77,8 @@ def normalize_name(name: str) -> str:
 
 def whole_files(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
     """(path, value): each file is a row, so that the order of its lines, which has a meaning, is kept."""
-    reader = spark.read.options(wholetext="true", **options)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    reader = spark.read.options(**options)
+    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def lines(value: Column | str, comment: str | None = None) -> Column:

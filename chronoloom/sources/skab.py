@@ -47,7 +47,7 @@ def scan_sequences(
     rows = (
         files.join(F.broadcast(order), "rel")
         .withColumn("lines", lines("value"))
-        .withColumn("header", F.transform(F.split(F.get("lines", 0), sep), F.trim))
+        .withColumn("header", F.transform(F.split(F.get("lines", 0), sep), lambda x: F.trim(x)))
         .withColumn("cells", F.transform(F.slice(F.col("lines"), F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.split(x, sep)))
     )
     place = F.array_position("header", label_col).cast("int") - 1

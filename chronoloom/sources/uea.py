@@ -88,7 +88,7 @@ def scan_uea(spark: SparkSession, path: str, split: str, header: Header) -> Data
     rows = whole_files(spark, path).select(F.posexplode(lines(body, "#")).alias("sample_index", "line"))
     parts = F.split("line", ":")
     d = header.dimensions
-    tokens = F.transform(F.slice(parts, 1, d), lambda c: F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    tokens = F.transform(F.slice(parts, 1, d), lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
     rows = rows.select("sample_index", "line", parts.alias("parts"), tokens.alias("tokens"))
     rows = rows.withColumn("tokens", _check(F.size("parts") == d + 1, "dimension mismatch", F.col("tokens"), "array<array<string>>"))
     rows = rows.withColumn("tokens", _check(F.forall("tokens", lambda c: F.size(c) > 0), "empty channel", F.col("tokens"), "array<array<string>>"))
