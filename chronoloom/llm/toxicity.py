@@ -1,14 +1,16 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 Grades are ordered 0..K. One weight vector is shared by all thresholds:
-P(grade > k) = sigmoid(w.x - threshold_k). The features are the distinct words of the whole
-text, as 32-bit hashes; those associated with the labels in the training sample get weights.
+P(grade > k) = sigmoid(w.x - threshold_k). The features are the distinct words of the whole text
+and their beginnings, as 32-bit hashes; those associated with the labels in the training sample get
+weights.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,9 @@ from .common import Scratch, fresh, utf8, words_of
 #: Labelled rows that training sees at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 8000
 #: Features that get a weight at most, and the G statistic that each needs.
-MAX_FEATURES, MIN_G = 2048, 15.0
+MAX_FEATURES, MIN_G = 2048, 25.0
+#: Beginnings of words, in characters, that are features besides the words.
+PREFIXES = (3, 4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -40,38 +44,87 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, *, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalised likelihood, by Adam on all rows. Features are
-    (row, col) pairs of value 1. Thresholds are a first one and positive gaps, so that they stay ordered."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, *, l2: float = 1e-5, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood. Features are (row, col) pairs of value 1.
+    Thresholds are a first one and positive gaps, so that they stay ordered."""
     n, k = len(grades), max(1, int(grades.max(initial=0)))
     shares = np.clip([(grades > t).mean() if n else 0.5 for t in range(k)], 1e-3, 1 - 1e-3)
-    start = -np.log(shares / (1 - shares))
-    p = np.concatenate([np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    first = -np.log(shares / (1 - shares))
+    start = np.concatenate([np.zeros(n_features), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     at = np.arange(n)
-    for step in range(1, steps + 1):
-        w, theta = p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])]))
+    split = lambda p: (p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])])))
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = split(p)
         eta = np.bincount(rows, w[cols], n)
         cum = np.concatenate([np.ones((n, 1)), _sigmoid(eta[:, None] - theta), np.zeros((n, 1))], axis=1)
         like = np.maximum(cum[at, grades] - cum[at, grades + 1], 1e-12)
         slope = cum * (1 - cum)
         up, down = slope[at, grades] / like, slope[at, grades + 1] / like
-        g_eta = -(up - down) / n
-        g_theta = np.zeros(k)
-        for t in range(k):
-            g_theta[t] = (up[grades == t + 1].sum() - down[grades == t].sum()) / n
-        grad = np.concatenate([np.bincount(cols, g_eta[rows], n_features) + l2 * w, np.zeros(k)])
+        g_theta = np.array([(up[grades == t + 1].sum() - down[grades == t].sum()) / n for t in range(k)])
         tail = np.cumsum(g_theta[::-1])[::-1]
-        grad[n_features] = tail[0]
-        grad[n_features + 1 :] = tail[1:] * np.exp(p[n_features + 1 :])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    theta = np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])]))
-    return p[:n_features], theta
+        g = np.concatenate([np.bincount(cols, ((down - up) / n)[rows], n_features) + l2 * w, tail[:1], tail[1:] * np.exp(p[n_features + 1 :])])
+        return float(-np.log(like).mean() + l2 / 2 * (w @ w)), g
+
+    return split(minimise(loss, start, steps))
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, g = loss(p)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(g).max(initial=0) < 1e-7:
+            break
+        d, coefficients = g.copy(), []
+        for s, y, r in reversed(past):
+            coefficients.append(r * (s @ d))
+            d -= coefficients[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y, r), c in zip(past, reversed(coefficients), strict=True):
+            d += (c - r * (y @ d)) * s
+        step, slope = (1.0 if past else 1.0 / max(1.0, np.linalg.norm(g))), g @ d
+        while step > 1e-12:
+            q = p - step * d
+            new, h = loss(q)
+            if new <= value - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = q - p, h - g
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        p, value, g = q, new, h
+    return p
+
 
+def _word_features(word: bytes) -> list[int]:
+    s = word.decode("utf-8", "replace")
+    return [zlib.crc32(word), *(zlib.crc32(f"{s[:k]}*".encode()) for k in PREFIXES if len(s) >= k)]
 
-def _features(text: bytes | None) -> list[int]:
-    return [zlib.crc32(w) for w in set(words_of(text))]
+
+class _Known:
+    """The features of a text that are in ``index``, with those of each word remembered."""
+
+    def __init__(self, index: dict[int, int] | None, most: int = 300_000):
+        self.index, self.most = index, most
+        self.words: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: bytes | None) -> set[int]:
+        out: set[int] = set()
+        for w in set(words_of(text)):
+            f = self.words.get(w)
+            if f is None:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                f = _word_features(w)
+                f = self.words[w] = tuple(f) if self.index is None else tuple(self.index[x] for x in f if x in self.index)
+            if f:
+                out.update(f)
+        return out
 
 
 def _g(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -98,7 +151,7 @@ def train_severity(
     """Fit on at most ``max_rows`` labelled documents.
 
     Labels above 1 are used as grades. Where the labels are only 0 and 1, rows of label 1 are
-    dealt into ``severity_levels`` grades by quantiles of their share of words that are
+    dealt into ``severity_levels`` grades by quantiles of how many features they have that are
     significantly more frequent under label 1. Labels and ids that are null are not used.
     Without two different labels the model predicts grade 0 for every text.
     """
@@ -113,26 +166,24 @@ def train_severity(
         F.broadcast(chosen), F.col("__id") == F.col("__label_id")
     )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [_features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array(got, pa.list_(pa.int64()))],
-                names=["grade", "size", "features"],
-            )
-
-    sample = scratch.write(labelled.select("__grade", "__text").mapInArrow(scan, "grade int, size int, features array<long>"), "sample")
+    sample = scratch.write(labelled.select(F.col("__grade").alias("grade"), F.col("__text").alias("text")), "sample")
     sizes = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     n_none, n_some = sizes.get(0, 0), sum(n for g, n in sizes.items() if g)
     if not n_none or not n_some:
         scratch.drop(sample)
         return OrdinalModel({}, (40.0,))
-    counted = (
-        sample.select((F.col("grade") > 0).alias("some"), F.explode("features").alias("f"))
-        .groupBy("f")
-        .agg(F.count(F.when(F.col("some"), 1)).alias("a"), F.count(F.when(~F.col("some"), 1)).alias("b"))
-        .where("a + b >= 5")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, known = (Counter(), Counter()), _Known(None)
+        for batch in batches:
+            for grade, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[grade > 0].update(known(text.as_py()))
+        names = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), *(pa.array([c[f] for f in names], pa.int64()) for c in (seen[1], seen[0]))], names=["f", "a", "b"]
+        )
+
+    counted = sample.mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 5")
     share = n_some / (n_none + n_some)
     # only features whose counts can reach MIN_G are sent to the driver
     counts = counted.where(F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) > 2 * F.sqrt(share * (1 - share) * (F.col("a") + F.col("b")))).toPandas()
@@ -146,19 +197,21 @@ def train_severity(
     own = docs.sparkSession.sparkContext.broadcast(index)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = own.value
+        known = _Known(own.value)
         for batch in batches:
-            got = [[known[f] for f in row if f in known] for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["grade", "size", "features"])
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sorted(known(t)) for t in texts], pa.list_(pa.int32()))], names=["grade", "features"]
+            )
 
-    rows = sample.mapInArrow(narrow, "grade int, size int, features array<int>").collect()
+    rows = sample.mapInArrow(narrow, "grade int, features array<int>").collect()
     scratch.drop(sample)
-    rows.sort(key=lambda r: (r.grade, r.size, r.features))
+    rows.sort(key=lambda r: (r.grade, r.features))
     grades = np.array([r.grade for r in rows], dtype=int)
     if grades.max() == 1 and severity_levels > 1:
-        density = np.array([sum(int(names[f]) in telling for f in r.features) / max(1, r.size) for r in rows])
-        steps = np.quantile(density[grades > 0], np.arange(1, severity_levels) / severity_levels)
-        grades = np.where(grades > 0, 1 + np.searchsorted(steps, density, side="left"), 0)
+        count = np.array([sum(int(names[f]) in telling for f in r.features) for r in rows])
+        steps = np.quantile(count[grades > 0], np.arange(1, severity_levels) / severity_levels)
+        grades = np.where(grades > 0, 1 + np.searchsorted(steps, count, side="left"), 0)
         grades = np.searchsorted(np.unique(grades), grades)
     cols = np.array([f for r in rows for f in r.features], dtype=int)
     at = np.repeat(np.arange(len(rows)), [len(r.features) for r in rows])
@@ -177,19 +230,11 @@ def score_severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        by_hash, known = own.weights, {}
+        names = list(own.weights)
+        weights = [own.weights[f] for f in names]
+        known = _Known({f: i for i, f in enumerate(names)})
         for batch in batches:
-            eta = []
-            for text in batch.column(1).to_pylist():
-                total = 0.0
-                for w in sorted(set(words_of(text)) if text else ()):
-                    x = known.get(w)
-                    if x is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        x = known[w] = by_hash.get(zlib.crc32(w), 0.0)
-                    total += x
-                eta.append(total)
+            eta = [sum(weights[i] for i in sorted(known(text))) for text in batch.column(1).to_pylist()]
             over = own.exceed(np.array(eta)) if eta else np.zeros((0, len(own.thresholds)))
             cum = np.concatenate([np.ones((len(eta), 1)), over, np.zeros((len(eta), 1))], axis=1)
             yield pa.RecordBatch.from_arrays(
