@@ -25,8 +25,8 @@ from .exact_dedup import bitmap_filter, passes_filter
 
 SMALL_BUCKET = 24
 HUBS = 4
-#: Rows of a block of a large bucket, when its rest is compared.
-BLOCK = 1024
+#: Rows and shingles of a block of a large bucket, when its rest is compared.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 _MULT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240301).integers(0, 2**63, 256, dtype=np.uint64)
@@ -108,10 +108,10 @@ def sketch(rows: DataFrame, *, hashes: int, shingle: int = 5) -> DataFrame:
 
 
 def band_members(classes: DataFrame, scratch: Scratch, *, bands: int, rows: int) -> DataFrame:
-    """Of classes (fp, sig): (bk, fp, g) for each bucket of at least two, with its size."""
+    """Of classes (fp, sig): (bk, band, fp, g) for each bucket of at least two, with its size."""
     width = 4 * rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(bands)])
-    banded = classes.select("fp", F.explode(keys).alias("bk"))
+    banded = classes.select("fp", F.posexplode(keys).alias("band", "bk"))
     sizes = banded.groupBy("bk").agg(F.count("*").alias("g")).where("g > 1")
     return scratch.write(banded.join(sizes, "bk"), "members")
 
@@ -229,37 +229,74 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("component")).unionByName(root)
 
 
-def rest_pairs(members: DataFrame, parts: DataFrame, classes: DataFrame, scratch: Scratch, rule: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """In large buckets of more than one component: pairs (a, b, g) of a member outside the bucket's
-    main component and any member of another component, as far as the rule lets them pass. Blocks of
-    bounded size are compared within a worker; only what passes leaves it."""
-    large = members.where(F.col("g") > SMALL_BUCKET).select("bk", "fp", "g")
-    told = large.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    told = scratch.write(told, "told")
+def rest_links(rows: DataFrame, members: DataFrame, parts: DataFrame, classes: DataFrame, scratch: Scratch, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], similar: Callable[[bytes, bytes], float] | None, *, bands: int, threshold: float, shingle: int) -> DataFrame | None:
+    """The links that are missing in large buckets of more than one component: each member outside the bucket's
+    main component is compared with all members of other components, in blocks of bounded size within a worker.
+    A pair is compared in the first band that it shares, and verified if its signatures pass the rule and it
+    isn't joined by then; only links leave the worker. None if there is nothing to compare."""
+    large = members.where(F.col("g") > SMALL_BUCKET).select("bk", "band", "fp", "g")
+    told = scratch.write(large.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "told")
     sizes = told.groupBy("bk", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bk").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"))
-    mixed = scratch.write(told.join(main.where("parts > 1"), "bk").join(classes.select("fp", "sig"), "fp"), "mixed")
-    blocks, chunks = F.expr(f"cast(g div {BLOCK} as int)"), F.expr(f"cast(rest div {BLOCK} as int)")
-    block = F.expr(f"cast(pmod(xxhash64(fp, 1), 1 + g div {BLOCK}) as int)")
-    chunk = F.expr(f"cast(pmod(xxhash64(fp, 2), 1 + rest div {BLOCK}) as int)")
-    all_ = mixed.select("bk", "fp", "g", "component", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"))
-    out = scratch.again(mixed).where("component <> main").select("bk", "fp", "g", "component", "sig", F.explode(F.sequence(F.lit(0), blocks)).alias("block"), chunk.alias("chunk"))
+    mixed = scratch.write(told.join(main.where("parts > 1"), "bk").join(classes.select("fp", "id", "n", "sig"), "fp"), "mixed")
+    if mixed.isEmpty():
+        return None
+    involved = scratch.write(mixed.groupBy("fp").agg(F.min("id").alias("id")), "mixed-ids")
+    texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle), "mixed-texts")
+    bulk = mixed.groupBy("bk").agg(F.max("n").alias("most"))
+
+    def side(frame: DataFrame) -> DataFrame:
+        # a block has at most about BLOCK_SHINGLES shingles, however long the texts are
+        each = F.expr(f"greatest(1, least({BLOCK}, {BLOCK_SHINGLES} div greatest(most, 1)))")
+        sized = frame.join(scratch.again(texts), "fp").join(bulk, "bk").withColumn("each", each)
+        return sized.withColumns({"blocks": F.expr("cast(g div each as int)"), "chunks": F.expr("cast(rest div each as int)")})
+
+    block = F.expr("cast(pmod(xxhash64(fp, 1), 1 + blocks) as int)")
+    chunk = F.expr("cast(pmod(xxhash64(fp, 2), 1 + chunks) as int)")
+    keys, payload = ["bk", "block", "chunk"], ["fp", "band", "component", "sig", "text"]
+    all_ = side(mixed).select("bk", *payload, block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks"))).alias("chunk"))
+    out = side(scratch.again(mixed)).where("component <> main").select("bk", *payload, F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("block"), chunk.alias("chunk"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got: list[tuple] = []
         if len(left) and len(right):
-            b = np.frombuffer(b"".join(right["sig"]), dtype=np.uint32).reshape(len(right), -1)
-            other = right["component"].to_numpy()
-            names = right["fp"].to_numpy()
-            for fp, comp, sig, g in zip(left["fp"], left["component"], left["sig"], left["g"], strict=True):
-                take = np.flatnonzero(other != comp)
-                a = np.broadcast_to(np.frombuffer(sig, dtype=np.uint32), (len(take), b.shape[1]))
-                got += [(fp, names[i], g) for i in take[rule(a, b[take])]]
-        return pd.DataFrame(got, columns=["a", "b", "g"])
-
-    keys = ["bk", "block", "chunk"]
-    found = out.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInPandas(compare, "a binary, b binary, g long")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("g").alias("g"))
+            shingler, root, held = Shingler(shingle), {}, {}
+
+            def find(x: bytes) -> bytes:
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            def hashes(side: str, i: int, text: bytes) -> np.ndarray:
+                if (side, i) not in held:
+                    held[side, i] = shingler(text)
+                return held[side, i]
+
+            sigs = np.frombuffer(b"".join(right["sig"]), dtype=np.uint32).reshape(len(right), -1)
+            part = right["component"].to_numpy()
+            band, width = int(left["band"].iloc[0]), sigs.shape[1] // bands
+            for k, (fp, comp, sig, text) in enumerate(zip(left["fp"], left["component"], left["sig"], left["text"], strict=True)):
+                mine = np.frombuffer(sig, dtype=np.uint32)
+                near = np.flatnonzero(part != comp)
+                shared = (sigs[near, : bands * width] == mine[: bands * width]).reshape(len(near), bands, width).all(axis=2)
+                near = near[shared.argmax(axis=1) == band]
+                near = near[rule(np.broadcast_to(mine, (len(near), len(mine))), sigs[near])]
+                for i in near:
+                    if (a := find(comp)) == (b := find(part[i])):
+                        continue
+                    other = right["text"].iloc[i]
+                    s = jaccard(hashes("l", k, text), hashes("r", i, other))
+                    if s < threshold and similar:
+                        s = max(s, similar(text, other))
+                    if s >= threshold:
+                        root[a] = b
+                        got.append((fp, right["fp"].iloc[i], s))
+        return pd.DataFrame(got, columns=["a", "b", "similarity"])
+
+    found = out.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInPandas(compare, "a binary, b binary, similarity double")
+    links = scratch.write(found, "rest")
+    scratch.drop(told, mixed, involved, texts)
+    return links
 
 
 class NearLinks:
@@ -275,17 +312,15 @@ class NearLinks:
         links = self._links(rows, candidate_pairs(members, scratch), rule, threshold, shingle, similar)
         self.parts = components(links, scratch)
         if not members.where(F.col("g") > SMALL_BUCKET).isEmpty():
-            rest = scratch.write(rest_pairs(members, self.parts, self.classes, scratch, rule), "rest")
-            if not rest.isEmpty():
-                more = self._links(rows, rest, None, threshold, shingle, similar)
+            more = rest_links(rows, members, self.parts, self.classes, scratch, rule, similar, bands=bands, threshold=threshold, shingle=shingle)
+            if more is not None and not more.isEmpty():
                 links = links.unionByName(more)
                 self.parts = components(links, scratch)
         self.links = links
 
     def _links(self, rows: DataFrame, pairs: DataFrame, rule, threshold: float, shingle: int, similar) -> DataFrame:
         scratch = self.scratch
-        if rule is not None:
-            pairs = scratch.write(prune_pairs(pairs, self.classes, rule), "pairs")
+        pairs = scratch.write(prune_pairs(pairs, self.classes, rule), "pairs")
         fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         involved = scratch.write(self.classes.select("fp", "id").join(fps, "fp"), "involved")
         texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle), "texts")
