@@ -283,7 +283,7 @@ def test_cli(spark, tmp_path):
     rng = np.random.default_rng(0)
     for split, n in (("TRAIN", 8), ("TEST", 4)):
         (d / f"Toy_{split}").write_text("\n".join(",".join(map(str, [i % 2, *(rng.normal(size=16) + 9 * (i % 2)).round(3)])) for i in range(n)))
-    out = main(["--dataset", "Toy", "--base-dir", str(tmp_path / "data"), "--feature-groups", "statistics", "--distance", "l2", "--k", "1", "--save-json", "--outputs-root", str(tmp_path / "out")])
+    out = main(["--dataset", "Toy", "--base-dir", str(tmp_path / "data"), "--feature-groups", "0_Mean", "0_Median", "--distance", "l2", "--k", "1", "--save-json", "--outputs-root", str(tmp_path / "out")])
     assert out[0]["metrics"]["top_k_accuracy"] == 1.0
     assert read_json(tmp_path / "out" / "evaluations" / "stat_retrieval_Toy.json")[0]["num_query"] == 4
 
