@@ -15,8 +15,9 @@ def test_pipeline(spark, tmp_path):
     docs, kind = {}, {}
 
     def add(t, k):
-        docs[len(docs)], kind[len(docs)] = t, k
-        return len(docs) - 1
+        i = len(docs)
+        docs[i], kind[i] = t, k
+        return i
 
     labels = []
     for _ in range(120):
