@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import Distance
+
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -130,3 +132,26 @@ def ordered_vector(features: Column | str, order: list[str]) -> Column:
     return F.when(
         F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing features: "), F.array_join(missing, ", "))).cast("array<double>")
     ).otherwise(F.transform(names, lambda n: F.element_at(features, n)))
+
+
+def pair_score(x: Column | str, y: Column | str, distance: str, weights: Column | str | None = None) -> Column:
+    """The distance of two vectors as they are, without a normalization."""
+    distance = Distance(distance)
+    if distance is Distance.WEIGHTED_L2:
+        if weights is None:
+            raise ValueError("weighted_l2 needs weights")
+        return weighted_l2_distance(x, y, weights)
+    return cosine_distance(x, y) if distance is Distance.COSINE else l2_distance(x, y)
+
+
+def payload_vector(order: list[str], *, vector: Column | None = None, features: Column | None = None, kept_features: Column | None = None, kept_vector: Column | None = None) -> Column:
+    """The first that isn't null of a given vector, given features, and the features and vector kept with a sample."""
+    options = [
+        vector,
+        None if features is None else F.when(features.isNotNull(), ordered_vector(features, order)),
+        None if kept_features is None else F.when(kept_features.isNotNull(), ordered_vector(kept_features, order)),
+        kept_vector,
+    ]
+    if not (given := [o for o in options if o is not None]):
+        raise ValueError("no payload")
+    return F.coalesce(*given)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import downsample, l2_distance, znorm
 from ..schema import RetrieverConfig, SelectorConfig
+from ..sources.files import read_json, write_json
 from .metrics import zscores
 from .retrieval import Scaling, knn
 
@@ -123,3 +124,30 @@ def select_channels(series: DataFrame, config: SelectorConfig) -> DataFrame:
     else:
         chosen = F.col("rank") <= config.top_k
     return ranked.withColumn("selected", chosen).withColumn("selection_applied", F.lit(True))
+
+
+def save_selection(selection: DataFrame, path: str, *, metadata: dict | None = None) -> dict:
+    """The chosen channels, in their order, and all scores, as JSON; a channel is a row of the selection."""
+    rows = selection.orderBy("rank").collect()
+    scores = ("score_b", "score_c", "z_b", "z_c", "fused")
+    out = {
+        "selected_channel_ids": [r.channel_id for r in rows if r.selected],
+        "scores": {r.channel_id: r.fused for r in rows},
+        "details": {r.channel_id: {s: r[s] for s in scores} for r in rows},
+        "metadata": metadata or {},
+    }
+    write_json(path, out)
+    return out
+
+
+def load_selection(path: str) -> dict:
+    """What ``save_selection`` wrote, with channels as numbers again."""
+    told = read_json(path)
+    if not isinstance(told, dict) or not isinstance(told.get("selected_channel_ids"), list):
+        raise ValueError(f"{path} has no list of selected channels")
+    for k in ("scores", "details"):
+        if not isinstance(told.get(k, {}), dict):
+            raise ValueError(f"{k} of {path} must be an object")
+        told[k] = {int(c): v for c, v in told.get(k, {}).items()}
+    told["selected_channel_ids"] = [int(c) for c in told["selected_channel_ids"]]
+    return told

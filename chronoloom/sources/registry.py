@@ -15,6 +15,10 @@ def load_prediction(*args, **options) -> Dataset:
     raise NotImplementedError("there is no prediction dataset yet")
 
 
+def load_anomaly_placeholder(*args, **options) -> Dataset:
+    raise NotImplementedError("this anomaly dataset isn't there yet")
+
+
 _LOADERS: dict[str, Loader] = {}
 
 
