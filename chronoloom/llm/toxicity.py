@@ -186,8 +186,8 @@ def train_severity(
     counted = sample.mapInArrow(count, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 5")
     share = n_some / (n_none + n_some)
     # only features whose counts can reach MIN_G are sent to the driver
-    counts = counted.where(F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) > 2 * F.sqrt(share * (1 - share) * (F.col("a") + F.col("b")))).toPandas()
-    a, b = counts["a"].to_numpy(float), counts["b"].to_numpy(float)
+    counts = counted.where(F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) > 2 * F.sqrt(share * (1 - share) * (F.col("a") + F.col("b")))).toArrow()
+    a, b = (counts[c].to_numpy().astype(float) for c in "ab")
     g = _g(a, b, n_some, n_none)
     order = np.lexsort((counts["f"].to_numpy(), -g))[:MAX_FEATURES]
     order = order[g[order] >= MIN_G]
