@@ -82,16 +82,14 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, end: bytes, length: int) -> Iterator[tuple]:
-    """(id, number within its document, ids) of the sequences, in scan order; and the column's type."""
+def _documents(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterator[tuple]:
+    """(id, ids as unsigned 32-bit values, with the end id) in scan order."""
     encode = encoder(path).encode
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for at in range(0, len(ids), 256):
             for doc, got in zip(ids[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True):
-                whole = np.frombuffer(got + end, dtype="<u4")
-                for k, start in enumerate(range(0, len(whole), length)):
-                    yield doc, k, whole[start : start + length]
+                yield doc, got + end
 
 
 def write_training_order(
@@ -126,9 +124,9 @@ def write_training_order(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = check = 0
-        for _, _, ids in _sequences(batches, tokenizer or default_tokenizer(), end, length):
-            n += 1
-            check = zlib.crc32(ids.tobytes(), check)
+        for _, whole in _documents(batches, tokenizer or default_tokenizer(), end):
+            n += -(-len(whole) // (4 * length))
+            check = zlib.crc32(whole, check)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([check])], names=["part", "n", "check"])
 
     counted = sorted(rows.mapInArrow(count, "part long, n long, check long").collect())
@@ -146,7 +144,8 @@ def write_training_order(
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n, expected = starts.get(TaskContext.get().partitionId(), (0, 0, 0))
         last, check = at + n, 0
-        held: list[tuple] = []
+        held: tuple[list, ...] = ([], [], [], [], [])  # id, number, tokens, crc32, payload
+        kinds = (None, pa.int64(), pa.int64(), pa.int64(), pa.binary())
         id_type: list[pa.DataType] = []
 
         def typed() -> Iterator[pa.RecordBatch]:
@@ -155,28 +154,25 @@ def write_training_order(
                 yield b
 
         def emit() -> pa.RecordBatch:
-            slots = order(np.arange(at - len(held), at))
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], id_type[0]),
-                    pa.array([h[1] for h in held], pa.int64()),
-                    pa.array(slots),
-                    pa.array([len(h[2]) for h in held], pa.int64()),
-                    pa.array([zlib.crc32(h[2].tobytes()) for h in held], pa.int64()),
-                    pa.array([h[2].astype(f"<u{width}").tobytes() for h in held], pa.binary()),
-                ],
-                names=["id", "seq_no", "slot", "n_tokens", "ids_crc32", "payload"],
-            )
-            held.clear()
-            return out
-
-        for x in _sequences(typed(), tokenizer or default_tokenizer(), end, length):
-            check = zlib.crc32(x[2].tobytes(), check)
-            held.append(x)
-            at += 1
-            if len(held) == 4096:
+            slots = order(np.arange(at - len(held[0]), at))
+            ids, numbers, tokens, crcs, payload = (pa.array(h, k or id_type[0]) for h, k in zip(held, kinds, strict=True))
+            for h in held:
+                h.clear()
+            return pa.RecordBatch.from_arrays([ids, numbers, pa.array(slots), tokens, crcs, payload], names=["id", "seq_no", "slot", "n_tokens", "ids_crc32", "payload"])
+
+        for doc, whole in _documents(typed(), tokenizer or default_tokenizer(), end):
+            check = zlib.crc32(whole, check)
+            record = np.frombuffer(whole, dtype="<u4").astype(f"<u{width}").tobytes()
+            parts = [whole[k : k + 4 * length] for k in range(0, len(whole), 4 * length)]
+            held[0].extend([doc] * len(parts))
+            held[1].extend(range(len(parts)))
+            held[2].extend([len(p) // 4 for p in parts])
+            held[3].extend(map(zlib.crc32, parts))
+            held[4].extend([record[k : k + width * length] for k in range(0, len(record), width * length)])
+            at += len(parts)
+            if len(held[0]) >= 4096:
                 yield emit()
-        if held:
+        if held[0]:
             yield emit()
         if at != last or check != expected:
             raise ValueError("the input gave other rows when it was read again")
