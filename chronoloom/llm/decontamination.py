@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import utf8, words_of
 
+#: Documents whose words a worker holds at a time, where one block holds the whole benchmark.
+ROWS = 256
 SCHEMA = "n_words long, n_hit long, items array<string>"
 
 
@@ -109,23 +111,26 @@ def find_contamination(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = WuManber(blocks[0].value, window, block) if len(blocks) == 1 else None
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            marks = [bytearray(len(w)) for w in texts]
-            found: list[set] = [set() for _ in texts]
-            for part in blocks:
-                tables = only or WuManber(part.value, window, block)
-                for w, m, f in zip(texts, marks, found, strict=True):
-                    tables.search(w, m, f)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(w) for w in texts], pa.int64()),
-                    pa.array([m.count(1) for m in marks], pa.int64()),
-                    pa.array([sorted(f - {None}) for f in found], pa.list_(pa.string())),
-                ],
-                names=[id_col, "n_words", "n_hit", "items"],
-            )
+        for whole in batches:
+            rows = ROWS if only else max(1, whole.num_rows)  # else each slice would build all blocks again
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                texts = [words_of(t) for t in batch.column(1).to_pylist()]
+                marks = [bytearray(len(w)) for w in texts]
+                found: list[set] = [set() for _ in texts]
+                for part in blocks:
+                    tables = only or WuManber(part.value, window, block)
+                    for w, m, f in zip(texts, marks, found, strict=True):
+                        tables.search(w, m, f)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([len(w) for w in texts], pa.int64()),
+                        pa.array([m.count(1) for m in marks], pa.int64()),
+                        pa.array([sorted(f - {None}) for f in found], pa.list_(pa.string())),
+                    ],
+                    names=[id_col, "n_words", "n_hit", "items"],
+                )
 
     return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(
         scan, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}"

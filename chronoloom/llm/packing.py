@@ -77,7 +77,7 @@ class Encoder:
     lower-case, drop white space and split punctuation from letters: what stands between spaces, or is
     a mark after a letter, is encoded once and remembered."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.known = _Chunks(path, most)
         if not self.known.plain:
             raise ValueError(f"{path} doesn't lower-case and drop white space; its ids depend on more than chunks")
