@@ -5,7 +5,8 @@ Texts with the same shingle set are one class and are compared once. Buckets of
 SMALL_BUCKET classes give all their pairs. Larger buckets are linked to hubs first, which
 grows with their size and not its square; afterwards members that are still outside the
 bucket's main component are compared, in blocks, with all others, so that no link between
-components is lost. Nothing is collected to the driver.
+components is lost. Where links are counted, all members of large buckets are compared with each
+other, in blocks within workers, and only counts leave them. Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def band_members(classes: DataFrame, scratch: Scratch, *, bands: int, rows: int)
 
 
 def candidate_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (a, b, g): all pairs of small buckets; hub and member in large ones. The hubs of a
-    bucket are the members of smallest hash in each of a few parts."""
+    """Distinct (a, b, g): all pairs of small buckets, with g = 1; hub and member in large ones. The hubs of
+    a bucket are the members of smallest hash in each of a few parts."""
     small = members.where(F.col("g") <= SMALL_BUCKET).groupBy("bk").agg(F.array_sort(F.collect_list("fp")).alias("l"))
     pair = F.expr(
         "flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> named_struct('a', x, 'b', y))))"
@@ -134,7 +135,7 @@ def candidate_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
     )
     large = members.where(F.col("g") > SMALL_BUCKET)
     star = large.join(heads, large["bk"] == heads["hb"]).where("a <> fp").select("a", F.col("fp").alias("b"), "g")
-    return near.unionByName(star).groupBy("a", "b").agg(F.max("g").alias("g"))
+    return near.unionByName(star).groupBy("a", "b").agg(F.when(F.min("g") == 1, 1).otherwise(F.max("g")).cast("long").alias("g"))
 
 
 def prune_pairs(pairs: DataFrame, classes: DataFrame, rule: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -299,6 +300,65 @@ def rest_links(rows: DataFrame, members: DataFrame, parts: DataFrame, classes: D
     return links
 
 
+def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch: Scratch, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], similar: Callable[[bytes, bytes], float] | None, *, bands: int, threshold: float, shingle: int) -> DataFrame | None:
+    """(fp, n): with how many others each is linked of which it shares large buckets only. All members of a large
+    bucket are compared, block against block within workers; a pair counts in the first band that it shares, if its
+    signatures pass the rule and its texts the threshold. None if there are no large buckets."""
+    large = members.where(F.col("g") > SMALL_BUCKET).select("bk", "band", "fp", "g")
+    told = large.groupBy("fp").agg(F.expr("bit_or(shiftleft(1L, band))").alias("wide"))
+    told = scratch.write(told.join(classes.select("fp", "id", "n", "sig"), "fp"), "large")
+    if told.isEmpty():
+        return None
+    texts = scratch.write(texts_of(rows, told.select("fp"), told.select("id"), shingle), "large-texts")
+    bulk = large.join(told.select("fp", "n"), "fp").groupBy("bk").agg(F.max("n").alias("most"))
+    each = F.expr(f"greatest(1, least({BLOCK}, {BLOCK_SHINGLES} div greatest(most, 1)))")
+    full = large.join(scratch.again(told).select("fp", "wide", "sig"), "fp").join(texts, "fp").join(bulk, "bk")
+    full = full.withColumn("blocks", F.floor(F.col("g") / each).cast("int"))
+    full = full.withColumn("block", F.expr("cast(pmod(xxhash64(fp, 1), 1 + blocks) as int)"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
+    full = full.select("bk", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "wide", "sig", "text")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        group = group.sort_values("block", kind="stable")
+        fps, texts_, wide = group["fp"].to_list(), group["text"].to_list(), group["wide"].to_numpy()
+        split = int((group["block"] == one).sum())
+        sigs = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), -1)
+        band, width = int(group["band"].iloc[0]), sigs.shape[1] // bands
+        shingler = Shingler(shingle)
+        sets = [shingler(t) for t in texts_]
+        sizes = np.array([len(x) for x in sets])
+        found, code = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(code, np.cumsum(sizes)[:-1])
+        marked = np.zeros(len(found), dtype=bool)
+        counts = np.zeros(len(group), dtype=np.int64)
+        for k in range(split):
+            start = k + 1 if one == two else split
+            shared = (sigs[start:, : bands * width] == sigs[k, : bands * width]).reshape(-1, bands, width).all(axis=2)
+            narrow = (int(wide[k]) >> np.arange(bands)) & 1 == 0
+            near = start + np.flatnonzero((shared.argmax(axis=1) == band) & shared[:, band] & ~shared[:, narrow].any(axis=1))
+            near = near[rule(np.broadcast_to(sigs[k], (len(near), sigs.shape[1])), sigs[near])]
+            if not len(near):
+                continue
+            marked[sets[k]] = True
+            ends = np.cumsum(sizes[near])
+            both = np.add.reduceat(marked[np.concatenate([sets[i] for i in near])], ends - sizes[near], dtype=np.int64)
+            marked[sets[k]] = False
+            linked = both / (sizes[k] + sizes[near] - both) >= threshold
+            if similar:
+                for at in np.flatnonzero(~linked):
+                    linked[at] = similar(texts_[k], texts_[near[at]]) >= threshold
+            counts[near[linked]] += 1
+            counts[k] += int(linked.sum())
+        out = pd.DataFrame({"fp": fps, "n": counts})
+        return out[out["n"] > 0]
+
+    found = full.groupBy("bk", "i", "j").applyInPandas(compare, "fp binary, n long")
+    counted = scratch.write(found.groupBy("fp").agg(F.sum("n").alias("n")), "counted")
+    scratch.drop(told, texts)
+    return counted
+
+
 class NearLinks:
     """Links and components of the texts of rows (id, text)."""
 
@@ -317,10 +377,11 @@ class NearLinks:
                 links = links.unionByName(more)
                 self.parts = components(links, scratch)
         self.links = links
+        self._large = lambda: large_degrees(rows, members, self.classes, scratch, rule, similar, bands=bands, threshold=threshold, shingle=shingle)
 
     def _links(self, rows: DataFrame, pairs: DataFrame, rule, threshold: float, shingle: int, similar) -> DataFrame:
         scratch = self.scratch
-        pairs = scratch.write(prune_pairs(pairs, self.classes, rule), "pairs")
+        self.pairs = pairs = scratch.write(prune_pairs(pairs, self.classes, rule), "pairs")
         fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         involved = scratch.write(self.classes.select("fp", "id").join(fps, "fp"), "involved")
         texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle), "texts")
@@ -329,9 +390,11 @@ class NearLinks:
         return links
 
     def degrees(self) -> DataFrame:
-        """(fp, n_links): how many classes each is linked with."""
-        once = self.links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        ends = once.select(F.col("a").alias("fp")).unionByName(once.select(F.col("b").alias("fp")))
-        return ends.groupBy("fp").agg(F.count("*").alias("n_links"))
-
-
+        """(fp, n_links): how many classes each is linked with. Pairs of small buckets are among the links;
+        those that share large buckets only are compared and counted now."""
+        once = self.links.join(self.pairs.where("g = 1").select("a", "b"), ["a", "b"], "left_semi").select("a", "b").distinct()
+        ends = once.select(F.col("a").alias("fp")).unionByName(once.select(F.col("b").alias("fp"))).withColumn("n", F.lit(1).cast("long"))
+        counted = self._large()
+        if counted is not None:
+            ends = ends.unionByName(counted)
+        return ends.groupBy("fp").agg(F.sum("n").alias("n_links"))

@@ -61,8 +61,7 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: its id, ``class_id`` (the smallest id that links lead to),
     ``class_size`` (documents), ``same_id`` (the smallest id with the same set of word n-grams)
-    and ``n_links`` (other sets found within the threshold; in buckets of more than
-    ``near.SMALL_BUCKET`` sets, links to hubs stand for those among their partners).
+    and ``n_links`` (other sets found within the threshold, in buckets of any size).
 
     Similarity is the Jaccard index of the sets of ``shingle`` consecutive lower-cased words; a
     shorter text is one n-gram. Texts without words (null, empty) are linked with nothing. Repeated

@@ -151,6 +151,17 @@ def test_near_classes(spark, monkeypatch, small):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted([*low.values(), 1, 2, 3])
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_links_of_large_buckets_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rows = near_rows()
+    _, links = brute_components(rows)
+    out = {r.doc_id: r.n_links for r in near_classes(frame(spark, rows)).collect()}
+    assert [out[i] for i, _ in rows] == links
+    assert max(links) > 2 * near.HUBS
+
+
 def test_near_classes_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_classes(empty).count() == 0 and drop_near_copies(empty).count() == 0
