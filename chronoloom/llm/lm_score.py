@@ -2,25 +2,32 @@
 background corpus. Both models share one vocabulary, the kept bigrams and the estimator; each
 token's loss under the target less its loss under the background, averaged, scores a document.
 
-What is sent to the workers has a bound that doesn't depend on the input: words and bigrams
-are kept if their share of all tokens is at least a rate, so there are at most 1/rate of them.
+Every word and bigram that occurs MIN_COUNT times is in the models, whatever the size of the input. Counts and
+models are distributed tables. Only their most frequent entries, with at least a share of all tokens, are sent to the
+workers, which has a bound that doesn't depend on the input; the others are joined to the tokens by a shuffle, and
+as each is rare, none is a large group. Words that aren't sent are known by 63 bits of their hash.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, utf8, words_of
 
-#: A vocabulary has at most 500,000 words, and a model at most 1,000,000 bigrams.
-WORD_RATE, PAIR_RATE, MIN_COUNT = 2e-6, 1e-6, 2
+#: Words and bigrams with this share of all tokens are sent to the workers: at most 500,000 and 1,000,000.
+WORD_RATE, PAIR_RATE = 2e-6, 1e-6
+MIN_COUNT = 2
+#: Second keys of a word's values in the table of rare entries, and entries in a partition of it.
+UNIGRAM, BACKOFF, RARE_PART = 2**62, 2**62 + 1, 500_000
 #: Absolute discount of kept bigrams.
 DISCOUNT = 0.5
 #: Target ids are sent to all workers up to this number, 16 bytes each, and joined by a shuffle beyond.
@@ -29,13 +36,21 @@ MAX_BROADCAST_IDS = 2_000_000
 
 @dataclass(frozen=True)
 class PairedModels:
-    """Logarithms under the two models (column 0: target, 1: background)."""
+    """Logarithms under the two models (column 0: target, 1: background), of frequent words and bigrams."""
 
-    words: dict[bytes, int]  # word to id; 0 is every other word
+    words: dict[bytes, int]  # word to id; 0 is every other word, as if unknown
     unigram: np.ndarray  # id x 2
     backoff: np.ndarray  # id x 2
     pairs: np.ndarray  # sorted codes: first id * vocabulary size + second id
     bigram: np.ndarray  # pair x 2
+    rare: DataFrame | None = None  # (a, b, d0, d1): what the other entries add to a token's logarithms
+
+    def frequent(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the tokens at these places, and those before them, are a bigram of ``pairs``."""
+        if not len(self.pairs):
+            return np.zeros(len(at), dtype=bool)
+        code = ids[at - 1] * len(self.unigram) + ids[at]
+        return self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
 
     def losses(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Loss of each token under each model. ``first``: tokens that begin a document, which have
@@ -53,32 +68,16 @@ class PairedModels:
         return -logp
 
 
-def estimate(words: list[bytes], counts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, histories: np.ndarray) -> PairedModels:
-    """``counts``: word x 2; ``totals``: all tokens of the two corpora; ``pairs``: sorted codes over ids (word
-    i has id i + 1); ``pair_counts``: pair x 2; ``histories``: id x 2, how often a word has a successor.
-
-    Unigrams are add-one over the vocabulary and the rest. A kept bigram that occurs in a corpus has its
-    discounted share there; what is left goes to the other words by their unigrams, so that each
-    history's probabilities sum to one."""
-    size = len(words) + 1
-    ids = np.concatenate([(totals - counts.sum(axis=0))[None, :], counts])
-    uni = (ids + 1) / (totals + size)
-    seen = pair_counts > 0
-    v, w = pairs // size, pairs % size
-    share = np.where(seen, (pair_counts - DISCOUNT) / np.maximum(histories[v], 1), 0.0)
-    used, covered = np.zeros((size, 2)), np.zeros((size, 2))
-    for k in range(2):
-        used[:, k] = np.bincount(v, share[:, k], size)
-        covered[:, k] = np.bincount(v, np.where(seen[:, k], uni[w, k], 0.0), size)
-    backoff = np.maximum(1 - used, 1e-12) / np.maximum(1 - covered, 1e-12)
-    bigram = np.where(seen, share, backoff[v] * uni[w])
-    return PairedModels({x: i + 1 for i, x in enumerate(words)}, np.log(uni), np.log(backoff), pairs, np.log(np.maximum(bigram, 1e-300)))
-
-
-def _ids(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _keys(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each word, the id of a frequent one and else a negative hash, and the words of each text."""
     split = [words_of(t) for t in texts]
     get = known.get
-    return np.array([get(w, 0) for words in split for w in words], dtype=np.int64), np.array([len(w) for w in split], dtype=np.int64)
+    keys = np.fromiter((get(w) or _hash(w) for words in split for w in words), dtype=np.int64)
+    return keys, np.array([len(w) for w in split], dtype=np.int64)
+
+
+def _hash(word: bytes) -> int:
+    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
 
 
 def _begins(sizes: np.ndarray) -> np.ndarray:
@@ -102,81 +101,123 @@ def flag_targets(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str
     return joined.select("id", "text", F.col("__target").isNotNull().alias("target"))
 
 
-def train_models(flagged: DataFrame, *, word_rate: float = WORD_RATE, pair_rate: float = PAIR_RATE, min_count: int = MIN_COUNT, buffer: int = 2_000_000) -> PairedModels:
+def train_models(flagged: DataFrame, *, word_rate: float = 0.0, pair_rate: float = 0.0, min_count: int = MIN_COUNT, sent_words: float = WORD_RATE, sent_pairs: float = PAIR_RATE, buffer: int = 2_000_000) -> PairedModels:
     """The models of rows (id, text, target): the background is all rows, the target those flagged. Counts
-    are over whole texts of all rows and are summed on each worker before they are shuffled."""
+    are over whole texts of all rows and are summed on each worker before they are shuffled. Words and bigrams
+    are known from ``min_count`` on (or a share, if rates are given); ``sent_words`` and ``sent_pairs`` only
+    say which are sent to the workers.
+
+    Unigrams are add-one over the vocabulary and the rest. A known bigram that occurs in a corpus has its
+    discounted share there; what is left goes to the other words by their unigrams, so that each
+    history's probabilities sum to one."""
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        # all words and last words of documents, of all documents and of the target
+        counts = tuple(Counter() for _ in range(4))
 
         def emit() -> pa.RecordBatch:
-            words = list(both[0])
-            out = [pa.array(words, pa.binary()), pa.array(list(both[0].values()), pa.int64()), pa.array([both[1][w] for w in words], pa.int64())]
-            for c in both:
+            words = list(counts[0])
+            out = [pa.array(words, pa.binary()), pa.array([_hash(w) for w in words], pa.int64())]
+            out += [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+            for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays(out, names=["word", "n", "n_target"])
+            return pa.RecordBatch.from_arrays(out, names=["word", "key", "n", "n_target", "last", "last_target"])
 
         for batch in batches:
             for text, target in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
-                both[0].update(words)
-                if target:
-                    both[1].update(words)
-                if len(both[0]) > 400_000:
+                if words:
+                    counts[0].update(words)
+                    counts[2][words[-1]] += 1
+                    if target:
+                        counts[1].update(words)
+                        counts[3][words[-1]] += 1
+                if len(counts[0]) > 400_000:
                     yield emit()
         yield emit()
 
-    counted = flagged.mapInArrow(unigrams, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    scratch = Scratch(flagged.sparkSession, "lm-score")
+    spark = flagged.sparkSession
+    scratch = Scratch(spark, "lm-score")
+    summed = [F.sum(c).alias(c) for c in ("n", "n_target", "last", "last_target")]
+    counted = flagged.mapInArrow(unigrams, "word binary, key long, n long, n_target long, last long, last_target long").groupBy("word", "key").agg(*summed)
     counted = scratch.write(counted, "words")
     total = counted.agg(F.sum("n"), F.sum("n_target")).first()
-    totals = np.array([total[1] or 0, total[0] or 0], dtype=float)
-    kept = counted.where(F.col("n") >= max(min_count, word_rate * totals[1])).toArrow().sort_by("word")
+    totals = [total[1] or 0, total[0] or 0]
+    known = counted.where(F.col("n") >= max(min_count, word_rate * totals[1]))
+    here = known.agg(F.count("*"), F.sum("n_target"), F.sum("n")).first()
+    size = here[0] + 1
+    wide = [t + size for t in totals]
+    often = F.col("n") >= sent_words * totals[1]
+    sent = known.where(often).toArrow().sort_by("word")
+    words = sent["word"].to_pylist()
+    ids = {w: i + 1 for i, w in enumerate(words)}
+    told = ["n_target as c0", "n as c1", "n_target - last_target as h0", "n - last as h1"]
+    frequent = spark.createDataFrame(sent.drop_columns(["word", "key"]).append_column("id", pa.array(range(1, len(words) + 1), pa.int64())), "n long, n_target long, last long, last_target long, id long")
+    table = known.where(~often).selectExpr("key as id", *told).unionByName(frequent.selectExpr("id", *told))
+    table = scratch.write(table, "vocabulary")
     scratch.drop(counted)
-    words = kept["word"].to_pylist()
-    counts = _columns(kept, "n_target", "n")
-    size = len(words) + 1
-    held = flagged.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
+    held = spark.sparkContext.broadcast(ids)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Codes of pairs of known words; with a negative code -id, how often a word has a successor."""
         known = held.value
         waiting: list[np.ndarray] = []
         n = 0
 
         def emit() -> pa.RecordBatch:
-            both = np.concatenate(waiting) if waiting else np.zeros((0, 2), dtype=np.int64)
+            v, w, target = np.concatenate(waiting).T if waiting else np.zeros((3, 0), dtype=np.int64)
             waiting.clear()
-            code, back = np.unique(both[:, 0], return_inverse=True)
+            mixed = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            _, at, back = np.unique(mixed, return_index=True, return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(code), pa.array(np.bincount(back, minlength=len(code)), pa.int64()), pa.array(np.bincount(back, both[:, 1], len(code)).astype(np.int64))],
-                names=["code", "n", "n_target"],
+                [pa.array(v[at]), pa.array(w[at]), pa.array(np.bincount(back, minlength=len(at)), pa.int64()), pa.array(np.bincount(back, target, len(at)).astype(np.int64))],
+                names=["v", "w", "n", "n_target"],
             )
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids, sizes = _ids(part.column(1).to_pylist(), known)
-                if len(ids) < 2:
+                keys, sizes = _keys(part.column(1).to_pylist(), known)
+                if len(keys) < 2:
                     continue
                 target = np.repeat(np.array(part.column(2).to_pylist(), dtype=np.int64), sizes)[1:]
                 inside = ~_begins(sizes)[1:]
-                v, w = ids[:-1], ids[1:]
-                pair = inside & (v > 0) & (w > 0)
-                waiting.append(np.stack([v[pair] * size + w[pair], target[pair]], axis=1))
-                waiting.append(np.stack([-1 - v[inside], target[inside]], axis=1))
-                n += len(ids)
+                waiting.append(np.stack([keys[:-1][inside], keys[1:][inside], target[inside]], axis=1))
+                n += len(keys)
                 if n > buffer:
                     n = 0
                     yield emit()
         yield emit()
 
-    found = flagged.mapInArrow(bigrams, "code long, n long, n_target long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    some = found.where((F.col("code") < 0) | (F.col("n") >= max(min_count, pair_rate * totals[1]))).toArrow().sort_by("code")
-    code, n = some["code"].to_numpy(), _columns(some, "n_target", "n")
-    histories = np.zeros((size, 2))
-    histories[-1 - code[code < 0]] = n[code < 0]
-    return estimate(words, counts, totals, code[code >= 0], n[code >= 0], histories)
+    found = flagged.mapInArrow(bigrams, "v long, w long, n long, n_target long").groupBy("v", "w").agg(F.sum("n").alias("n1"), F.sum("n_target").alias("n0"))
+    pairs = scratch.write(found.where(F.col("n1") >= max(min_count, pair_rate * totals[1])), "pairs")
+    # both words of a bigram must be known
+    second = scratch.again(table).selectExpr("id as w", "c0", "c1")
+    pairs_of = scratch.write(pairs.join(second, "w").join(scratch.again(table).selectExpr("id as v"), "v", "left_semi"), "known-pairs")
+    scratch.drop(pairs)
+    # whole and half numbers, whose sums don't depend on their order
+    sums = [F.sum(F.when(F.col(f"n{k}") > 0, x).otherwise(0)).alias(f"{name}{k}") for k in range(2) for name, x in (("used", F.col(f"n{k}") - F.lit(DISCOUNT)), ("over", F.col(f"c{k}") + 1))]
+    left = table.join(pairs_of.groupBy("v").agg(*sums), F.col("id") == F.col("v"), "left").drop("v").na.fill(0)
+    values = [F.expr(f"ln((c{k} + 1D) / {wide[k]}D)").alias(f"u{k}") for k in range(2)]
+    values += [F.expr(f"ln(greatest(1D - used{k} / greatest(h{k}, 1), 1e-12D) / greatest(1D - cast(over{k} as double) / {wide[k]}D, 1e-12D))").alias(f"o{k}") for k in range(2)]
+    vocabulary = scratch.write(left.select("id", "h0", "h1", *values), "histories")
+    first = vocabulary.selectExpr("id as v", "h0", "h1", "o0", "o1")
+    added = [F.expr(f"case when n{k} > 0 then ln((n{k} - {DISCOUNT}D) / h{k}) else o{k} + ln((c{k} + 1D) / {wide[k]}D) end").alias(f"p{k}") for k in range(2)]
+    base = [F.expr(f"o{k} + ln((c{k} + 1D) / {wide[k]}D)").alias(f"base{k}") for k in range(2)]
+    told_pairs = scratch.write(pairs_of.join(first, "v").select("v", "w", "n1", *added, *base), "bigrams")
+
+    local = vocabulary.where("id > 0").toArrow().sort_by("id")
+    unknown = np.log([((totals[k] - (here[k + 1] or 0)) + 1) / wide[k] for k in range(2)])
+    unigram = np.concatenate([unknown[None, :], _columns(local, "u0", "u1")])
+    backoff = np.concatenate([np.zeros((1, 2)), _columns(local, "o0", "o1")])
+    near = (F.col("v") > 0) & (F.col("w") > 0) & (F.col("n1") >= sent_pairs * totals[1])
+    both = told_pairs.where(near).toArrow()
+    code = both["v"].to_numpy() * len(unigram) + both["w"].to_numpy()
+    order = np.argsort(code)
+    rare = told_pairs.where(~near).selectExpr("v as a", "w as b", "p0 - base0 as d0", "p1 - base1 as d1")
+    for key, name, less in ((UNIGRAM, "u", unknown), (BACKOFF, "o", (0.0, 0.0))):
+        rare = rare.unionByName(scratch.again(vocabulary).where("id < 0").select(F.col("id").alias("a"), F.lit(key).cast("long").alias("b"), *[(F.col(f"{name}{k}") - F.lit(float(less[k]))).alias(f"d{k}") for k in range(2)]))
+    rare = scratch.write(rare, "rare")
+    return PairedModels(ids, unigram, backoff, code[order], _columns(both, "p0", "p1")[order], None if rare.isEmpty() else rare)
 
 
 def score_documents(docs: DataFrame, models: PairedModels, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,27 +225,46 @@ def score_documents(docs: DataFrame, models: PairedModels, *, id_col: str = "doc
     difference: lower is closer to the target. Texts without words (null, empty) have null losses.
     Whole texts are scored; repeated rows give repeated results; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    spark, rare = docs.sparkSession, models.rare
+    held = spark.sparkContext.broadcast(replace(models, rare=None))
+    ask = rare is not None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, with its losses under what the worker has, and for each token's rare
+        bigram, rare word and rare word before it a row with the key of what is to be added."""
         own = held.value
+        start = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids, sizes = _ids(part.column(1).to_pylist(), own.words)
+                keys, sizes = _keys(part.column(1).to_pylist(), own.words)
+                ids, begins = np.maximum(keys, 0), _begins(sizes)
+                row = np.arange(start, start + len(sizes))
+                start += len(sizes)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                loss = own.losses(ids, _begins(sizes)) if len(ids) else np.zeros((0, 2))
-                none = sizes == 0
-                h = [np.bincount(doc, loss[:, k], len(sizes)) / np.maximum(sizes, 1) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), *(pa.array(x, pa.float64(), mask=none) for x in (h[0], h[1], h[0] - h[1]))],
-                    names=["id", "n_tokens", "h_target", "h_background", "score"],
-                )
-
-    out = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(
-        scan, f"id {kind}, n_tokens long, h_target double, h_background double, score double"
-    )
-    return out.withColumnRenamed("id", id_col)
+                loss = own.losses(ids, begins) if len(ids) else np.zeros((0, 2))
+                h = [np.bincount(doc, loss[:, k], len(sizes)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, row, np.zeros_like(row), sizes, *h)] + [part.column(0)], names=names)
+                if ask and len(ids):
+                    rest = np.flatnonzero(~begins)
+                    pair = rest[~own.frequent(ids, rest)]
+                    word, after = np.flatnonzero(keys < 0), rest[keys[rest - 1] < 0]
+                    a = np.concatenate([keys[pair - 1], keys[word], keys[after - 1]])
+                    b = np.concatenate([keys[pair], np.full(len(word), UNIGRAM), np.full(len(after), BACKOFF)])
+                    none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.float64(), pa.float64(), part.column(0).type)]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[np.concatenate([pair, word, after])]]), pa.array(a), pa.array(b), *none], names=names)
+
+    names = ["row", "a", "b", "n_tokens", "l0", "l1", "id"]
+    out = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(scan, f"row long, a long, b long, n_tokens long, l0 double, l1 double, id {kind}")
+    if ask:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare.count() // RARE_PART + 1)
+        joined = out.repartition(parts, "a", "b").join(rare.repartition(parts, "a", "b").hint("shuffle_hash"), ["a", "b"], "left")
+        each = [F.coalesce(f"l{k}", -F.col(f"d{k}")).alias(f"l{k}") for k in range(2)]
+        out = joined.select("row", "n_tokens", "id", *each).groupBy("row").agg(
+            F.first("id", ignorenulls=True).alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")
+        )
+    h0, h1 = (F.when(F.col("n_tokens") > 0, F.col(f"l{k}") / F.col("n_tokens")) for k in range(2))
+    return out.select(F.col("id").alias(id_col), "n_tokens", h0.alias("h_target"), h1.alias("h_background"), (h0 - h1).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rates) -> DataFrame:

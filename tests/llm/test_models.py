@@ -81,6 +81,27 @@ def test_cross_entropy_difference(spark):
     assert np.array_equal(small.bigram, whole.bigram) and np.array_equal(small.backoff, whole.backoff)
 
 
+@pytest.mark.parametrize("sent", [(0.1, 0.1), (0.02, 0.01), (2.0, 2.0), None])
+def test_words_are_known_from_a_count_on(spark, monkeypatch, sent):
+    """As if the input were so large that a share of its tokens is more than the least count."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(90)], [1 / (1 + k) for k in range(90)], k=rng.choice([0, 1, 25])))) for i in range(60)] + [(300, None)]
+    targets = set(range(0, 60, 4))
+    rates = dict(zip(("sent_words", "sent_pairs"), sent, strict=True)) if sent else {}
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    got = sorted((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in cross_entropy_difference(frame(spark, rows), ids, **rates).collect())
+    for a, b in zip(got, sorted(brute_lm(rows, targets, 0, 0)), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
+def test_rare_words_of_a_large_input_are_known(spark):
+    rows = [(i, "x " * 150_000) for i in range(10)] + [(20, "p q r s"), (21, "p q t"), (22, "x p q")]
+    ids = spark.createDataFrame([(20,)], "doc_id long")
+    got = sorted((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in cross_entropy_difference(frame(spark, rows), ids).collect())
+    for a, b in zip(got, sorted(brute_lm(rows, {20}, 0, 0)), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+
+
 def test_scores_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert cross_entropy_difference(none, none.select("doc_id")).count() == 0
