@@ -3,6 +3,10 @@
 A paragraph is a line. Bands are tuned so that a pair at the threshold meets with at least the
 recall asked for; colliding paragraphs are verified by the Jaccard index of their word n-grams or by
 the edit distance of their words; of each component the first paragraph stays.
+
+Passages that repeat inside longer lines, or run over several short ones, are found apart from lines: of
+each PASSAGE words in a row the run of RUN words with the smallest hash is a unit, so that equal passages
+give an equal unit wherever they stand.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, utf8, words_of
+from .common import Scratch, fresh, utf8, words_of
 from .exact_dedup import bitmap_filter, passes_filter
-from .near import NearLinks
+from .near import NearLinks, Shingler
 
 #: Paragraphs with fewer words are too common to be called repeats, and stay.
 MIN_WORDS = 20
 RECALL, MOST_HASHES = 0.99, 24
+#: Any two equal passages of PASSAGE words share a unit of RUN words.
+RUN, PASSAGE = 20, 50
 
 
 def tune_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -82,6 +88,65 @@ def split_paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int
     )
 
 
+def _over(x: np.ndarray, n: int, best: Callable) -> np.ndarray:
+    """``best`` of each value and the n - 1 after it, of which there are fewer at the end."""
+    out, done = x.copy(), 1
+    while done < n:
+        step = min(done, n - done)
+        if step < len(out):
+            out[:-step] = best(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def run_units(words: list[list[bytes]], shingler: Shingler) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as words: (text, number of the first word, hash) of the chosen runs of RUN words."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    h = shingler.words([w for x in words for w in x])
+    spot = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    runs, got = np.zeros(len(h), dtype=np.uint64), 0
+    grown, length = h.copy(), 1
+    while True:
+        if RUN & length:
+            if got < len(h):
+                runs[: len(h) - got] = (runs[: len(h) - got] ^ (runs[: len(h) - got] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + grown[got:]
+            got += length
+        if 2 * length > RUN:
+            break
+        next_ = np.zeros_like(grown)
+        next_[:-length] = grown[length:]
+        grown = (grown ^ (grown >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + next_
+        length *= 2
+    runs ^= runs >> np.uint64(32)
+    runs = runs * np.uint64(0x165667B19E3779F9) | np.uint64(1)
+    least = _over(runs, PASSAGE - RUN + 1, np.minimum)
+    least[spot + PASSAGE > np.repeat(sizes, sizes)] = 0
+    most = _over(least[::-1], PASSAGE - RUN + 1, np.maximum)[::-1]
+    at = np.flatnonzero(most == runs)
+    return np.repeat(np.arange(len(sizes)), sizes)[at], spot[at], runs[at]
+
+
+def repeated_passages(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """(__in, n_passages, passages, passage_docs) of the documents with units that other documents hold too."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(most=100_000)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                text, no, key = run_units([words_of(t) for t in part.column(1).to_pylist()], shingler)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(no), pa.array(key.view(np.int64))], names=["doc", "no", "key"])
+
+    units = docs.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text")).mapInArrow(scan, f"doc {kind}, no long, key long")
+    units = scratch.write(units.where("doc is not null"), "units")
+    # a run that repeats within one document only isn't shared
+    shared = units.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("key", "first")
+    return scratch.again(units).join(shared, "key").groupBy(F.col("doc").alias("__in")).agg(
+        F.countDistinct("key").alias("n_passages"), F.array_sort(F.collect_set("no")).alias("passages"), F.array_sort(F.collect_set("first")).alias("passage_docs")
+    )
+
+
 class RepeatedParagraphs:
     """Clusters of paragraphs."""
 
@@ -114,6 +179,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per document: its id, ``n_paragraphs`` (lines), ``n_repeated`` (paragraphs that belong to a cluster
     of two or more), ``n_removed`` (those that aren't the first of their cluster, by document id and
     number), ``removed`` (their numbers) and ``cluster_docs`` (ids of the documents whose paragraphs stay for its own).
+    Whatever the lines are, ``n_passages`` counts the units of RUN words that other documents hold too, ``passages`` has
+    the numbers of their first words and ``passage_docs`` the first documents that hold them: an equal passage of PASSAGE
+    words is always found, a shorter one of RUN words or more if its unit was chosen. ``drop_repeats`` leaves them.
 
     Paragraphs of fewer than ``min_words`` words are left alone. Null and empty texts have no paragraphs and
     one. Rows that repeat an id are taken as one document in counts of repeats. Null ids are not
@@ -127,7 +195,8 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0)).cast("long").alias("n_paragraphs"))
     base = base.withColumn("n_paragraphs", F.greatest("n_paragraphs", F.lit(0).cast("long")))
-    out = base.join(found, F.col("__id") == F.col("__doc"), "left")
+    passages = repeated_passages(docs, repeats.near.scratch, id_col, text_col)
+    out = base.join(found, F.col("__id") == F.col("__doc"), "left").join(passages, F.col("__id") == F.col("__in"), "left")
     none = F.array().cast("array<long>")
     return out.select(
         F.col("__id").alias(id_col),
@@ -136,6 +205,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", none).alias("removed"),
         F.coalesce("cluster_docs", F.array().cast(found.schema["cluster_docs"].dataType)).alias("cluster_docs"),
+        F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"),
+        F.coalesce("passages", none).alias("passages"),
+        F.coalesce("passage_docs", F.array().cast(passages.schema["passage_docs"].dataType)).alias("passage_docs"),
     ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
 
 

@@ -288,6 +288,26 @@ def test_paragraphs(spark, monkeypatch, small):
         assert left[i].text == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in removed.get(i, [])))
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared, rows = [some(50) for _ in range(20)], []
+    for k, p in enumerate(shared):
+        rows.append((2 * k, f"{some(rng.randrange(90))} {p} {some(rng.randrange(90))}"))
+        w = p.split()
+        short = "\n".join(" ".join(w[at : at + 7]) for at in range(0, 50, 7))  # lines of under MIN_WORDS words
+        rows.append((2 * k + 1, f"{some(60)}\n{short}\n{some(9)}" if k % 2 else f"{some(300)} {p.upper()}"))
+    rows += [(100, some(400)), (101, "x " * 300), (102, " ".join(shared[0].split()[:19])), (103, None), (None, shared[1])]
+    out = {r.doc_id: r for r in find_repeats(frame(spark, rows)).collect()}
+    for i in range(40):
+        assert out[i].n_passages and out[i].passage_docs == [i - i % 2]
+        w = rows[i][1].lower().split()
+        assert all(" ".join(w[p : p + 20]) in shared[i // 2] for p in out[i].passages)
+    assert all(out[i].n_passages == 0 and out[i].passages == [] for i in (100, 101, 102, 103, None))
+    assert len(out) == len(rows)
+
+
 def test_paragraphs_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert find_repeats(empty).count() == 0 and drop_repeats(empty).count() == 0
