@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Bytes of a UTF-8 text to bytes of words: A-Z lower-cased, 0-9, a-z and every
 #: non-ASCII byte kept, all other ASCII a space. ``translate(...).split()`` gives
@@ -19,6 +19,12 @@ WORD_TABLE = bytes(
 )
 
 
+_TYPES = {
+    "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType(), "binary": BinaryType(),
+    "array<string>": ArrayType(StringType()), "array<long>": ArrayType(LongType()),
+}
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The lower-cased words of a UTF-8 text; null has none."""
     return text.translate(WORD_TABLE).split() if text else []
@@ -28,17 +34,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def utf8(column: str | Column) -> Column:
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def utf8(text: str | Column) -> Column:
     """A text column as bytes, so that Python workers needn't decode it."""
-    return (F.col(column) if isinstance(column, str) else column).cast("binary")
+    return (column(text) if isinstance(text, str) else text).cast("binary")
+
+
+def with_id(docs: DataFrame, id_col: str, rest: str) -> StructType:
+    """A schema: the id column of ``docs``, then the columns of a DDL string."""
+    return StructType([StructField(id_col, docs.schema[id_col].dataType), *_parse(rest)])
+
+
+def _parse(ddl: str) -> list[StructField]:
+    return [StructField(*x) for x in ((n, _TYPES[t]) for n, t in (c.split() for c in ddl.split(",")))]
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, named ``row``."""
+    return F.struct(*[column(c) for c in docs.columns]).alias("row")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset, as in tests, a folder of this machine is set."""
+    session. Only where that is unset, and the session runs on one machine as in tests, a folder of this
+    machine is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
+        if not re.match(r"local($|\[)", context.master) and context._jsc.sc().getCheckpointDir().isEmpty():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="chronoloom-"))

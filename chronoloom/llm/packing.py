@@ -21,9 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import column, utf8, with_id
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of a token id.
@@ -41,32 +40,29 @@ _MARK = re.compile(rb"[.,;:!?](?<=[a-z].)(?=\s|\Z)")
 
 
 class _Chunks(dict):
-    """The ids of a chunk of text, as bytes; at most ``most`` are remembered."""
+    """The ids of a chunk of text, as bytes. Chunks of up to LONG bytes are remembered, until they and
+    their ids take ``room`` bytes."""
 
-    def __init__(self, path: str, most: int):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    LONG, ENTRY = 64, 250
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = _plain_letters(path)
-        self.most = most
+    def __init__(self, tokenizer, room: int):
+        self.tokenizer, self.room = tokenizer, room
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if self.plain and chunk.isalpha():  # one word, which normalisation and splitting leave as it is
+        text = chunk.decode(errors="replace")
+        if chunk.isalpha():  # one word, which normalisation and splitting leave as it is
             ids = [t.id for t in self.tokenizer.model.tokenize(text)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         out = array("I", ids).tobytes()
-        if len(self) < self.most:
+        if len(chunk) <= self.LONG and self.room > 0:
             self[chunk] = out
+            self.room -= len(chunk) + len(out) + self.ENTRY
         return out
 
 
-def _plain_letters(path: str) -> bool:
+def _plain_letters(told: dict) -> bool:
     """Whether the tokenizer lower-cases, drops white space and splits letters from the rest."""
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
     kinds = {x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])}
     splits = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
     return "Lowercase" in kinds and bool(splits) and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
@@ -75,16 +71,31 @@ def _plain_letters(path: str) -> bool:
 class Encoder:
     """Token ids, as little-endian unsigned 32-bit values, of whole texts, for tokenizers that
     lower-case, drop white space and split punctuation from letters: what stands between spaces, or is
-    a mark after a letter, is encoded once and remembered."""
+    a mark after a letter, is encoded once and remembered. Added tokens are matched before letters are
+    lower-cased, so a text with one, in whatever case, is encoded as a whole. Bytes that aren't UTF-8
+    are read as U+FFFD."""
+
+    def __init__(self, path: str, room: int = 100_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    def __init__(self, path: str, most: int = 600_000):
-        self.known = _Chunks(path, most)
-        if not self.known.plain:
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if not _plain_letters(told):
             raise ValueError(f"{path} doesn't lower-case and drop white space; its ids depend on more than chunks")
+        self.known = _Chunks(self.tokenizer, room)
+        self.added = [x["content"].lower().encode() for x in told.get("added_tokens", [])]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        known = self.known
-        return [b"".join([known[c] for c in _MARK.sub(rb" \g<0>", t.lower()).split()]) if t else b"" for t in texts]
+        return [self._ids(t) if t else b"" for t in texts]
+
+    def _ids(self, text: bytes) -> bytes:
+        low, known = text.lower(), self.known
+        for token in self.added:
+            if token in low:
+                return array("I", self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
+        return b"".join([known[c] for c in _MARK.sub(rb" \g<0>", low).split()])
 
 
 @lru_cache(maxsize=2)
@@ -169,13 +180,12 @@ def pack(
     ``sequence_id`` and ``offset`` in it. ``tokenizer`` is the path of a tokenizers file, the
     same on every worker; None finds the public one there.
 
-    A null or empty text is its end id alone (nothing without one). Repeated rows and null ids are
+    A null or empty text is its end id alone (nothing without one); bytes that aren't UTF-8 count as U+FFFD. Repeated rows and null ids are
     packed like others. Other columns are ignored. An empty table gives an empty result.
     A worker remembers a bounded number of chunks and at most one open bin for each class.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    id_type = docs.schema[id_col].dataType
     end = b"" if end_id is None else end_id.to_bytes(WIDTH, "little")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +211,4 @@ def pack(
         if kind:
             yield batch_of(list(packer.end()))
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(
-        scan, f"`{id_col}` {id_type.simpleString()}, {SCHEMA}"
-    )
+    return docs.select(column(id_col), utf8(text_col).alias("__text")).mapInArrow(scan, with_id(docs, id_col, SCHEMA))

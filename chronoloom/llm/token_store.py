@@ -1,9 +1,9 @@
 """Training-order materialisation of token sequences as binary shards.
 
-Sequences are numbered in scan order; a keyed Feistel permutation with cycle-walking gives each
-number a global slot. Slots are dealt to shards by range, and each shard is one file of
-fixed-stride records, so that any position of the training order is a seek, and an
-interrupted write or read goes on where it stopped.
+Texts are tokenized once; the ids are kept, compressed, in the shared folder while the sequences are counted.
+A keyed Feistel permutation with cycle-walking gives each sequence's number a global slot. Slots are dealt
+to shards by range, and each shard is one file of fixed-stride records, so that any position of the training
+order is a seek. Shards that are whole are not written again when an interrupted write is repeated.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import utf8
+from .common import Scratch, column, utf8, with_id
 from .packing import default_tokenizer, encoder
 
 SCHEMA = "seq_no long, slot long, shard long, offset long, n_tokens long, ids_crc32 long"
@@ -65,6 +66,7 @@ class Layout:
     shard_slots: int
     key: int
     pad_id: int
+    check: int  # of all sequences' ids, in any order
 
     @property
     def stride(self) -> int:
@@ -82,14 +84,44 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], path: str, end: bytes) -> Iterator[tuple]:
-    """(id, ids as unsigned 32-bit values, with the end id) in scan order."""
-    encode = encoder(path).encode
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 256):
-            for doc, got in zip(ids[at : at + 256], encode(texts.slice(at, 256).to_pylist()), strict=True):
-                yield doc, got + end
+#: Texts tokenized at a time, sequences dealt to shards at a time, and the level of compression between.
+TEXTS, DEALT, LEVEL = 256, 16384, 3
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unpack(x: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
+
+
+def tokenized(docs: DataFrame, *, id_col: str, text_col: str, tokenizer: str | None, end_id: int, width: int, length: int) -> DataFrame:
+    """A row for every few documents: ``part`` and ``first`` (number of its first sequence in that part), ``n``
+    (sequences), ``ids`` (the documents'), ``sizes`` (tokens of each), ``tokens`` and ``crc`` (of each sequence)."""
+    end = end_id.to_bytes(4, "little")
+    schema = StructType([*with_id(docs, id_col, "part long,first long,n long,sizes binary,tokens binary,crc binary").fields[1:], StructField("ids", ArrayType(docs.schema[id_col].dataType))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer or default_tokenizer()).encode
+        part, first = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                whole = [x + end for x in encode(some.column(1).to_pylist())]
+                sizes = np.array([len(x) // 4 for x in whole], dtype="<u4")
+                crc = np.array([zlib.crc32(x[k : k + 4 * length]) for x in whole for k in range(0, len(x), 4 * length)], dtype="<u4")
+                tokens = np.frombuffer(b"".join(whole), dtype="<u4").astype(f"<u{width}")
+                ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                row = [part, first, len(crc), _pack(sizes), _pack(tokens), _pack(crc)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in row), ids], names=schema.names)
+                first += len(crc)
+
+    return docs.select(column(id_col), utf8(text_col).alias("__text")).mapInArrow(scan, schema)
 
 
 def write_training_order(
@@ -110,106 +142,116 @@ def write_training_order(
     computed. A row for each sequence: the document's id, ``seq_no`` in it, ``slot``, ``shard``, ``offset`` (bytes in
     the shard), ``n_tokens`` (without padding) and ``ids_crc32`` (of its ids as unsigned 32-bit values).
 
-    ``docs`` must be a table or another frame that gives the same rows in the same order when read again:
-    the sequences are counted in a first scan and numbered in a second, which fails if they differ.
     Null and empty texts are their end id. Repeated rows and null ids are written like others; other
     columns are ignored; an empty table writes an index without shards. A shard appears when it is whole,
-    by a rename, so a task that runs again replaces it with the same bytes.
+    by a rename, so a task that runs again replaces it with the same bytes. Where ``out_dir`` has the index of
+    the same sequences and the same order, shards that are there in full length are left as they are.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    end = end_id.to_bytes(4, "little")
     width = 2 if vocabulary <= 1 << 16 else 4
+    scratch = Scratch(spark, "token-store")
+    told = scratch.write(tokenized(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, end_id=end_id, width=width, length=length), "tokens")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = check = 0
-        for _, whole in _documents(batches, tokenizer or default_tokenizer(), end):
-            n += -(-len(whole) // (4 * length))
-            check = zlib.crc32(whole, check)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([check])], names=["part", "n", "check"])
-
-    counted = sorted(rows.mapInArrow(count, "part long, n long, check long").collect())
-    starts, total = {}, 0
-    for r in counted:
-        starts[r.part] = (total, r.n, r.check)
+    sums = told.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.crc32("crc")).alias("check"))
+    starts, total, check = {}, 0, 0
+    for r in sorted(sums.collect()):  # a row for each partition of the scan
+        starts[r.part] = total
         total += r.n
-    layout = Layout(total, length, width, shard_slots, key, pad_id)
+        check += r.check
+    layout = Layout(total, length, width, shard_slots, key, pad_id, check)
     fs, path = _open(out_dir)
     fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/index.json") as f:
-        f.write(json.dumps(layout.__dict__).encode())
+    same = _layout(fs, path) == layout
+    if not same:
+        for old in fs.get_file_info(pyarrow.fs.FileSelector(path)):
+            if old.is_file and old.base_name.endswith(".bin"):
+                fs.delete_file(old.path)
+        with fs.open_output_stream(f"{path}/index.json") as f:
+            f.write(json.dumps(layout.__dict__).encode())
     order = Feistel(total, key)
+    id_type = docs.schema[id_col].dataType
+    kinds = "shard int,slots binary,seq_no binary,n_tokens binary,crc binary,tokens binary"
+    dealt = StructType([*with_id(docs, id_col, kinds).fields[1:], StructField("ids", ArrayType(id_type))])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, expected = starts.get(TaskContext.get().partitionId(), (0, 0, 0))
-        last, check = at + n, 0
-        held: tuple[list, ...] = ([], [], [], [], [])  # id, number, tokens, crc32, payload
-        kinds = (None, pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        id_type: list[pa.DataType] = []
-
-        def typed() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                id_type[:] = [b.schema.field(0).type]
-                yield b
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sequences of a few rows, by shard."""
+        held: list[tuple] = []
 
         def emit() -> pa.RecordBatch:
-            slots = order(np.arange(at - len(held[0]), at))
-            ids, numbers, tokens, crcs, payload = (pa.array(h, k or id_type[0]) for h, k in zip(held, kinds, strict=True))
-            for h in held:
-                h.clear()
-            return pa.RecordBatch.from_arrays([ids, numbers, pa.array(slots), tokens, crcs, payload], names=["id", "seq_no", "slot", "n_tokens", "ids_crc32", "payload"])
-
-        for doc, whole in _documents(typed(), tokenizer or default_tokenizer(), end):
-            check = zlib.crc32(whole, check)
-            record = np.frombuffer(whole, dtype="<u4").astype(f"<u{width}").tobytes()
-            parts = [whole[k : k + 4 * length] for k in range(0, len(whole), 4 * length)]
-            held[0].extend([doc] * len(parts))
-            held[1].extend(range(len(parts)))
-            held[2].extend([len(p) // 4 for p in parts])
-            held[3].extend(map(zlib.crc32, parts))
-            held[4].extend([record[k : k + width * length] for k in range(0, len(record), width * length)])
-            at += len(parts)
-            if len(held[0]) >= 4096:
-                yield emit()
-        if held[0]:
+            ids = pa.concat_arrays([h[0] for h in held])
+            slots, seq_no, n_tokens, crc, starts_ = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3, 4, 5))
+            tokens = np.concatenate([h[6] for h in held])
+            held.clear()
+            by = np.argsort(slots, kind="stable")
+            shards = slots[by] // shard_slots
+            columns: list[list] = [[] for _ in dealt.names]
+            for mine in np.split(by, np.flatnonzero(np.diff(shards)) + 1):
+                ends = np.cumsum(n_tokens[mine])
+                at = np.arange(ends[-1]) + np.repeat(starts_[mine] - (ends - n_tokens[mine]), n_tokens[mine])
+                values = (int(slots[mine[0]] // shard_slots), _pack(slots[mine]), _pack(seq_no[mine]), _pack(n_tokens[mine].astype("<u4")), _pack(crc[mine]), _pack(tokens[at]), ids.take(pa.array(mine)))
+                for c, v in zip(columns, values, strict=True):
+                    c.append(v)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns[-1])]), pa.int32()), pa.concat_arrays(columns[-1]))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:-1]), lists], names=dealt.names)
+
+        n = size = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, first, here = (batch.column(k)[i].as_py() for k in range(3))
+                sizes = _unpack(batch.column(3)[i].as_py(), "<u4").astype(np.int64)
+                parts = -(-sizes // length)
+                seq_no = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                n_tokens = np.minimum(length, np.repeat(sizes, parts) - seq_no * length)
+                start = size + np.repeat(np.cumsum(sizes) - sizes, parts) + seq_no * length
+                ids = batch.column(6)[i].values.take(pa.array(np.repeat(np.arange(len(sizes)), parts)))
+                slots = order(np.arange(starts[part] + first, starts[part] + first + here))
+                held.append((ids, slots, seq_no, n_tokens, _unpack(batch.column(5)[i].as_py(), "<u4"), start, _unpack(batch.column(4)[i].as_py(), f"<u{width}")))
+                n += here
+                size += len(held[-1][6])
+                if n >= DEALT:
+                    yield emit()
+                    n = size = 0
+        if held:
             yield emit()
-        if at != last or check != expected:
-            raise ValueError("the input gave other rows when it was read again")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One shard: as many records as it has slots are held, and written in order."""
         fs, path = _open(out_dir)
-        shard, out, temp, wrote = -1, None, "", 0
         attempt = TaskContext.get().taskAttemptId()
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                if wrote != layout.slots_of(shard):
-                    raise ValueError(f"shard {shard} has {wrote} records")
-                fs.move(temp, f"{path}/{shard_name(shard)}")
-
+        rows = {}  # by shard, of which a task has one
         for batch in batches:
-            slots = np.array(batch.column(2).to_pylist(), dtype=np.int64)
-            for slot, payload in zip(slots.tolist(), batch.column(5), strict=True):
-                if slot // shard_slots != shard:
-                    close()
-                    shard, wrote = slot // shard_slots, 0
-                    temp = f"{path}/.{shard_name(shard)}.{attempt}"
-                    out = fs.open_output_stream(temp)
-                record = payload.as_py()
-                out.write(record + pad_id.to_bytes(width, "little") * (length - len(record) // width))
-                wrote += 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(slots // shard_slots), pa.array(slots % shard_slots * layout.stride), batch.column(3), batch.column(4)],
-                names=["id", "seq_no", "slot", "shard", "offset", "n_tokens", "ids_crc32"],
-            )
-        close()
-
-    numbered = rows.mapInArrow(number, f"id {kind}, seq_no long, slot long, n_tokens long, ids_crc32 long, payload binary")
+            for i in range(batch.num_rows):
+                rows.setdefault(batch.column(0)[i].as_py(), []).append([batch.column(k)[i].as_py() for k in range(1, 6)] + [batch.column(6)[i].values])
+        for shard, got in rows.items():
+            slots, seq_no, n_tokens, crc = (np.concatenate([_unpack(g[k], t) for g in got]) for k, t in ((0, "<i8"), (1, "<i8"), (2, "<u4"), (3, "<u4")))
+            if not np.array_equal(np.sort(slots), np.arange(layout.slots_of(shard)) + shard * shard_slots):
+                raise ValueError(f"shard {shard} has {len(slots)} records")
+            name = f"{path}/{shard_name(shard)}"
+            there = fs.get_file_info(name)
+            if not (same and there.is_file and there.size == len(slots) * layout.stride):
+                tokens = np.concatenate([_unpack(g[4], f"<u{width}") for g in got])
+                n = n_tokens.astype(np.int64)
+                out = np.full((len(slots), length), pad_id, dtype=f"<u{width}")
+                spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(slots % shard_slots, n), spot] = tokens
+                with fs.open_output_stream(f"{path}/.{shard_name(shard)}.{attempt}") as f:
+                    f.write(out.tobytes())
+                fs.move(f"{path}/.{shard_name(shard)}.{attempt}", name)
+            columns = [pa.array(x.astype(np.int64)) for x in (seq_no, slots, np.full(len(slots), shard), slots % shard_slots * layout.stride, n_tokens, crc)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([g[5] for g in got]), *columns], names=out_schema.names)
+
     shards = max(1, -(-total // shard_slots))
-    ranged = numbered.repartitionById(shards, F.expr(f"cast(slot div {shard_slots} as int)")).sortWithinPartitions("slot")
-    return ranged.mapInArrow(store, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    out_schema = with_id(docs, id_col, SCHEMA)
+    return told.mapInArrow(deal, dealt).repartitionById(shards, F.col("shard")).mapInArrow(store, out_schema)
+
+
+def _layout(fs: pyarrow.fs.FileSystem, path: str) -> Layout | None:
+    """The layout of an earlier write, if there is one that can be read."""
+    try:
+        with fs.open_input_stream(f"{path}/index.json") as f:
+            return Layout(**json.loads(f.read()))
+    except (FileNotFoundError, ValueError, TypeError):
+        return None
 
 
 def read_training_order(uri: str, start: int = 0) -> Iterator[np.ndarray]:

@@ -206,6 +206,16 @@ def test_token_store(spark, tmp_path):
     assert [x.tolist() for x in read_training_order(out_dir, 77)] == [x.tolist() for x in order[77:]]
     again = write_training_order(docs, out_dir, length=64, shard_slots=50).collect()
     assert sorted(again, key=lambda r: r.slot) == sorted(out, key=lambda r: r.slot)
+    # a write that was interrupted leaves shards that are whole as they are
+    first, second = sorted((tmp_path / "out").glob("*.bin"))[:2]
+    first.unlink()
+    before = second.stat().st_mtime_ns
+    write_training_order(docs, out_dir, length=64, shard_slots=50).collect()
+    assert first.exists() and second.stat().st_mtime_ns == before
+    assert [x.tolist() for x in read_training_order(out_dir)] == [x.tolist() for x in order]
+    write_training_order(docs, out_dir, length=64, shard_slots=50, key=7).collect()
+    other = [x.tolist() for x in read_training_order(out_dir)]
+    assert other != [x.tolist() for x in order] and sorted(other) == sorted(x.tolist() for x in order)
     assert write_training_order(docs.limit(0), f"file://{tmp_path}/none").count() == 0 and list(read_training_order(f"file://{tmp_path}/none")) == []
 
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronoloom.llm.packing import cuts, pack
+from chronoloom.llm.packing import cuts, default_tokenizer, encoder, pack
 
 
 def ids_of(text):
@@ -65,3 +65,29 @@ def test_empty(spark):
 def test_cuts(n):
     got = cuts(n, 2048, 1 / 64)
     assert sum(got) == n and all(2048 - (2048 // c) * c <= 32 or c == got[-1] for c in got)
+
+
+MIXED = ["<|ENDOFTEXT|>", "<|StartOfText|> a", "x<|endoftext|>y <|EndOfText|>", "<|startoftext|><|startoftext|>", "é" * 300 + " AK İ", "q" * 9000 + ". x"]
+
+
+def test_added_tokens_in_any_case():
+    e = encoder(default_tokenizer())
+    for t in MIXED:
+        assert [int.from_bytes(b, "little") for b in batched(e.encode([t.encode()])[0])] == ids_of(t)[:-1]
+
+
+def batched(x):
+    return [x[k : k + 4] for k in range(0, len(x), 4)]
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('61FF62206120C328') as string) as text")
+    ids = ids_of(b"a\xffb a \xc3(".decode(errors="replace"))
+    for r in pack(docs).collect():
+        part = ids[r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
+
+
+def test_odd_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b")], "`my id` long, `te-xt` string")
+    assert pack(docs, id_col="my id", text_col="te-xt").columns[0] == "my id"
