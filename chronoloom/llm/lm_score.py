@@ -1,18 +1,20 @@
-"""Cross-entropy difference of documents under matched bigram models of a target and a
-background corpus. Both models share one vocabulary, the kept bigrams and the estimator; each
-token's loss under the target less its loss under the background, averaged, scores a document.
-
-Every word and bigram that occurs MIN_COUNT times is in the models, whatever the size of the input. Counts and
-models are distributed tables. Only their most frequent entries, with at least a share of all tokens, are sent to the
-workers, which has a bound that doesn't depend on the input; the others are joined to the tokens by a shuffle, and
-as each is rare, none is a large group. Words that aren't sent are known by 63 bits of their hash.
+"""Cross-entropy difference of documents under matched bigram models of a target and a background corpus.
+
+Both models share one vocabulary, all words of the background and one more for the rest, and one estimator:
+P(x | v) = (c(v x) + MU * u(x)) / (c(v) + MU) with u(x) = (c(x) + 1) / (T + V). A document ends in a mark, which also
+stands before its first word. Each token's loss under the target less its loss under the background, averaged, scores a
+document. A document's own counts are left out of the models that score it.
+
+Nothing is cut by frequency, and no table of words or bigrams is sent to the workers but that of the most frequent
+words, which has a bound that doesn't depend on the input. Bigrams are dealt by their second word, and those that end
+in a frequent word by both; so whoever has all bigrams that end in a word also has that word's count, and can say what
+each occurrence adds to the loss of its document. Bigrams travel in packed arrays, and what comes back are sums by document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,255 +22,307 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import Scratch, utf8, words_of
+from .common import Scratch, column, utf8, with_id, words_of
 
-#: Words and bigrams with this share of all tokens are sent to the workers: at most 500,000 and 1,000,000.
-WORD_RATE, PAIR_RATE = 2e-6, 1e-6
-MIN_COUNT = 2
-#: Second keys of a word's values in the table of rare entries, and entries in a partition of it.
-UNIGRAM, BACKOFF, RARE_PART = 2**62, 2**62 + 1, 500_000
-#: Absolute discount of kept bigrams.
-DISCOUNT = 0.5
+#: Weight of the unigrams, in counts.
+MU = 32.0
+#: Words with this share of all tokens are frequent: at most 10,000.
+FREQUENT = 1e-4
+#: Tokens of a block of documents, bigrams that are counted at a time, and tasks that count.
+BLOCK, COUNTED, TASKS = 400_000, 2_000_000, 20_000
 #: Target ids are sent to all workers up to this number, 16 bytes each, and joined by a shuffle beyond.
 MAX_BROADCAST_IDS = 2_000_000
+#: Losses are summed as whole multiples of this, so that sums don't depend on their order.
+UNIT = 2.0**-24
+#: The mark before and after a document.
+MARK = np.uint64(0)
 
 
 @dataclass(frozen=True)
-class PairedModels:
-    """Logarithms under the two models (column 0: target, 1: background), of frequent words and bigrams."""
-
-    words: dict[bytes, int]  # word to id; 0 is every other word, as if unknown
-    unigram: np.ndarray  # id x 2
-    backoff: np.ndarray  # id x 2
-    pairs: np.ndarray  # sorted codes: first id * vocabulary size + second id
-    bigram: np.ndarray  # pair x 2
-    rare: DataFrame | None = None  # (a, b, d0, d1): what the other entries add to a token's logarithms
-
-    def frequent(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether the tokens at these places, and those before them, are a bigram of ``pairs``."""
-        if not len(self.pairs):
-            return np.zeros(len(at), dtype=bool)
-        code = ids[at - 1] * len(self.unigram) + ids[at]
-        return self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
-
-    def losses(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Loss of each token under each model. ``first``: tokens that begin a document, which have
-        no word before them."""
-        logp = self.unigram[ids].copy()
-        rest = np.flatnonzero(~first)
-        if len(rest):
-            v = ids[rest - 1]
-            logp[rest] += self.backoff[v]
-            if len(self.pairs):
-                code = v * len(self.unigram) + ids[rest]
-                at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-                known = self.pairs[at] == code
-                logp[rest[known]] = self.bigram[at[known]]
-        return -logp
-
-
-def _keys(texts: list[bytes | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each word, the id of a frequent one and else a negative hash, and the words of each text."""
-    split = [words_of(t) for t in texts]
-    get = known.get
-    keys = np.fromiter((get(w) or _hash(w) for words in split for w in words), dtype=np.int64)
-    return keys, np.array([len(w) for w in split], dtype=np.int64)
-
-
-def _hash(word: bytes) -> int:
-    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
-
-
-def _begins(sizes: np.ndarray) -> np.ndarray:
-    first = np.zeros(int(sizes.sum()), dtype=bool)
-    at = (np.cumsum(sizes) - sizes)[sizes > 0]
-    first[at] = True
-    return first
-
-
-def _columns(rows: pa.Table, *names: str) -> np.ndarray:
-    return np.stack([rows[n].to_numpy().astype(float) for n in names], axis=1)
-
-
-def flag_targets(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, target): whether the id is among ``targets`` (id), which is sent to all workers only up to
+class Totals:
+    """What is known of both corpora (0: target, 1: background): tokens with marks, words in the vocabulary, and the
+    counts of frequent words, sorted by key."""
+
+    tokens: tuple[int, int]
+    vocabulary: int
+    keys: np.ndarray
+    counts: np.ndarray  # word x 2
+
+
+def word_keys(words: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
+    """63 bits of each word's hash, never 0; ``known`` remembers them."""
+    out = []
+    for w in (x for ws in words for x in ws):
+        k = known.get(w)
+        if k is None:
+            k = known[w] = xxhash.xxh3_64_intdigest(w) >> 1 or 1
+        out.append(k)
+    return np.array(out, dtype=np.uint64)
+
+
+def flag_documents(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, flags): 3 if the id is among ``targets``, else 2. Targets are sent to all workers only up to
     a fixed number of ids."""
-    ids = targets.select(F.col(targets.columns[0]).alias("__target")).where("__target is not null").distinct()
+    ids = targets.select(column(targets.columns[0]).alias("__target")).where("__target is not null").distinct()
     many = ids.count() > MAX_BROADCAST_IDS
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), utf8(text_col).alias("text"))
     joined = rows.join(ids if many else F.broadcast(ids), rows["id"] == ids["__target"], "left")
-    return joined.select("id", "text", F.col("__target").isNotNull().alias("target"))
+    return joined.select("id", "text", F.when(F.col("__target").isNull(), 2).otherwise(3).alias("flags"))
 
 
-def train_models(flagged: DataFrame, *, word_rate: float = 0.0, pair_rate: float = 0.0, min_count: int = MIN_COUNT, sent_words: float = WORD_RATE, sent_pairs: float = PAIR_RATE, buffer: int = 2_000_000) -> PairedModels:
-    """The models of rows (id, text, target): the background is all rows, the target those flagged. Counts
-    are over whole texts of all rows and are summed on each worker before they are shuffled. Words and bigrams
-    are known from ``min_count`` on (or a share, if rates are given); ``sent_words`` and ``sent_pairs`` only
-    say which are sent to the workers.
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[list[bytes]], np.ndarray]]:
+    """Ids, words and flags of runs of documents of about ``most`` words."""
+    for batch in batches:
+        texts, flags = batch.column(1), batch.column(2).to_numpy()
+        at = start = n = 0
+        words: list[list[bytes]] = []
+        while at < batch.num_rows:
+            words.append(words_of(texts[at].as_py()))
+            n += len(words[-1])
+            at += 1
+            if n >= most or at - start == 65536 or at == batch.num_rows:
+                yield batch.column(0).slice(start, at - start), words, flags[start:at]
+                words, start, n = [], at, 0
 
-    Unigrams are add-one over the vocabulary and the rest. A known bigram that occurs in a corpus has its
-    discounted share there; what is left goes to the other words by their unigrams, so that each
-    history's probabilities sum to one."""
 
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # all words and last words of documents, of all documents and of the target
-        counts = tuple(Counter() for _ in range(4))
-
-        def emit() -> pa.RecordBatch:
-            words = list(counts[0])
-            out = [pa.array(words, pa.binary()), pa.array([_hash(w) for w in words], pa.int64())]
-            out += [pa.array([c[w] for w in words], pa.int64()) for c in counts]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays(out, names=["word", "key", "n", "n_target", "last", "last_target"])
+def count_words(rows: DataFrame) -> Totals:
+    """Totals of rows (id, text, flags). Words are summed on each worker before they are shuffled."""
 
-        for batch in batches:
-            for text, target in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text.as_py())
-                if words:
-                    counts[0].update(words)
-                    counts[2][words[-1]] += 1
-                    if target:
-                        counts[1].update(words)
-                        counts[3][words[-1]] += 1
-                if len(counts[0]) > 400_000:
-                    yield emit()
-        yield emit()
-
-    spark = flagged.sparkSession
-    scratch = Scratch(spark, "lm-score")
-    summed = [F.sum(c).alias(c) for c in ("n", "n_target", "last", "last_target")]
-    counted = flagged.mapInArrow(unigrams, "word binary, key long, n long, n_target long, last long, last_target long").groupBy("word", "key").agg(*summed)
-    counted = scratch.write(counted, "words")
-    total = counted.agg(F.sum("n"), F.sum("n_target")).first()
-    totals = [total[1] or 0, total[0] or 0]
-    known = counted.where(F.col("n") >= max(min_count, word_rate * totals[1]))
-    here = known.agg(F.count("*"), F.sum("n_target"), F.sum("n")).first()
-    size = here[0] + 1
-    wide = [t + size for t in totals]
-    often = F.col("n") >= sent_words * totals[1]
-    sent = known.where(often).toArrow().sort_by("word")
-    words = sent["word"].to_pylist()
-    ids = {w: i + 1 for i, w in enumerate(words)}
-    told = ["n_target as c0", "n as c1", "n_target - last_target as h0", "n - last as h1"]
-    frequent = spark.createDataFrame(sent.drop_columns(["word", "key"]).append_column("id", pa.array(range(1, len(words) + 1), pa.int64())), "n long, n_target long, last long, last_target long, id long")
-    table = known.where(~often).selectExpr("key as id", *told).unionByName(frequent.selectExpr("id", *told))
-    table = scratch.write(table, "vocabulary")
-    scratch.drop(counted)
-    held = spark.sparkContext.broadcast(ids)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        waiting: list[np.ndarray] = []
-        n = 0
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        held: dict[str, list[np.ndarray]] = {"key": [], "n0": [], "n1": []}
 
         def emit() -> pa.RecordBatch:
-            v, w, target = np.concatenate(waiting).T if waiting else np.zeros((3, 0), dtype=np.int64)
-            waiting.clear()
-            mixed = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            _, at, back = np.unique(mixed, return_index=True, return_inverse=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v[at]), pa.array(w[at]), pa.array(np.bincount(back, minlength=len(at)), pa.int64()), pa.array(np.bincount(back, target, len(at)).astype(np.int64))],
-                names=["v", "w", "n", "n_target"],
-            )
+            keys, back = np.unique(np.concatenate([*held["key"], np.zeros(0, np.uint64)]), return_inverse=True)
+            sums = [np.bincount(back, np.concatenate([*held[c], np.zeros(0)]), len(keys)).astype(np.int64) for c in ("n0", "n1")]
+            for h in held.values():
+                h.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], names=["key", "n0", "n1"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keys, sizes = _keys(part.column(1).to_pylist(), known)
-                if len(keys) < 2:
-                    continue
-                target = np.repeat(np.array(part.column(2).to_pylist(), dtype=np.int64), sizes)[1:]
-                inside = ~_begins(sizes)[1:]
-                waiting.append(np.stack([keys[:-1][inside], keys[1:][inside], target[inside]], axis=1))
-                n += len(keys)
-                if n > buffer:
-                    n = 0
-                    yield emit()
+        n = 0
+        for _, words, flags in _blocks(batches, BLOCK):
+            if len(known) > 300_000:
+                known.clear()
+            sizes = np.array([len(w) for w in words])
+            keys, back = np.unique(word_keys(words, known), return_inverse=True)
+            for name, value in (("key", keys), *((f"n{k}", np.bincount(back, np.repeat(flags >> k & 1, sizes), len(keys))) for k in range(2))):
+                held[name].append(value)
+            some = sizes > 0
+            held["key"].append(np.array([MARK]))
+            for k in range(2):
+                held[f"n{k}"].append(np.array([(flags[some] >> k & 1).sum()], dtype=float))
+            n += len(keys)
+            if n > 1_000_000:
+                yield emit()
+                n = 0
         yield emit()
 
-    found = flagged.mapInArrow(bigrams, "v long, w long, n long, n_target long").groupBy("v", "w").agg(F.sum("n").alias("n1"), F.sum("n_target").alias("n0"))
-    pairs = scratch.write(found.where(F.col("n1") >= max(min_count, pair_rate * totals[1])), "pairs")
-    # both words of a bigram must be known
-    second = scratch.again(table).selectExpr("id as w", "c0", "c1")
-    pairs_of = scratch.write(pairs.join(second, "w").join(scratch.again(table).selectExpr("id as v"), "v", "left_semi"), "known-pairs")
-    scratch.drop(pairs)
-    # whole and half numbers, whose sums don't depend on their order
-    sums = [F.sum(F.when(F.col(f"n{k}") > 0, x).otherwise(0)).alias(f"{name}{k}") for k in range(2) for name, x in (("used", F.col(f"n{k}") - F.lit(DISCOUNT)), ("over", F.col(f"c{k}") + 1))]
-    left = table.join(pairs_of.groupBy("v").agg(*sums), F.col("id") == F.col("v"), "left").drop("v").na.fill(0)
-    values = [F.expr(f"ln((c{k} + 1D) / {wide[k]}D)").alias(f"u{k}") for k in range(2)]
-    values += [F.expr(f"ln(greatest(1D - used{k} / greatest(h{k}, 1), 1e-12D) / greatest(1D - cast(over{k} as double) / {wide[k]}D, 1e-12D))").alias(f"o{k}") for k in range(2)]
-    vocabulary = scratch.write(left.select("id", "h0", "h1", *values), "histories")
-    first = vocabulary.selectExpr("id as v", "h0", "h1", "o0", "o1")
-    added = [F.expr(f"case when n{k} > 0 then ln((n{k} - {DISCOUNT}D) / h{k}) else o{k} + ln((c{k} + 1D) / {wide[k]}D) end").alias(f"p{k}") for k in range(2)]
-    base = [F.expr(f"o{k} + ln((c{k} + 1D) / {wide[k]}D)").alias(f"base{k}") for k in range(2)]
-    told_pairs = scratch.write(pairs_of.join(first, "v").select("v", "w", "n1", *added, *base), "bigrams")
-
-    local = vocabulary.where("id > 0").toArrow().sort_by("id")
-    unknown = np.log([((totals[k] - (here[k + 1] or 0)) + 1) / wide[k] for k in range(2)])
-    unigram = np.concatenate([unknown[None, :], _columns(local, "u0", "u1")])
-    backoff = np.concatenate([np.zeros((1, 2)), _columns(local, "o0", "o1")])
-    near = (F.col("v") > 0) & (F.col("w") > 0) & (F.col("n1") >= sent_pairs * totals[1])
-    both = told_pairs.where(near).toArrow()
-    code = both["v"].to_numpy() * len(unigram) + both["w"].to_numpy()
-    order = np.argsort(code)
-    rare = told_pairs.where(~near).selectExpr("v as a", "w as b", "p0 - base0 as d0", "p1 - base1 as d1")
-    for key, name, less in ((UNIGRAM, "u", unknown), (BACKOFF, "o", (0.0, 0.0))):
-        rare = rare.unionByName(scratch.again(vocabulary).where("id < 0").select(F.col("id").alias("a"), F.lit(key).cast("long").alias("b"), *[(F.col(f"{name}{k}") - F.lit(float(less[k]))).alias(f"d{k}") for k in range(2)]))
-    rare = scratch.write(rare, "rare")
-    return PairedModels(ids, unigram, backoff, code[order], _columns(both, "p0", "p1")[order], None if rare.isEmpty() else rare)
-
-
-def score_documents(docs: DataFrame, models: PairedModels, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, ``n_tokens``, ``h_target`` and ``h_background`` (nats a token) and ``score``, their
-    difference: lower is closer to the target. Texts without words (null, empty) have null losses.
-    Whole texts are scored; repeated rows give repeated results; other columns are ignored."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    spark, rare = docs.sparkSession, models.rare
-    held = spark.sparkContext.broadcast(replace(models, rare=None))
-    ask = rare is not None
+    counted = rows.mapInArrow(scan, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 > 0")
+    counted = Scratch(rows.sparkSession, "lm-words").write(counted, "words")
+    n0, n1, size = counted.agg(F.sum("n0"), F.sum("n1"), F.count("*")).first()
+    often = counted.where(F.col("n1") >= FREQUENT * (n1 or 0)).toArrow().sort_by("key")
+    return Totals((n0 or 0, n1 or 0), size + 1, often["key"].to_numpy().astype(np.uint64), np.stack([often[c].to_numpy() for c in ("n0", "n1")], axis=1))
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values in sorted columns."""
+    n = len(columns[0])
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, n))
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Arrays, one after the other, compressed."""
+    import zstandard
+
+    body = b"".join(np.uint32(len(c)).tobytes() + c.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _spread(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    body, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    for kind in kinds:
+        n = int(np.frombuffer(body, "<u4", 1, at)[0])
+        out.append(np.frombuffer(body, kind, n, at + 4))
+        at += 4 + n * np.dtype(kind).itemsize
+    return out
+
+
+#: Word keys, their events, document, own bigrams, own words of each; then each document's number, tokens and flags.
+EVENTS = ("<u8", "<u4", "<u2", "<u4", "<u4", "<u2", "<u2", "<u2", "<u4", "u1")
+
+
+def bigram_events(words: list[list[bytes]], flags: np.ndarray, known: dict[bytes, int], totals: Totals, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed events) of a block of documents: each bigram of each document once, with how often the document has it
+    and its second word."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    live = np.flatnonzero(sizes)
+    if not len(live):
+        return
+    keys, n = word_keys(words, known), sizes[live] + 1
+    ends = np.cumsum(n)
+    x = np.zeros(ends[-1], dtype=np.uint64)
+    x[np.delete(np.arange(len(x)), ends - 1)] = keys  # the mark is at each document's end
+    v = np.empty_like(x)
+    v[1:] = x[:-1]
+    v[ends - n] = MARK
+    doc = np.repeat(live, n)
+    order = np.lexsort((v, doc, x))
+    x, v, doc = x[order], v[order], doc[order]
+    at, own_word = _runs(x, doc)
+    own_word = np.repeat(own_word, own_word)
+    at, own = _runs(x, doc, v)
+    x, v, doc, own_word = x[at], v[at], doc[at], own_word[at]
+    if len(totals.keys):
+        spot = np.minimum(np.searchsorted(totals.keys, x), len(totals.keys) - 1)
+        frequent = totals.keys[spot] == x
+    else:
+        frequent = np.zeros(len(x), dtype=bool)
+    part = (_mix(x, np.where(frequent, v, np.uint64(0))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    starts, counts = _runs(part[order])
+    for start, count in zip(starts, counts, strict=True):
+        mine = order[start : start + count]
+        first, run = _runs(x[mine])
+        docs = np.unique(doc[mine])
+        low = v[mine]
+        yield int(part[mine[0]]), _squeeze(
+            x[mine][first], run.astype("<u4"), np.searchsorted(docs, doc[mine]).astype("<u2"), own[mine].astype("<u4"), own_word[mine].astype("<u4"),
+            *((low >> np.uint64(16 * k)).astype("<u2") for k in range(2)), docs.astype("<u2"), (sizes[docs] + 1).astype("<u4"), flags[docs].astype("u1"),
+            (low >> np.uint64(32)).astype("<u2"),
+        )
+
+
+def event_losses(blobs: list[bytes], totals: Totals, mu: float) -> list[bytes]:
+    """For blobs that have all events of their words, or of their bigrams where the word is frequent: each document's
+    number, and what they add to its losses, in units."""
+    got = [_spread(b, *EVENTS, "<u2") for b in blobs]
+    x = np.concatenate([np.repeat(g[0], g[1]) for g in got])
+    v = np.concatenate([g[5].astype(np.uint64) | g[6].astype(np.uint64) << np.uint64(16) | g[10].astype(np.uint64) << np.uint64(32) for g in got])
+    own, own_word = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (3, 4))
+    flags, tokens = (np.concatenate([g[k][g[2]] for g in got]).astype(np.int64) for k in (9, 8))
+    order = np.lexsort((v, x))
+    pair_at, pair_run = _runs(x[order], v[order])
+    word_at, word_run = _runs(x[order])
+    words = x[order][word_at]
+    spot = np.minimum(np.searchsorted(totals.keys, words), max(0, len(totals.keys) - 1)) if len(totals.keys) else None
+    loss = np.empty((len(x), 2))
+    for k in range(2):
+        mine = own * (flags >> k & 1)
+        pair = np.empty(len(x))
+        pair[order] = np.repeat(np.add.reduceat(mine[order], pair_at), pair_run)
+        count = np.add.reduceat(mine[order], word_at)
+        if spot is not None:
+            often = totals.keys[spot] == words
+            count[often] = totals.counts[spot[often], k]
+        word = np.empty(len(x))
+        word[order] = np.repeat(count, word_run)
+        inside = flags >> k & 1
+        word -= own_word * inside
+        unigram = (word + 1) / (totals.tokens[k] - tokens * inside + totals.vocabulary)
+        loss[:, k] = own * (np.log(word + mu) - np.log(pair - own * inside + mu * unigram))
+    units = np.rint(loss / UNIT).astype(np.int64)
+    out, at = [], 0
+    for g in got:
+        n = len(g[2])
+        out.append(_squeeze(g[7], *(np.bincount(g[2], units[at : at + n, k], len(g[7])).astype(np.int64) for k in range(2))))
+        at += n
+    return out
+
+
+def score_documents(rows: DataFrame, totals: Totals, id_col: str, id_type, *, mu: float = MU, counted: int = COUNTED) -> DataFrame:
+    """The scores of rows (id, text, flags). Bit 0 of the flags: in the target, bit 1: in the background; rows with neither
+    are only scored."""
+    subs = max(1, -(-totals.tokens[1] // counted))
+    tasks = min(TASKS, max(subs, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    held = rows.sparkSession.sparkContext.broadcast(totals)
+    kinds = "sub long,block long,kind int,data binary"
+    schema = StructType([*with_id(rows, "id", kinds).fields[1:], StructField("ids", ArrayType(id_type))])
+
+    def batch_of(sub: int, block: int, kind: int, data: bytes, ids: pa.Array) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([pa.array([sub]), pa.array([block]), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), lists], names=schema.names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        block = TaskContext.get().partitionId() << 32
+        for ids, words, flags in _blocks(batches, BLOCK):
+            if len(known) > 300_000:
+                known.clear()
+            none = ids.slice(0, 0)
+            sizes = np.array([len(w) for w in words], dtype="<u4")
+            yield batch_of(block % subs, block, 0, sizes.tobytes(), ids)
+            for sub, data in bigram_events(words, flags, known, held.value, subs):
+                yield batch_of(sub, block, 1, data, none)
+            block += 1
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by ``sub``; those of one are held at a time."""
+        now, blocks, blobs, none = None, [], [], None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for block, data in zip(blocks, event_losses(blobs, held.value, mu) if blobs else [], strict=True):
+                yield batch_of(0, block, 1, data, none)
+            blocks.clear()
+            blobs.clear()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, with its losses under what the worker has, and for each token's rare
-        bigram, rare word and rare word before it a row with the key of what is to be added."""
-        own = held.value
-        start = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keys, sizes = _keys(part.column(1).to_pylist(), own.words)
-                ids, begins = np.maximum(keys, 0), _begins(sizes)
-                row = np.arange(start, start + len(sizes))
-                start += len(sizes)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                loss = own.losses(ids, begins) if len(ids) else np.zeros((0, 2))
-                h = [np.bincount(doc, loss[:, k], len(sizes)) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, row, np.zeros_like(row), sizes, *h)] + [part.column(0)], names=names)
-                if ask and len(ids):
-                    rest = np.flatnonzero(~begins)
-                    pair = rest[~own.frequent(ids, rest)]
-                    word, after = np.flatnonzero(keys < 0), rest[keys[rest - 1] < 0]
-                    a = np.concatenate([keys[pair - 1], keys[word], keys[after - 1]])
-                    b = np.concatenate([keys[pair], np.full(len(word), UNIGRAM), np.full(len(after), BACKOFF)])
-                    none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.float64(), pa.float64(), part.column(0).type)]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[np.concatenate([pair, word, after])]]), pa.array(a), pa.array(b), *none], names=names)
-
-    names = ["row", "a", "b", "n_tokens", "l0", "l1", "id"]
-    out = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).mapInArrow(scan, f"row long, a long, b long, n_tokens long, l0 double, l1 double, id {kind}")
-    if ask:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare.count() // RARE_PART + 1)
-        joined = out.repartition(parts, "a", "b").join(rare.repartition(parts, "a", "b").hint("shuffle_hash"), ["a", "b"], "left")
-        each = [F.coalesce(f"l{k}", -F.col(f"d{k}")).alias(f"l{k}") for k in range(2)]
-        out = joined.select("row", "n_tokens", "id", *each).groupBy("row").agg(
-            F.first("id", ignorenulls=True).alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")
-        )
-    h0, h1 = (F.when(F.col("n_tokens") > 0, F.col(f"l{k}") / F.col("n_tokens")) for k in range(2))
-    return out.select(F.col("id").alias(id_col), "n_tokens", h0.alias("h_target"), h1.alias("h_background"), (h0 - h1).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rates) -> DataFrame:
-    """``score_documents`` under models of the documents whose ids are in ``targets`` and of all documents.
-    Without targets, or without documents, the target model is uniform."""
-    models = train_models(flag_targets(docs, targets, id_col, text_col), **rates)
-    return score_documents(docs, models, id_col=id_col, text_col=text_col)
+            none = batch.column(4).values.slice(0, 0)
+            for i, (sub, block, kind) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if sub != now:
+                    yield from emit()
+                    now = sub
+                if kind:
+                    blocks.append(block)
+                    blobs.append(batch.column(3)[i].as_py())
+                else:
+                    yield batch.slice(i, 1)
+        yield from emit()
+
+    def add(group: pa.Table) -> pa.Table:
+        """One block: the row that has its documents, and sums for them."""
+        group = group.combine_chunks()
+        first = group["kind"].to_pylist().index(0)
+        sizes = np.frombuffer(group["data"][first].as_py(), "<u4").astype(np.int64)
+        sums = np.zeros((len(sizes), 2), dtype=np.int64)
+        for kind, data in zip(group["kind"].to_pylist(), group["data"], strict=True):
+            if kind:
+                docs, *more = _spread(data.as_py(), "<u2", "<i8", "<i8")
+                for k in range(2):
+                    sums[docs, k] += more[k]
+        h = [pa.array(sums[:, k] * UNIT / np.maximum(sizes + 1, 1), mask=sizes == 0) for k in range(2)]
+        return pa.table([group["ids"][first].values, pa.array(sizes), *h], names=["id", "n_tokens", "h0", "h1"])
+
+    asked = rows.mapInArrow(ask, schema).withColumn("task", F.pmod("sub", F.lit(tasks)).cast("int"))
+    answered = asked.repartitionById(tasks, F.col("task")).drop("task").sortWithinPartitions("sub").mapInArrow(answer, schema)
+    summed = answered.groupBy("block").applyInArrow(add, with_id(rows, "id", "n_tokens long,h0 double,h1 double"))
+    return summed.select(F.col("id").alias(id_col), "n_tokens", F.col("h1").alias("h_background"), F.col("h0").alias("h_target"), (F.col("h0") - F.col("h1")).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, others: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, counted: int = COUNTED) -> DataFrame:
+    """One row per document: its id, ``n_tokens``, ``h_background`` and ``h_target`` (nats a token, the end included) and ``score``,
+    h_target less h_background: lower is closer to the target. The target is the documents whose ids are in ``targets``, the
+    background all of ``docs``. A document's own counts don't take part in its scores; ``others`` (same columns) are scored too
+    and not counted.
+
+    Counts are over whole texts of all rows. Texts without words (null, empty) have null losses and no part in the models.
+    Repeated rows count each and give each its result. Null ids are no targets. Other columns are ignored. Without targets the
+    target model is uniform; an empty table gives an empty result. ``docs`` is read twice.
+    """
+    flagged = flag_documents(docs, targets, id_col, text_col)
+    totals = count_words(flagged)
+    if others is not None:
+        flagged = flagged.unionByName(others.select(column(id_col).alias("id"), utf8(text_col).alias("text"), F.lit(0).alias("flags")))
+    return score_documents(flagged, totals, id_col, docs.schema[id_col].dataType, mu=mu, counted=counted)

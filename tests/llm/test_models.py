@@ -8,11 +8,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chronoloom.llm import near
+from chronoloom.llm import lm_score, near
 from chronoloom.llm.common import words_of
 from chronoloom.llm.html_text import extract_text, render
 from chronoloom.llm.lang_crf import Labeller, fit_crf, forward_backward, predict_languages, train_languages
-from chronoloom.llm.lm_score import DISCOUNT, cross_entropy_difference, flag_targets, train_models
+from chronoloom.llm.lm_score import MU, cross_entropy_difference
 from chronoloom.llm.paragraphs import drop_repeats, edit_similarity, find_repeats, tune_bands
 from chronoloom.llm.token_store import Feistel, read_training_order, write_training_order
 
@@ -26,80 +26,62 @@ def frame(spark, rows, extra="score"):
 # --- cross-entropy difference --------------------------------------------------------------------------------
 
 
-def brute_lm(rows, targets, word_rate, pair_rate):
-    """The same models from dictionaries, token by token."""
-    docs = [(i, words_of(t.encode()) if t else []) for i, t in rows]
+def brute_lm(rows, targets, others=()):
+    """The same losses from dictionaries, token by token, with each document left out of its own models."""
+    docs = [(i, ["$", *words_of(t.encode()), "$"] if t and words_of(t.encode()) else ["$"]) for i, t in rows]
     corpora = [[w for i, w in docs if i in targets], [w for _, w in docs]]
-    uni = [Counter(x for w in c for x in w) for c in corpora]
-    total = [sum(u.values()) for u in uni]
-    vocab = {w for w, n in uni[1].items() if n >= max(2, word_rate * total[1])}
-    size = len(vocab) + 1
-    name = lambda w: w if w in vocab else None
-    pairs = [Counter((name(a), name(b)) for w in c for a, b in itertools.pairwise(w)) for c in corpora]
-    kept = {p for p, n in pairs[1].items() if None not in p and n >= max(2, pair_rate * total[1])}
-    hist = [Counter() for _ in corpora]
-    for k in range(2):
-        for (a, _), n in pairs[k].items():
-            hist[k][a] += n
-    rest = [total[k] - sum(uni[k][w] for w in vocab) for k in range(2)]
-    p1 = lambda k, w: ((uni[k][w] if w is not None else rest[k]) + 1) / (total[k] + size)
-    back = [{}, {}]
-    for k in range(2):
-        for v in [*vocab, None]:
-            seen = [(v, w) for (x, w) in kept if x == v and pairs[k][v, w] > 0]
-            used = sum((pairs[k][p] - DISCOUNT) / hist[k][v] for p in seen)
-            back[k][v] = (1 - used) / (1 - sum(p1(k, w) for _, w in seen))
-
-    def prob(k, v, w):
-        if (v, w) in kept and pairs[k][v, w] > 0:
-            return (pairs[k][v, w] - DISCOUNT) / hist[k][v]
-        return back[k][v] * p1(k, w)
-
-    for k, v in itertools.product(range(2), list(vocab)[:5]):
-        assert sum(prob(k, v, w) for w in [*vocab, None]) == pytest.approx(1)
+    uni = [Counter(x for w in c for x in w[1:]) for c in corpora]
+    two = [Counter(p for w in c for p in itertools.pairwise(w)) for c in corpora]
+    size = len(uni[1]) + 1
     out = []
-    for i, w in docs:
-        h = [-np.mean([np.log(p1(k, name(w[0])))] + [np.log(prob(k, name(a), name(b))) for a, b in itertools.pairwise(w)]) if w else None for k in range(2)]
-        out.append((str(i), len(w), h[0], h[1]))
+    for n, (i, w) in enumerate([*docs, *((i, ["$", *words_of(t.encode()), "$"]) for i, t in others)]):
+        h = []
+        for k in range(2):
+            inside = n < len(docs) and (k or i in targets)
+            u, p = (c - Counter(own) if inside else c for c, own in ((uni[k], w[1:]), (two[k], itertools.pairwise(w))))
+            total = sum(u.values())
+            prob = lambda v, x: (p[v, x] + MU * (u[x] + 1) / (total + size)) / (u[v] + MU)  # noqa: B023, E731
+            if len(w) > 1:
+                assert sum(prob(w[0], x) for x in [*uni[1], None]) == pytest.approx(1)
+                h.append(-np.mean([np.log(prob(v, x)) for v, x in itertools.pairwise(w)]))
+            else:
+                h.append(None)
+        out.append((str(i), max(0, len(w) - 2), *h))
     return out
 
 
-def test_cross_entropy_difference(spark):
-    rng = random.Random(2)
-    vocab = [f"w{i}" for i in range(40)]
-    rows = [(i, " ".join(rng.choices(vocab, [1 / (1 + k) for k in range(40)], k=rng.choice([0, 1, 2, 30, 80])))) for i in range(80)] + [e for e in EDGE if e[0] != 903]
-    targets = set(range(0, 80, 3))
-    rates = {"word_rate": 0.004, "pair_rate": 0.002}
-    ids = spark.createDataFrame([(i,) for i in [*targets, 0, None, 5000]], "doc_id long")
-    out = cross_entropy_difference(frame(spark, rows), ids, **rates).collect()
+def same_scores(out, expected):
     key = lambda r: (r[0], r[1], r[3] or 0)
-    got = sorted(((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in out), key=key)
-    for a, b in zip(got, sorted(brute_lm(rows, targets, **rates), key=key), strict=True):
+    got = sorted(((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in out.collect()), key=key)
+    for a, b in zip(got, sorted(expected, key=key), strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
-    small = train_models(flag_targets(frame(spark, rows), ids, "doc_id", "text"), **rates, buffer=50)
-    whole = train_models(flag_targets(frame(spark, rows), ids, "doc_id", "text"), **rates)
-    assert np.array_equal(small.bigram, whole.bigram) and np.array_equal(small.backoff, whole.backoff)
 
 
-@pytest.mark.parametrize("sent", [(0.1, 0.1), (0.02, 0.01), (2.0, 2.0), None])
-def test_words_are_known_from_a_count_on(spark, monkeypatch, sent):
-    """As if the input were so large that a share of its tokens is more than the least count."""
-    rng = random.Random(7)
-    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(90)], [1 / (1 + k) for k in range(90)], k=rng.choice([0, 1, 25])))) for i in range(60)] + [(300, None)]
-    targets = set(range(0, 60, 4))
-    rates = dict(zip(("sent_words", "sent_pairs"), sent, strict=True)) if sent else {}
-    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
-    got = sorted((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in cross_entropy_difference(frame(spark, rows), ids, **rates).collect())
-    for a, b in zip(got, sorted(brute_lm(rows, targets, 0, 0)), strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+@pytest.mark.parametrize(("counted", "block", "frequent"), [(2_000_000, 400_000, 1e-4), (60, 100, 0.03), (200, 7, 1.1), (50, 400_000, 0.0)])
+def test_cross_entropy_difference(spark, monkeypatch, counted, block, frequent):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(vocab, [1 / (1 + k) for k in range(40)], k=rng.choice([0, 1, 2, 30, 80])))) for i in range(60)] + [e for e in EDGE if e[0] != 903]
+    targets = set(range(0, 60, 3))
+    ids = spark.createDataFrame([(i,) for i in [*targets, 0, None, 5000]], "doc_id long")
+    others = [(2000, "w1 w2 never w1 w2"), (0, rows[5][1] + " w3")]
+    same_scores(cross_entropy_difference(frame(spark, rows), ids, others=frame(spark, others), counted=counted), brute_lm(rows, targets, others))
 
 
 def test_rare_words_of_a_large_input_are_known(spark):
-    rows = [(i, "x " * 150_000) for i in range(10)] + [(20, "p q r s"), (21, "p q t"), (22, "x p q")]
-    ids = spark.createDataFrame([(20,)], "doc_id long")
-    got = sorted((str(r.doc_id), r.n_tokens, r.h_target, r.h_background) for r in cross_entropy_difference(frame(spark, rows), ids).collect())
-    for a, b in zip(got, sorted(brute_lm(rows, {20}, 0, 0)), strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:])
+    rows = [(i, "x " * 150_000) for i in range(3)] + [(20, "p q r s"), (21, "p q t"), (22, "x p q")]
+    same_scores(cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(20,)], "doc_id long")), brute_lm(rows, {20}))
+
+
+def test_documents_that_occur_twice_are_scored_apart(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choices([f"w{i}" for i in range(300)], k=60))
+    rows = [(i, text()) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    out = {r.doc_id: r.h_background for r in cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert max(out[i] for i in range(10)) < min(out[i] for i in range(10, 60))
 
 
 def test_scores_of_nothing(spark):
