@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8, words_of
+from .common import Scratch, utf8, with_id, words_of
 from .exact_dedup import bitmap_filter, passes_filter
 
 SMALL_BUCKET = 24
@@ -36,10 +37,10 @@ _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 
 class Shingler:
     """Distinct 64-bit hashes, sorted, of the runs of ``size`` words of a text; a text of fewer
-    words, but not none, is one run."""
+    words, but not none, is one run. ``ordered``: texts are equal if their words are, not their sets of runs."""
 
-    def __init__(self, size: int = 5, most: int = 500_000):
-        self.size, self.most = size, most
+    def __init__(self, size: int = 5, most: int = 300_000, ordered: bool = False):
+        self.size, self.most, self.ordered = size, most, ordered
         self.known: dict[bytes, int] = {}
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -54,32 +55,73 @@ class Shingler:
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
+    def runs(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words' hashes of several texts, with the number of words of each: the hash of each run, and
+        how many runs each text has."""
+        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))
+        total = np.zeros(len(h), dtype=np.uint64)
+        for k in range(min(self.size, int(sizes.max(initial=0)))):
+            x = h[k:] * _PLACE[k % 5] + np.uint64(k)
+            x = (x ^ (x >> np.uint64(29))) * _PLACE[(k + 2) % 5]
+            x[room[: len(x)] <= k] = 0
+            total[: len(x)] += x
+        begins = room >= self.size
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        total = total[begins]
+        total ^= total >> np.uint64(32)
+        return total * _PLACE[0], np.where(sizes > 0, np.maximum(1, sizes - self.size + 1), 0)
+
     def __call__(self, text: bytes | None) -> np.ndarray:
+        words = words_of(text)
+        return np.unique(self.runs(self.words(words), np.array([len(words)]))[0])
+
+    def key(self, text: bytes | None) -> bytes | None:
+        """What equal texts share; None without words."""
         words = words_of(text)
         if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h, n = self.words(words), max(1, len(words) - self.size + 1)
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(min(self.size, len(words))):
-            x = h[k : k + n] * _PLACE[k % 5] + np.uint64(k)
-            total += (x ^ (x >> np.uint64(29))) * _PLACE[(k + 2) % 5]
-        total ^= total >> np.uint64(32)
-        return np.unique(total * _PLACE[0])
+            return None
+        h = self.words(words)
+        return fingerprint(h if self.ordered else np.unique(self.runs(h, np.array([len(words)]))[0]))
+
+    def sketches(self, h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[list, list[int], list]:
+        """Of the words' hashes of several texts: keys, numbers of distinct runs, and signatures of ``k`` values of
+        32 bits. None, 0 and None without words."""
+        runs, counts = self.runs(h, sizes)
+        live = np.flatnonzero(counts)
+        keys: list = [None] * len(sizes)
+        sigs: list = [None] * len(sizes)
+        n = [0] * len(sizes)
+        if not len(live):
+            return keys, n, sigs
+        starts = (np.cumsum(counts) - counts)[live]
+        best = np.empty((len(live), k), dtype=np.uint32)
+        for j in range(k):
+            best[:, j] = np.minimum.reduceat(runs * _MULT[j] + _ADD[j], starts) >> np.uint64(32)
+        word = np.cumsum(sizes) - sizes
+        for row, (i, at) in enumerate(zip(live.tolist(), starts.tolist(), strict=True)):
+            own = np.sort(runs[at : at + counts[i]])
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            keys[i] = fingerprint(h[word[i] : word[i] + sizes[i]] if self.ordered else own)
+            n[i], sigs[i] = len(own), best[row].tobytes()
+        return keys, n, sigs
+
+
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` words."""
+    start = n = 0
+    for at, size in enumerate(sizes, 1):
+        n += size
+        if n >= most:
+            yield start, at
+            start, n = at, 0
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signature(hashes: np.ndarray, k: int) -> np.ndarray:
-    """``k`` MinHash values of 32 bits."""
-    best = np.full(k, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048, None] * _MULT[None, :k] + _ADD[None, :k]
-        np.minimum(best, part.min(axis=0), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
@@ -87,25 +129,36 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Words that are hashed at a time.
+WORDS = 50_000
+
+
 def sketch(rows: DataFrame, *, hashes: int, shingle: int = 5) -> DataFrame:
     """Of rows (id, text): id, fp, n (shingles) and sig. Texts without words have a null fp."""
-    kind = rows.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            fps, sizes, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingler(text)
-                fps.append(fingerprint(h) if len(h) else None)
-                sizes.append(len(h))
-                sigs.append(signature(h, hashes).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())],
-                names=["id", "fp", "n", "sig"],
-            )
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for start, end in slices(lengths, 6 * WORDS):
+                words = [words_of(t) for t in batch.column(1).slice(start, end - start).to_pylist()]
+                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                fps, n, sigs = shingler.sketches(shingler.words([w for ws in words for w in ws]), sizes, hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, end - start), pa.array(fps, pa.binary()), pa.array(n, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "fp", "n", "sig"]
+                )
 
-    return rows.select("id", utf8("text").alias("text")).mapInArrow(scan, f"id {kind}, fp binary, n int, sig binary")
+    return rows.select("id", utf8("text").alias("text")).mapInArrow(scan, with_id(rows, "id", "fp binary,n int,sig binary"))
+
+
+def tune_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
+    """(bands, rows): of those with at most ``most`` values in all that reach the recall at the
+    threshold, the most selective, with as many bands as fit."""
+    for rows in range(most, 0, -1):
+        bands = most // rows
+        if 1 - (1 - threshold**rows) ** bands >= recall:
+            return bands, rows
+    return most, 1
 
 
 def band_members(classes: DataFrame, scratch: Scratch, *, bands: int, rows: int) -> DataFrame:
@@ -138,13 +191,14 @@ def candidate_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
     return near.unionByName(star).groupBy("a", "b").agg(F.when(F.min("g") == 1, 1).otherwise(F.max("g")).cast("long").alias("g"))
 
 
-def prune_pairs(pairs: DataFrame, classes: DataFrame, rule: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """The pairs (a, b, g) whose signatures the rule lets pass."""
+def prune_pairs(pairs: DataFrame, classes: DataFrame, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
+    """The pairs (a, b, g) whose signatures the rule lets pass and whose sets differ in size by a factor of ``least`` at most: the
+    Jaccard index can't exceed it."""
     sig = classes.select("fp", "sig", "n")
     both = (
         pairs.join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
         .join(sig.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
-        .where("greatest(n_a, n_b) * 0.5 <= least(n_a, n_b)")
+        .where(F.greatest("n_a", "n_b") * F.lit(least - 1e-9) <= F.least("n_a", "n_b"))
         .select("a", "b", "g", "sig_a", "sig_b")
     )
 
@@ -158,16 +212,16 @@ def prune_pairs(pairs: DataFrame, classes: DataFrame, rule: Callable[[np.ndarray
     return both.mapInArrow(scan, "a binary, b binary, g long")
 
 
-def texts_of(rows: DataFrame, fps: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def texts_of(rows: DataFrame, fps: DataFrame, ids: DataFrame, shingle: int, ordered: bool = False) -> DataFrame:
     """One text (fp, text) for each of ``fps``. Rows are (id, text); ``ids`` has an id of each fp. A
     filter of bounded size on the ids keeps the other texts where they are."""
     blocks, bits = bitmap_filter(ids, "id", ids.count())
     near = passes_filter(rows.select("id", "text"), F.col("id"), blocks, bits).where("__hit").select(utf8("text").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(shingle)
+        shingler = Shingler(shingle, ordered=ordered)
         for batch in batches:
-            fps = [fingerprint(h) if len(h := shingler(t)) else None for t in batch.column(0).to_pylist()]
+            fps = [shingler.key(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), batch.column(0)], names=["fp", "text"])
 
     keyed = near.mapInArrow(scan, "fp binary, text binary")
@@ -195,9 +249,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, similar: Callable[[bytes, b
                 if b is None:
                     left = (a, shingler(text), text)
                     continue
-                s = jaccard(left[1], shingler(text))
-                if s < threshold and similar:
-                    s = max(s, similar(left[2], text))
+                s = similar(left[2], text) if similar else jaccard(left[1], shingler(text))
                 if s >= threshold:
                     out.append((a, b, s))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -213,15 +265,17 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # the minima are written first: then both sides of the join are dealt for it, and Spark can split a hub's edges
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "low")
         large = both.join(low, both["u"] == low["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        scratch.drop(low)
+        low = scratch.write(scratch.again(large).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "low")
         joined = large.join(low, large["u"] == low["k"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         after = scratch.write(small.where("u <> v").distinct(), "small")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges, large)
+        scratch.drop(edges, large, low)
         edges = after
         if tuple(state) == before:
             break
@@ -243,7 +297,7 @@ def rest_links(rows: DataFrame, members: DataFrame, parts: DataFrame, classes: D
     if mixed.isEmpty():
         return None
     involved = scratch.write(mixed.groupBy("fp").agg(F.min("id").alias("id")), "mixed-ids")
-    texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle), "mixed-texts")
+    texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle, similar is not None), "mixed-texts")
     bulk = mixed.groupBy("bk").agg(F.max("n").alias("most"))
 
     def side(frame: DataFrame) -> DataFrame:
@@ -286,9 +340,7 @@ def rest_links(rows: DataFrame, members: DataFrame, parts: DataFrame, classes: D
                     if (a := find(comp)) == (b := find(part[i])):
                         continue
                     other = right["text"].iloc[i]
-                    s = jaccard(hashes("l", k, text), hashes("r", i, other))
-                    if s < threshold and similar:
-                        s = max(s, similar(text, other))
+                    s = similar(text, other) if similar else jaccard(hashes("l", k, text), hashes("r", i, other))
                     if s >= threshold:
                         root[a] = b
                         got.append((fp, right["fp"].iloc[i], s))
@@ -309,7 +361,7 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
     told = scratch.write(told.join(classes.select("fp", "id", "n", "sig"), "fp"), "large")
     if told.isEmpty():
         return None
-    texts = scratch.write(texts_of(rows, told.select("fp"), told.select("id"), shingle), "large-texts")
+    texts = scratch.write(texts_of(rows, told.select("fp"), told.select("id"), shingle, similar is not None), "large-texts")
     bulk = large.join(told.select("fp", "n"), "fp").groupBy("bk").agg(F.max("n").alias("most"))
     each = F.expr(f"greatest(1, least({BLOCK}, {BLOCK_SHINGLES} div greatest(most, 1)))")
     full = large.join(scratch.again(told).select("fp", "wide", "sig"), "fp").join(texts, "fp").join(bulk, "bk")
@@ -346,8 +398,7 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
             marked[sets[k]] = False
             linked = both / (sizes[k] + sizes[near] - both) >= threshold
             if similar:
-                for at in np.flatnonzero(~linked):
-                    linked[at] = similar(texts_[k], texts_[near[at]]) >= threshold
+                linked = np.array([similar(texts_[k], texts_[i]) >= threshold for i in near])
             counts[near[linked]] += 1
             counts[k] += int(linked.sum())
         out = pd.DataFrame({"fp": fps, "n": counts})
@@ -362,29 +413,29 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
 class NearLinks:
     """Links and components of the texts of rows (id, text)."""
 
-    def __init__(self, rows: DataFrame, *, label: str, bands: int, band_rows: int, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, shingle: int = 5, hashes: int | None = None, similar: Callable[[bytes, bytes], float] | None = None):
-        self.scratch = scratch = Scratch(rows.sparkSession, label)
-        self.sketches = scratch.write(sketch(rows, hashes=hashes or bands * band_rows, shingle=shingle), "sketches")
+    def __init__(self, rows: DataFrame, *, scratch: Scratch, bands: int, band_rows: int, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, shingle: int = 5, sketches: DataFrame | None = None, similar: Callable[[bytes, bytes], float] | None = None):
+        self.scratch = scratch
+        self.sketches = sketches if sketches is not None else scratch.write(sketch(rows, hashes=bands * band_rows, shingle=shingle), "sketches")
         self.classes = scratch.write(
             self.sketches.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes"
         )
-        members = band_members(self.classes, scratch, bands=bands, rows=band_rows)
+        self.members = members = band_members(self.classes, scratch, bands=bands, rows=band_rows)
         links = self._links(rows, candidate_pairs(members, scratch), rule, threshold, shingle, similar)
-        self.parts = components(links, scratch)
+        self.parts = scratch.write(components(links, scratch), "parts")
         if not members.where(F.col("g") > SMALL_BUCKET).isEmpty():
             more = rest_links(rows, members, self.parts, self.classes, scratch, rule, similar, bands=bands, threshold=threshold, shingle=shingle)
             if more is not None and not more.isEmpty():
                 links = links.unionByName(more)
-                self.parts = components(links, scratch)
+                self.parts = scratch.write(components(links, scratch), "parts")
         self.links = links
         self._large = lambda: large_degrees(rows, members, self.classes, scratch, rule, similar, bands=bands, threshold=threshold, shingle=shingle)
 
     def _links(self, rows: DataFrame, pairs: DataFrame, rule, threshold: float, shingle: int, similar) -> DataFrame:
         scratch = self.scratch
-        self.pairs = pairs = scratch.write(prune_pairs(pairs, self.classes, rule), "pairs")
+        self.pairs = pairs = scratch.write(prune_pairs(pairs, self.classes, rule, 0.0 if similar else threshold), "pairs")
         fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         involved = scratch.write(self.classes.select("fp", "id").join(fps, "fp"), "involved")
-        texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle), "texts")
+        texts = scratch.write(texts_of(rows, involved.select("fp"), involved.select("id"), shingle, similar is not None), "texts")
         links = scratch.write(verify_pairs(pairs, texts, similar, threshold=threshold, shingle=shingle), "links")
         scratch.drop(texts, involved)
         return links

@@ -15,13 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import fresh, utf8
+from .common import Scratch, column, utf8, whole_row
 from .exact_dedup import bitmap_filter, passes_filter
-from .near import NearLinks, Shingler, fingerprint
+from .near import NearLinks, Shingler, tune_bands
 
-#: 16 bands of 4 values meet with probability 0.9998 at a similarity of 0.8.
-BANDS, BAND_ROWS = 16, 4
+#: Candidates at the threshold meet with at least this probability; a signature has so many values at most.
+RECALL, MOST_HASHES = 0.999, 64
 
 
 def fewest_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -52,10 +53,11 @@ def bayes_rule(threshold: float, tolerance: float, hashes: int, step: int = 8) -
     return rule
 
 
-def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-4, shingle: int = 5, bands: int = BANDS, band_rows: int = BAND_ROWS) -> NearLinks:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, tolerance: float = 1e-4, shingle: int = 5, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> NearLinks:
+    bands, band_rows = tune_bands(threshold, recall, most_hashes)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     rule = bayes_rule(threshold, tolerance, bands * band_rows)
-    return NearLinks(rows, label="near-join", bands=bands, band_rows=band_rows, rule=rule, threshold=threshold, shingle=shingle)
+    return NearLinks(rows, scratch=Scratch(docs.sparkSession, "near-join"), bands=bands, band_rows=band_rows, rule=rule, threshold=threshold, shingle=shingle)
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -91,9 +93,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:
-    """The documents, all columns as they were, with one of each class: that with the smallest id.
-    Texts without words stay. A filter of bounded size on the ids of classes with several
-    documents leaves all other documents where they are."""
+    """The documents, all columns as they were, with one of each class: that with the smallest id, and of
+    repeated rows one. Texts without words (null, empty) stay. A null id gives way to others. An empty table stays
+    empty. A filter of bounded size on the ids of classes with several documents leaves all other documents
+    where they are."""
     near = near_links(docs, id_col=id_col, text_col=text_col, shingle=shingle, **options)
     grouped = near.sketches.where("fp is not null").groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("best"), F.count("*").alias("n"))
     grouped = near.scratch.write(
@@ -106,18 +109,16 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         near.sketches.join(grouped.join(many, "component").select("fp"), "fp").select("id").distinct(), "ids"
     )
     blocks, bits = bitmap_filter(ids, "id", ids.count())
-    row, plain = fresh(docs.columns, "row"), fresh(docs.columns, "text")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_col).alias("__id"), utf8(text_col).alias(plain))
+    packed = docs.select(whole_row(docs), column(id_col).alias("__id"), utf8(text_col).alias("__text"))
     told = passes_filter(packed, F.col("__id"), blocks, bits)
-    hit = told.where("__hit").select(row, "__id", plain)
+    hit = told.where("__hit").select("row", "__id", "__text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            fps = [fingerprint(h) if len(h := shingler(t)) else None for t in batch.column(2).to_pylist()]
+            fps = [shingler.key(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["row", "own_id", "own_fp"])
 
-    kind = {f.name: f.dataType.simpleString() for f in hit.schema}
-    keyed = hit.mapInArrow(scan, f"row {kind[row]}, own_id {kind['__id']}, own_fp binary")
+    keyed = hit.mapInArrow(scan, StructType([hit.schema["row"], StructField("own_id", hit.schema["__id"].dataType), StructField("own_fp", BinaryType())]))
     kept = keyed.join(stay, keyed["own_id"].eqNullSafe(stay["__keep"]) & (keyed["own_fp"] == stay["__fp"])).dropDuplicates(["own_id", "own_fp"])
-    return told.where("not __hit").select(f"{row}.*").unionByName(kept.select("row.*")).unionByName(keyed.where("own_fp is null").select("row.*"))
+    return told.where("not __hit").select("row.*").unionByName(kept.select("row.*")).unionByName(keyed.where("own_fp is null").select("row.*"))

@@ -171,3 +171,25 @@ def test_posterior_bound():
     # all values match: never dropped; none match: always
     assert all(fewest_matches(n, 0.8, 1e-4) <= n for n in (8, 16, 64))
     assert fewest_matches(64, 0.8, 1e-4) > 30
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_recall_on_a_table(spark, threshold):
+    """All pairs at the threshold, of texts of the smallest table, share a class; links are counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    comps, links = brute_components(rows, threshold)
+    out = {r.doc_id: r for r in near_classes(docs, threshold=threshold).collect()}
+    found = wanted = 0
+    for (i, _), c, n in zip(rows, comps, links, strict=True):
+        low = min(j for (j, _), d in zip(rows, comps, strict=True) if d == c)
+        found += out[i].class_id == low
+        wanted += n
+    assert found >= 0.99 * len(rows) and sum(r.n_links for r in out.values()) >= 0.99 * wanted
+
+
+def test_names_that_need_quotes(spark):
+    docs = spark.createDataFrame([(1, "a b", 1), (2, "a b", 2), (3, None, 3)], "`my id` long, `te-xt` string, `a.b` int")
+    assert near_classes(docs, id_col="my id", text_col="te-xt").count() == 3
+    left = drop_near_copies(docs, id_col="my id", text_col="te-xt")
+    assert left.columns == docs.columns and left.count() == 2

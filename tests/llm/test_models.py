@@ -13,7 +13,8 @@ from chronoloom.llm.common import words_of
 from chronoloom.llm.html_text import extract_text, render
 from chronoloom.llm.lang_crf import Labeller, fit_crf, forward_backward, predict_languages, train_languages
 from chronoloom.llm.lm_score import MU, cross_entropy_difference
-from chronoloom.llm.paragraphs import drop_repeats, edit_similarity, find_repeats, tune_bands
+from chronoloom.llm.near import tune_bands
+from chronoloom.llm.paragraphs import drop_repeats, edit_similarity, find_repeats
 from chronoloom.llm.token_store import Feistel, read_training_order, write_training_order
 
 EDGE = [(None, "a b"), (None, None), (900, None), (901, ""), (902, "!?"), (903, "x " * 30_000), (904, "same same"), (904, "same same")]
@@ -272,7 +273,7 @@ def test_paragraphs(spark, monkeypatch, small):
     out = {r.doc_id: r for r in find_repeats(docs).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
-        assert out[i].n_paragraphs == (0 if t is None else len(t.split("\n")))
+        assert out[i].n_lines == (0 if t is None else len(t.split("\n")))
         assert (out[i].n_repeated, sorted(out[i].removed), out[i].n_removed) == (repeated[i], sorted(removed.get(i, [])), len(removed.get(i, [])))
     left = {r.doc_id: r for r in drop_repeats(docs).collect()}
     assert list(left[0].asDict()) == docs.columns
@@ -300,6 +301,37 @@ def test_passages_inside_lines(spark):
     assert len(out) == len(rows)
 
 
+def test_paragraphs_by_edits(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, pairs = [], []
+    for k in range(40):
+        w = [word() for _ in range(40)]
+        rows.append((3 * k, " ".join(w)))
+        v = w[:]
+        for at in rng.sample(range(40), edits := rng.choice([2, 5, 8, 12])):
+            v[at] = word()
+        rows += [(3 * k + 1, " ".join(v)), (3 * k + 2, " ".join(sorted(w)))]  # the same words in another order aren't a repeat
+        pairs.append(edits <= 8)
+    out = {r.doc_id: r.n_repeated for r in find_repeats(frame(spark, rows), verify="edit").collect()}
+    assert [(out[3 * k], out[3 * k + 1], out[3 * k + 2]) for k in range(40)] == [(1, 1, 0) if p else (0, 0, 0) for p in pairs]
+
+
+def test_recall_on_a_table(spark):
+    """Documents whose id is divisible by 100 against all: each run of 50 words that another document holds is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = {r.doc_id: words_of((r.text or "").encode()) for r in docs.collect()}
+    holders = {}
+    for i, w in words.items():
+        for p in range(len(w) - 49):
+            holders.setdefault(tuple(w[p : p + 50]), set()).add(i)
+    shares = {i for ids in holders.values() if len(ids) > 1 for i in ids}
+    out = {r.doc_id: r for r in find_repeats(docs).collect()}
+    assert shares and all(out[i].n_passages for i in shares)
+    asked = [i for i in words if i % 100 == 0]
+    assert asked and all(out[i].n_passages for i in asked if i in shares)
+
+
 def test_paragraphs_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert find_repeats(empty).count() == 0 and drop_repeats(empty).count() == 0
