@@ -2,7 +2,9 @@
 
 Each word has affix, character n-gram and lexicon features; transitions between the languages of
 neighbouring words are learned. Forward-backward gives every word's probabilities, so that texts
-that switch language are labelled word by word; a document's language has the greatest mean.
+that switch language are labelled word by word; a document's language has the greatest mean. A text is one
+chain, however long: messages run within stretches of it at the same time, and stretches are run again from
+what their neighbours say until nothing changes.
 """
 
 from __future__ import annotations
@@ -14,15 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, words_of
+from .common import column, utf8, with_id, words_of
 
-#: Documents that training sees at most, and words of each.
-MAX_TRAINING_DOCS, TRAINING_WORDS = 2400, 64
-#: Buckets of hashed features; features of a word at most; words of a chain.
-BUCKETS, MOST_FEATURES, CHAIN = 1 << 17, 28, 128
+#: Documents that training sees at most, and characters of each: longer documents are not chosen.
+MAX_TRAINING_DOCS, MAX_TRAINING_CHARS = 480, 8000
+#: Buckets of hashed features; words of a stretch.
+BUCKETS, STRETCH = 1 << 17, 128
 LEXICON_WORDS = 200
 UNKNOWN = "und"
 
@@ -37,45 +39,106 @@ class LangModel:
 
 def word_features(word: bytes, lexicon: dict[bytes, tuple[int, ...]]) -> list[int]:
     """Hashed features: the lexicons it is in, prefixes, suffixes and character n-grams."""
-    s = word.decode("utf-8", "replace").lower()[:24]
+    s = word.decode("utf-8", "replace").lower()
     names = [f"l{k}" for k in lexicon.get(word, ())]
     names += [f"p{s[:k]}" for k in (1, 2, 3)] + [f"s{s[-k:]}" for k in (1, 2, 3, 4)]
     edged = f"^{s}$"
     names += [f"g{edged[i : i + 2]}" for i in range(len(edged) - 1)]
     names += [f"g{edged[i : i + 3]}" for i in range(len(edged) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in dict.fromkeys(names)][:MOST_FEATURES]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in dict.fromkeys(names)]
 
 
 def has_letter(word: bytes) -> bool:
     return any(c.isalpha() for c in word.decode("utf-8", "replace"))
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (time x chains x labels) and expected transition counts, of chains padded to the
-    same length. ``emit``: logarithmic scores."""
-    steps, chains, labels = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True))
-    t = np.exp(transitions)
-    alpha = np.empty_like(e)
-    a = np.full((chains, labels), 1.0 / labels, dtype=e.dtype)
-    for k in range(steps):
-        a = (a @ t if k else a) * e[k]
-        a = a / a.sum(axis=1, keepdims=True)
-        alpha[k] = a
-    beta = np.ones((chains, labels), dtype=e.dtype)
-    marginals = np.empty_like(e)
-    pairs = np.zeros((labels, labels))
-    for k in range(steps - 1, -1, -1):
-        if k + 1 < steps:
-            inner = e[k + 1] * beta
-            inside = (k + 1 < lengths)[:, None]
-            joint = alpha[k][:, :, None] * t[None] * inner[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True))[inside[:, 0]].sum(axis=0)
-            beta = np.where(inside, inner @ t.T, 1.0)
-            beta = beta / beta.sum(axis=1, keepdims=True)
-        m = alpha[k] * beta
-        marginals[k] = m / m.sum(axis=1, keepdims=True)
-    return marginals, pairs
+class Messages:
+    """Forward and backward messages of texts as chains: ``alpha`` and ``beta``, a row for each word, each summing to
+    one. ``e``: exponentials of the words' scores; ``sizes``: words of each text."""
+
+    def __init__(self, e: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, stretch: int = STRETCH):
+        self.t = np.exp(transitions).astype(e.dtype)
+        self.near = 1e-6 if e.dtype == np.float32 else 1e-12
+        n, labels = e.shape
+        within = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        starts = np.flatnonzero(within % stretch == 0)
+        self.first = within[starts] == 0
+        lengths = np.diff(np.append(starts, n))
+        self.alpha, self.beta = np.empty_like(e), np.empty_like(e)
+        for lo, hi in _groups(lengths):
+            self._within(e, starts[lo:hi], lengths[lo:hi], self.first[lo:hi])
+        ends = starts + lengths - 1
+        going = np.flatnonzero(~self.first)  # stretches with one before them
+        said = np.full((len(starts), labels), 1 / labels, dtype=e.dtype)
+        while len(going):  # what the stretch before says now, and did not when this one was run
+            now = self.alpha[ends[going - 1]]
+            new = np.abs(now - said[going]).max(axis=1) > self.near
+            going, now = going[new], now[new]
+            said[going] = now
+            self._again(e, starts[going], lengths[going], now)
+            going = going[(going + 1 < len(starts)) & ~np.append(self.first, True)[going + 1]] + 1
+        going = np.flatnonzero(~self.first) - 1  # stretches with one after them
+        heard = np.full((len(starts), labels), 1 / labels, dtype=e.dtype)
+        while len(going):
+            after = starts[going + 1]
+            now = _unit((e[after] * self.beta[after]) @ self.t.T)
+            new = np.abs(now - heard[going]).max(axis=1) > self.near
+            going, now = going[new], now[new]
+            heard[going] = now
+            self._back(e, ends[going], lengths[going], now)
+            going = going[~self.first[going]] - 1
+
+    def _within(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> None:
+        """All stretches from the same beginning and end, the longest first."""
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, first = starts[order], lengths[order], first[order]
+        live = [int(x) for x in np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")]
+        a = np.full((len(starts), e.shape[1]), 1 / e.shape[1], dtype=e.dtype)
+        begun = np.where(first[:, None], a, _unit(a @ self.t))
+        for k, m in enumerate(live):
+            a = _unit(((a[:m] @ self.t) if k else begun[:m]) * e[starts[:m] + k])
+            self.alpha[starts[:m] + k] = a
+        ends = starts + lengths - 1
+        b = np.full((len(starts), e.shape[1]), 1 / e.shape[1], dtype=e.dtype)
+        self.beta[ends] = b
+        for k, m in list(enumerate(live))[1:]:
+            at = ends[:m] - k
+            b = _unit((e[at + 1] * b[:m]) @ self.t.T)
+            self.beta[at] = b
+
+    def _again(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray) -> None:
+        """Forward from ``a``, until each stretch says what it said before."""
+        k = 0
+        while len(starts):
+            a = _unit((a @ self.t) * e[starts + k])
+            new = np.abs(a - self.alpha[starts + k]).max(axis=1) > self.near
+            self.alpha[starts + k] = a
+            k += 1
+            go = new & (k < lengths)
+            starts, lengths, a = starts[go], lengths[go], a[go]
+
+    def _back(self, e: np.ndarray, ends: np.ndarray, lengths: np.ndarray, b: np.ndarray) -> None:
+        k = 0
+        while len(ends):
+            at = ends - k
+            new = np.abs(b - self.beta[at]).max(axis=1) > self.near
+            self.beta[at] = b
+            k += 1
+            go = new & (k < lengths)
+            ends, lengths = ends[go], lengths[go]
+            b = _unit((e[at[go]] * b[go]) @ self.t.T)
+
+    def marginals(self) -> np.ndarray:
+        return _unit(self.alpha * self.beta)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=1, keepdims=True)
+
+
+def _groups(lengths: np.ndarray, most: int = 4096) -> Iterator[tuple[int, int]]:
+    for lo in range(0, len(lengths), most):
+        yield lo, min(len(lengths), lo + most)
 
 
 def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, ...], *, steps: int = 50, rate: float = 0.15, l2: float = 1e-6) -> LangModel:
@@ -94,28 +157,28 @@ def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, .
     at = np.repeat(np.arange(len(types)), [len(f) for f in features])
     cols = np.array([x for f in features for x in f], dtype=np.int64)
     used, cols = np.unique(cols, return_inverse=True)
-    longest = max(len(w) for w, _ in chains)
-    ids = np.zeros((longest, len(chains)), dtype=np.int64)
-    gold = np.zeros((longest, len(chains)), dtype=np.int64)
-    lengths = np.array([len(w) for w, _ in chains])
-    for c, (words, labels) in enumerate(chains):
-        ids[: len(words), c] = [types[w] for w in words]
-        gold[: len(words), c] = labels
-    real = np.arange(longest)[:, None] < lengths
-    total = real.sum()
+    sizes = np.array([len(words) for words, _ in chains])
+    ids = np.array([types[w] for words, _ in chains for w in words])
+    gold = np.array([y for _, labels in chains for y in labels])
+    total = len(ids)
     gold_types = np.zeros((len(types), n_lang))
-    np.add.at(gold_types, (ids[real], gold[real]), 1.0)
-    follows = real[1:]
+    np.add.at(gold_types, (ids, gold), 1.0)
+    follows = np.ones(total, dtype=bool)
+    follows[np.cumsum(sizes) - sizes] = False
+    after = np.flatnonzero(follows)
     gold_pairs = np.zeros((n_lang, n_lang))
-    np.add.at(gold_pairs, (gold[:-1][follows], gold[1:][follows]), 1.0)
+    np.add.at(gold_pairs, (gold[after - 1], gold[after]), 1.0)
     w = np.zeros((len(used), n_lang))
     t = np.zeros((n_lang, n_lang))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     for step in range(1, steps + 1):
         scores = np.stack([np.bincount(at, w[cols, y], len(types)) for y in range(n_lang)], axis=1)
-        marginals, pairs = forward_backward(scores[ids], lengths, t)
-        flat = ids[real]
-        expected = np.stack([np.bincount(flat, marginals[..., y][real], len(types)) for y in range(n_lang)], axis=1)
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))[ids]
+        passed = Messages(e, sizes, t)
+        marginals = passed.marginals()
+        joint = passed.alpha[after - 1][:, :, None] * np.exp(t)[None] * (e[after] * passed.beta[after])[:, None, :]
+        pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        expected = np.stack([np.bincount(ids, marginals[:, y], len(types)) for y in range(n_lang)], axis=1)
         gap = (expected - gold_types) / total
         gw = np.stack([np.bincount(cols, gap[at, y], len(used)) for y in range(n_lang)], axis=1) + l2 * w
         gt = (pairs - gold_pairs) / total + l2 * t
@@ -128,20 +191,20 @@ def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, .
     return LangModel(languages, weights, t, lexicon)
 
 
-def training_part(id_col: str = "doc_id") -> F.Column:
+def training_part(id_col: str = "doc_id") -> Column:
     """True for documents whose language may be learned from: crc32 of the id mod 4 is not 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS) -> LangModel | None:
-    """Fit on at most ``max_docs`` documents with a language, outside the held-out part: those with the
-    smallest hash of their id, in equal parts by language as far as there are any, and of each
-    TRAINING_WORDS words from its middle. A third of the chains join two documents, so that
+def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS, max_chars: int = MAX_TRAINING_CHARS) -> LangModel | None:
+    """Fit on at most ``max_docs`` documents with a language, outside the held-out part, of at most ``max_chars``
+    characters: those with the smallest hash of their id, in equal parts by language as far as there are any, and
+    all of their texts. Of rows that repeat an id one is used. A third of the chains join two documents, so that
     transitions are seen. None if there is nothing to learn from."""
     from pyspark.sql import Window
 
-    labelled = docs.where(training_part(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = labelled.select(F.col(id_col).alias("__k"), F.col(lang_col).cast("string").alias("__lang"))
+    labelled = docs.where(training_part(id_col) & column(lang_col).isNotNull() & (F.char_length(column(text_col)) <= max_chars))
+    keys = labelled.select(column(id_col).alias("__k"), column(lang_col).cast("string").alias("__lang"))
     languages = sorted(r[0] for r in keys.select("__lang").distinct().collect())
     if not languages:
         return None
@@ -151,16 +214,12 @@ def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for by in (("__lang", salt), ("__lang",)):  # the first of each salt, and of those the first of each language
         ranked = chosen.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         chosen = ranked.where(F.col("__r") <= share).drop("__r")
-    chosen = chosen.select("__k").distinct()
-    middle = F.substring(text_col, F.greatest(F.lit(1), F.expr(f"cast(char_length(`{text_col}`) div 2 as int) - 400")), F.lit(1200))
-    rows = (
-        labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("__k"))
-        .select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), utf8(middle).alias("t"))
-        .collect()
-    )
+    chosen = chosen.select(F.col("__k").alias("__c")).distinct()
+    rows = labelled.select(column(id_col).alias("k"), F.struct(F.xxhash64(column(text_col)), column(lang_col).cast("string").alias("lang"), utf8(text_col).alias("t")).alias("best"))
+    rows = rows.join(F.broadcast(chosen), F.col("k") == F.col("__c")).groupBy("k").agg(F.max("best").alias("best")).select("k", "best.lang", "best.t").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), str(r.k), r.lang))
     index = {x: i for i, x in enumerate(languages)}
-    parts = [(words_of(bytes(r.t))[1:-1][:TRAINING_WORDS] or words_of(bytes(r.t)), index[r.lang]) for r in rows]
+    parts = [(words_of(bytes(r.t)), index[r.lang]) for r in rows]
     parts = [(w, y) for w, y in parts if w]
     if not parts:
         return None
@@ -169,8 +228,7 @@ def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         chains.append((words, [y] * len(words)))
         other, z = parts[(i * 7 + 3) % len(parts)]
         if i % 2 == 0 and z != y:
-            a, b = words[: len(words) // 2], other[: len(other) // 2]
-            chains.append((a + b, [y] * len(a) + [z] * len(b)))
+            chains.append((words + other, [y] * len(words) + [z] * len(other)))
     chains = [c for c in chains if c[0]]
     return fit_crf(chains, tuple(languages))
 
@@ -178,7 +236,7 @@ def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 class Labeller:
     """Scores of words, remembered, and marginals of documents."""
 
-    def __init__(self, model: LangModel, most: int = 400_000):
+    def __init__(self, model: LangModel, most: int = 300_000):
         self.model, self.most = model, most
         self._reset()
 
@@ -211,43 +269,9 @@ class Labeller:
         doc = np.repeat(np.arange(len(texts)), sizes)
         if not len(ids):
             return np.zeros((0, self.scores.shape[1])), np.zeros(0, bool), doc
-        within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = np.flatnonzero(within % CHAIN == 0)
-        chain = np.cumsum(within % CHAIN == 0) - 1
-        lengths = np.diff(np.append(starts, len(ids)))
-        step = within % CHAIN
-        out = np.empty((len(ids), self.scores.shape[1]), dtype=np.float32)
-        rank = np.argsort(lengths, kind="stable")
-        for at in range(0, len(rank), 2048):
-            group = rank[at : at + 2048]
-            place = np.full(len(lengths), -1)
-            place[group] = np.arange(len(group))
-            mine = np.flatnonzero(place[chain] >= 0)
-            emit = np.zeros((lengths[group].max(), len(group), self.scores.shape[1]), dtype=np.float32)
-            emit[step[mine], place[chain[mine]]] = self.scores[ids[mine]]
-            got = smooth(emit, lengths[group], self.model.transitions)
-            out[mine] = got[step[mine], place[chain[mine]]]
-        return out, self.letter[ids], doc
-
-
-def smooth(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """The marginals of ``forward_backward`` alone."""
-    steps, chains, labels = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True))
-    t = np.exp(transitions).astype(e.dtype)
-    alpha = np.empty_like(e)
-    a = np.full((chains, labels), 1.0 / labels, dtype=e.dtype)
-    for k in range(steps):
-        a = (a @ t if k else a) * e[k]
-        a /= a.sum(axis=1, keepdims=True)
-        alpha[k] = a
-    beta = np.ones((chains, labels), dtype=e.dtype)
-    for k in range(steps - 2, -1, -1):
-        beta = np.where((k + 1 < lengths)[:, None], (e[k + 1] * beta) @ t.T, np.float32(1))
-        beta /= beta.sum(axis=1, keepdims=True)
-        alpha[k] *= beta
-        alpha[k] /= alpha[k].sum(axis=1, keepdims=True)
-    return alpha
+        scores = self.scores[ids]
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        return Messages(e, sizes, self.model.transitions).marginals(), self.letter[ids], doc
 
 
 def predict_languages(docs: DataFrame, model: LangModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,12 +280,11 @@ def predict_languages(docs: DataFrame, model: LangModel | None, *, id_col: str =
     words whose most probable languages differ).
 
     Only the text is read. A text that is null or has no letter, and any text without a model, is
-    'und' with score 0. A null id is not held out. Words of the whole text are labelled, in chains of
-    CHAIN words. Repeated rows give repeated results; other columns are ignored.
+    'und' with score 0. A null id is not held out. Words of the whole text are labelled, as one chain.
+    Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, n_switches long"
+    schema = with_id(docs, id_col, "held_out boolean,lang_pred string,score double,n_switches long")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -272,7 +295,7 @@ def predict_languages(docs: DataFrame, model: LangModel | None, *, id_col: str =
             at = 0
             while at < batch.num_rows:
                 part, n = [], 0
-                while at < batch.num_rows and (not part or n < 200_000):
+                while at < batch.num_rows and (not part or n < 100_000):
                     part.append(words_of(texts[at].as_py()))
                     n += len(part[-1])
                     at += 1
@@ -297,5 +320,5 @@ def predict_languages(docs: DataFrame, model: LangModel | None, *, id_col: str =
                 names=[id_col, "held_out", "lang_pred", "score", "n_switches"],
             )
 
-    out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return docs.select(F.col(id_col), out.alias("__out"), utf8(text_col).alias("__text")).mapInArrow(scan, schema)
+    out = F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return docs.select(column(id_col), out.alias("__out"), utf8(text_col).alias("__text")).mapInArrow(scan, schema)

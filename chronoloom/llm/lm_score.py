@@ -32,8 +32,8 @@ MU = 32.0
 FREQUENT = 1e-4
 #: Tokens of a block of documents, bigrams that are counted at a time, and tasks that count.
 BLOCK, COUNTED, TASKS = 400_000, 2_000_000, 20_000
-#: Target ids are sent to all workers up to this number, 16 bytes each, and joined by a shuffle beyond.
-MAX_BROADCAST_IDS = 2_000_000
+#: Target ids are sent to all workers up to this number, some 70 bytes each, and joined by a shuffle beyond.
+MAX_BROADCAST_IDS = 500_000
 #: Losses are summed as whole multiples of this, so that sums don't depend on their order.
 UNIT = 2.0**-24
 #: The mark before and after a document.

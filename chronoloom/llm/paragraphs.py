@@ -175,7 +175,7 @@ def repeated_passages(sketched: DataFrame, scratch: Scratch) -> DataFrame:
     each = units.select("doc", F.explode(F.arrays_zip("keys", "at")).alias("u")).select("doc", F.col("u.keys").alias("key"), F.col("u.at").alias("at"))
     near = passes_filter(each, F.col("key"), blocks, bits).where("__hit").select("doc", "key", "at")
     return near.join(scratch.again(shared), "key").groupBy(F.col("doc").alias("__in")).agg(
-        F.countDistinct("key").alias("n_passages"), F.array_sort(F.collect_set("at")).alias("passages"), F.array_sort(F.collect_set("first")).alias("passage_docs")
+        F.size(F.collect_set("key")).cast("long").alias("n_passages"), F.array_sort(F.collect_set("at")).alias("passages"), F.array_sort(F.collect_set("first")).alias("passage_docs")
     )
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, utf8, words_of
+from .common import Scratch, column, utf8, whole_row, with_id, words_of
 
 #: Labelled rows that training sees at most: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 8000
@@ -109,7 +109,7 @@ def _word_features(word: bytes) -> list[int]:
 class _Known:
     """The features of a text that are in ``index``, with those of each word remembered."""
 
-    def __init__(self, index: dict[int, int] | None, most: int = 300_000):
+    def __init__(self, index: dict[int, int] | None, most: int = 200_000):
         self.index, self.most = index, most
         self.words: dict[bytes, tuple[int, ...]] = {}
 
@@ -137,6 +137,26 @@ def _g(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
     return 2 * total
 
 
+def cross_fitted(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, n_features: int) -> np.ndarray:
+    """A score for each row, by weights fit on the labels of the rows of the other half."""
+    half, out = np.arange(len(labels)) % 2, np.zeros(len(labels))
+    for k in range(2):
+        train = np.flatnonzero(half != k)
+        place = np.full(len(labels), -1)
+        place[train] = np.arange(len(train))
+        own = place[rows] >= 0
+        w, _ = fit_ordinal(place[rows[own]], cols[own], np.minimum(labels[train], 1), n_features, l2=1e-3)
+        out += np.where(half == k, np.bincount(rows, w[cols], len(labels)), 0.0)
+    return out
+
+
+def deal_grades(scores: np.ndarray, labels: np.ndarray, levels: int) -> np.ndarray:
+    """Grades 1 to ``levels`` of the rows of label 1, by quantiles of their scores; fewer where scores tie."""
+    steps = np.quantile(scores[labels > 0], np.arange(1, levels) / levels)
+    grades = np.where(labels > 0, 1 + np.searchsorted(steps, scores, side="left"), 0)
+    return np.searchsorted(np.unique(grades), grades)
+
+
 def train_severity(
     docs: DataFrame,
     labels: DataFrame,
@@ -151,22 +171,21 @@ def train_severity(
     """Fit on at most ``max_rows`` labelled documents.
 
     Labels above 1 are used as grades. Where the labels are only 0 and 1, rows of label 1 are
-    dealt into ``severity_levels`` grades by quantiles of how many features they have that are
-    significantly more frequent under label 1. Labels and ids that are null are not used.
-    Without two different labels the model predicts grade 0 for every text.
+    dealt into ``severity_levels`` grades by quantiles of a score from weights that were fit on the labels
+    of the other half of the rows. Labels, ids and texts that are null are not used; of rows that repeat an
+    id one is. Without two different labels the model predicts grade 0 for every text.
     """
     scratch = Scratch(docs.sparkSession, "severity")
     chosen = (
-        labels.select(F.col(label_id_col).alias("__label_id"), F.col(label_col).cast("int").alias("__grade"))
+        labels.select(column(label_id_col).alias("__label_id"), column(label_col).cast("int").alias("__grade"))
         .where("__label_id is not null and __grade is not null and __grade >= 0")
         .orderBy(F.xxhash64("__label_id"), "__label_id", "__grade")
         .limit(max_rows)
     )
-    labelled = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text")).join(
-        F.broadcast(chosen), F.col("__id") == F.col("__label_id")
-    )
-
-    sample = scratch.write(labelled.select(F.col("__grade").alias("grade"), F.col("__text").alias("text")), "sample")
+    texts = docs.select(column(id_col).alias("__id"), utf8(text_col).alias("__text")).where("__text is not null")
+    labelled = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__label_id"))
+    one = labelled.groupBy("__id").agg(F.max(F.struct(F.xxhash64("__text"), F.col("__grade").alias("grade"), F.col("__text").alias("text"))).alias("best"))
+    sample = scratch.write(one.select("best.grade", "best.text", F.xxhash64("__id").alias("h")), "sample")
     sizes = {r.grade: r.n for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     n_none, n_some = sizes.get(0, 0), sum(n for g, n in sizes.items() if g)
     if not n_none or not n_some:
@@ -192,7 +211,6 @@ def train_severity(
     order = np.lexsort((counts["f"].to_numpy(), -g))[:MAX_FEATURES]
     order = order[g[order] >= MIN_G]
     names = counts["f"].to_numpy()[order].astype(np.int64)
-    telling = set(names[a[order] / n_some > b[order] / n_none].tolist())
     index = {int(f): i for i, f in enumerate(names)}
     own = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -201,20 +219,17 @@ def train_severity(
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([sorted(known(t)) for t in texts], pa.list_(pa.int32()))], names=["grade", "features"]
+                [batch.column(0), pa.array([sorted(known(t)) for t in texts], pa.list_(pa.int32())), batch.column(2)], names=["grade", "features", "h"]
             )
 
-    rows = sample.mapInArrow(narrow, "grade int, features array<int>").collect()
+    rows = sample.mapInArrow(narrow, "grade int, features array<int>, h long").collect()
     scratch.drop(sample)
-    rows.sort(key=lambda r: (r.grade, r.features))
+    rows.sort(key=lambda r: (r.h, r.grade, r.features))
     grades = np.array([r.grade for r in rows], dtype=int)
-    if grades.max() == 1 and severity_levels > 1:
-        count = np.array([sum(int(names[f]) in telling for f in r.features) for r in rows])
-        steps = np.quantile(count[grades > 0], np.arange(1, severity_levels) / severity_levels)
-        grades = np.where(grades > 0, 1 + np.searchsorted(steps, count, side="left"), 0)
-        grades = np.searchsorted(np.unique(grades), grades)
     cols = np.array([f for r in rows for f in r.features], dtype=int)
     at = np.repeat(np.arange(len(rows)), [len(r.features) for r in rows])
+    if grades.max() == 1 and severity_levels > 1:
+        grades = deal_grades(cross_fitted(at, cols, grades, len(names)), grades, severity_levels)
     w, theta = fit_ordinal(at, cols, grades, len(names))
     return OrdinalModel({int(f): float(x) for f, x in zip(names, w, strict=True)}, tuple(map(float, theta)))
 
@@ -223,9 +238,9 @@ def score_severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
     """One row per document: its id, ``severity`` (the expected grade), ``grade`` (the most
     probable), ``p_toxic`` (of a grade above 0) and ``toxic`` (``p_toxic`` at least
     ``reject_at``). Null and empty texts have no features and so the score of the thresholds
-    alone. Whole texts are read; other columns are ignored; an empty table gives an empty result.
+    alone. Whole texts are read; repeated rows give repeated results; other columns are ignored; an empty table
+    gives an empty result.
     """
-    id_type = docs.schema[id_col].dataType
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +263,12 @@ def score_severity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
                 names=[id_col, "severity", "grade", "p_toxic", "toxic"],
             )
 
-    return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(
-        scan, f"`{id_col}` {id_type.simpleString()}, severity double, grade int, p_toxic double, toxic boolean"
-    )
+    return docs.select(column(id_col), utf8(text_col).alias("__text")).mapInArrow(scan, with_id(docs, id_col, "severity double,grade int,p_toxic double,toxic boolean"))
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
-    """The documents, all columns as they were, that are not toxic."""
-    row = fresh([text_col], "row")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(text_col))
-    return score_severity(packed, model, id_col=row, text_col=text_col, reject_at=reject_at).where("not toxic").select(f"{row}.*")
+    """The documents, all columns as they were, that are not toxic. Null and empty texts have no features; they go only if
+    the thresholds alone say so. Each of repeated rows, and rows with null ids, are judged by their text. An empty table
+    stays empty."""
+    packed = docs.select(whole_row(docs), utf8(text_col).alias("__text"))
+    return score_severity(packed, model, id_col="row", text_col="__text", reject_at=reject_at).where("not toxic").select("row.*")

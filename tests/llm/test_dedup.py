@@ -78,9 +78,9 @@ def test_contamination(spark):
     for most in (200_000, 40):
         out = contamination_report(frame(spark, docs), benchmark, max_windows=most).collect()
         assert sorted((str(r[0]), *r[1:]) for r in out) == sorted(expected)
-    left = clean_of_benchmark(frame(spark, docs), benchmark)
-    assert left.columns == ["doc_id", "text", "digest", "Row"]
-    assert left.count() == sum(not e[-1] for e in expected)
+        left = clean_of_benchmark(frame(spark, docs), benchmark, max_windows=most)
+        assert left.columns == ["doc_id", "text", "digest", "Row"]
+        assert left.count() == sum(not e[-1] for e in expected)
     none = contamination_report(frame(spark, docs), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(docs)
 
@@ -191,5 +191,8 @@ def test_recall_on_a_table(spark, threshold):
 def test_names_that_need_quotes(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (2, "a b", 2), (3, None, 3)], "`my id` long, `te-xt` string, `a.b` int")
     assert near_classes(docs, id_col="my id", text_col="te-xt").count() == 3
+    item = spark.createDataFrame([(1, "x y")], "item_id long, text string")
+    assert clean_of_benchmark(docs, item, text_col="te-xt").columns == docs.columns
+    assert drop_exact_copies(docs, id_col="my id", text_col="te-xt").count() == 2
     left = drop_near_copies(docs, id_col="my id", text_col="te-xt")
     assert left.columns == docs.columns and left.count() == 2

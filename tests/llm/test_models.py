@@ -11,7 +11,7 @@ import pytest
 from chronoloom.llm import lm_score, near
 from chronoloom.llm.common import words_of
 from chronoloom.llm.html_text import extract_text, render
-from chronoloom.llm.lang_crf import Labeller, fit_crf, forward_backward, predict_languages, train_languages
+from chronoloom.llm.lang_crf import Labeller, Messages, fit_crf, predict_languages, train_languages
 from chronoloom.llm.lm_score import MU, cross_entropy_difference
 from chronoloom.llm.near import tune_bands
 from chronoloom.llm.paragraphs import drop_repeats, edit_similarity, find_repeats
@@ -126,6 +126,34 @@ def test_languages(spark):
     assert predict_languages(edge.limit(0), model).count() == 0
 
 
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (time x chains x labels) and expected transition counts, of chains padded to the
+    same length. ``emit``: logarithmic scores."""
+    steps, chains, labels = emit.shape
+    e = np.exp(emit - emit.max(axis=2, keepdims=True))
+    t = np.exp(transitions)
+    alpha = np.empty_like(e)
+    a = np.full((chains, labels), 1.0 / labels, dtype=e.dtype)
+    for k in range(steps):
+        a = (a @ t if k else a) * e[k]
+        a = a / a.sum(axis=1, keepdims=True)
+        alpha[k] = a
+    beta = np.ones((chains, labels), dtype=e.dtype)
+    marginals = np.empty_like(e)
+    pairs = np.zeros((labels, labels))
+    for k in range(steps - 1, -1, -1):
+        if k + 1 < steps:
+            inner = e[k + 1] * beta
+            inside = (k + 1 < lengths)[:, None]
+            joint = alpha[k][:, :, None] * t[None] * inner[:, None, :]
+            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True))[inside[:, 0]].sum(axis=0)
+            beta = np.where(inside, inner @ t.T, 1.0)
+            beta = beta / beta.sum(axis=1, keepdims=True)
+        m = alpha[k] * beta
+        marginals[k] = m / m.sum(axis=1, keepdims=True)
+    return marginals, pairs
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(0)
     lengths, labels = np.array([4, 2, 1]), 3
@@ -143,6 +171,19 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pairs, expected)
 
 
+@pytest.mark.parametrize("kind", [np.float64, np.float32])
+def test_stretches_give_the_marginals_of_one_chain(kind):
+    rng = np.random.default_rng(1)
+    sizes, t = np.array([700, 1, 16, 0, 17, 333, 64]), np.array([[3.0, 0, 0.5], [0, 4, 0], [0.2, 0, 3]])
+    emit = rng.normal(size=(sizes.sum(), 3)) * rng.choice([0, 0, 0, 2], size=(sizes.sum(), 1))  # long stretches without evidence
+    got = Messages(np.exp(emit).astype(kind), sizes, t, stretch=16).marginals()
+    at = 0
+    for n in sizes[sizes > 0]:
+        whole, _ = forward_backward(emit[at : at + n, None, :], np.array([n]), t)
+        assert np.allclose(got[at : at + n], whole[:, 0], atol=1e-9 if kind == np.float64 else 1e-4)
+        at += n
+
+
 def test_chains_are_labelled_together():
     chains = [([b"x1", b"y1"] * 20, [0] * 40), ([b"x2", b"y2"] * 20, [1] * 40)]
     model = fit_crf(chains, ("p", "q"), steps=30)
