@@ -1,5 +1,6 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and a
-renderer that keeps block spacing, lists and aligned table cells.
+renderer that keeps block spacing, lists and aligned table cells. Style sheets are not read: only the ``hidden``
+attribute and ``style`` attributes hide elements.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, utf8, with_id
+
 _TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -19,7 +22,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object svg math canvas audio video datalist map select".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object canvas audio video datalist defs desc metadata".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -42,6 +45,8 @@ ENDS = {
 ENDS_P = BLOCKS - {"body", "html", "legend", "option", "optgroup", "dd", "dt", "li"} | {"dd", "dt", "li"}
 #: Elements deeper than this become children of the one at this depth.
 MAX_DEPTH = 200
+#: Spaces that align the tables of a page are at most so many, and so many for each character of HTML.
+PADDING, PADDING_RATE = 65536, 4
 
 
 class Node:
@@ -125,7 +130,7 @@ def parse(html: str) -> Node:
 
 def visible(node: Node, shown: bool) -> tuple[bool, bool]:
     """Whether the element takes room, and whether its own text shows."""
-    if node.tag in UNSEEN or "hidden" in node.attrs and node.attrs["hidden"].lower() != "until-found-shown":
+    if node.tag in UNSEEN or "hidden" in node.attrs:
         return False, False
     if node.tag == "dialog" and "open" not in node.attrs:
         return False, False
@@ -142,7 +147,8 @@ def visible(node: Node, shown: bool) -> tuple[bool, bool]:
 class _Out:
     """Lines under construction. Pending breaks: 1 for a new line, 2 for an empty line before it."""
 
-    def __init__(self):
+    def __init__(self, padding: list[int]):
+        self.padding = padding  # spaces left for tables, shared by the page
         self.lines: list[str] = []
         self.line = ""
         self.breaks = 0
@@ -236,7 +242,7 @@ def _table(node: Node, shown: bool, out: _Out) -> None:
             while held.get(at, 0):
                 held[at] -= 1
                 at += 1
-            inner = _Out()
+            inner = _Out(out.padding)
             _children(cell, show, inner)
             span = [max(1, min(1000, int(v))) if (v := cell.attrs.get(k, "1").strip()).isdecimal() and len(v) < 6 else 1 for k in ("colspan", "rowspan")]
             cells.append((at, inner.value()))
@@ -253,16 +259,44 @@ def _table(node: Node, shown: bool, out: _Out) -> None:
     for cells in grid:
         for at, lines in cells:
             widths[order[at]] = max([widths[order[at]], *map(len, lines)])
+    ends, total = [], 0  # where a column's cells start in a line
+    for w in widths:
+        ends.append(total)
+        total += w + 2
+    padding = 0
+    for cells in grid:
+        for k in range(max([len(lines) for _, lines in cells], default=0)):
+            here = [(ends[order[at]], len(lines[k])) for at, lines in cells if k < len(lines) and lines[k]]
+            padding += max((e + n for e, n in here), default=0) - sum(n for _, n in here)
+    aligned = padding <= out.padding[0]
+    if aligned:
+        out.padding[0] -= padding
     for cells in grid:
         out.block(1)
-        by = {order[at]: lines for at, lines in cells}
-        for k in range(max([len(x) for x in by.values()], default=0)):
-            line = "  ".join((by[i][k] if i in by and k < len(by[i]) else "").ljust(w) for i, w in enumerate(widths) if w or i in by).rstrip()
-            if line:
+        for k in range(max([len(lines) for _, lines in cells], default=0)):
+            line = ""
+            for at, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(ends[order[at]] if aligned else len(line) + 2 * bool(line)) + lines[k]
+            if line := line.rstrip():
                 out.raw(line)
                 out.block(1)
 
 
+def _select(node: Node, shown: bool, out: _Out) -> None:
+    """What a closed list shows: its selected option, or the first."""
+    options, todo = [], node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, Node) and c.tag == "option":
+            options.append(c)
+        elif isinstance(c, Node) and c.tag == "optgroup":
+            todo += c.children[::-1]
+    chosen = next((o for o in reversed(options) if "selected" in o.attrs), options[0] if options else None)
+    if chosen is not None and "hidden" not in chosen.attrs:
+        _children(chosen, shown, out)
+
+
 def _wrap(c: Node | str) -> Node:
     row, cell = Node("tr"), Node("td")
     cell.children.append(c)
@@ -293,6 +327,9 @@ def _children(node: Node, shown: bool, out: _Out, pre: bool = False) -> None:
             if see and c.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.text(c.attrs.get("value", ""))
             continue
+        if c.tag == "select":
+            _select(c, see, out)
+            continue
         breaks = (2 if c.tag in SPACED and not (c.tag in ("ul", "ol") and node.tag == "li") else 1) if c.tag in BLOCKS else 0
         if breaks:
             out.block(breaks)
@@ -325,7 +362,7 @@ def render(html: str | None) -> str:
     """All visible text of a page."""
     if not html:
         return ""
-    out = _Out()
+    out = _Out([PADDING + PADDING_RATE * len(html)])
     _children(parse(html), True, out)
     return "\n".join(out.value())
 
@@ -334,19 +371,20 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     """One row per page: its id, ``text`` (all visible text), ``n_lines`` and ``text_sha256``.
 
     A null or empty page has an empty text. Any input gives a result: unknown and unclosed tags
-    are read as browsers do, and elements nested deeper than MAX_DEPTH are read as siblings. Repeated rows and
-    null ids give rows like others; other columns are ignored; an empty table gives an empty result.
+    are read as browsers do, elements nested deeper than MAX_DEPTH are read as siblings, and bytes that aren't UTF-8 as U+FFFD.
+    Tables whose alignment would take more spaces than PADDING and PADDING_RATE leave a page have two spaces between cells instead.
+    Repeated rows and null ids give rows like others; other columns are ignored; an empty table gives an empty result.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [render(h) for h in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = [render(h.decode(errors="replace") if h else "") for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    out = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).mapInArrow(scan, f"id {kind}, text string")
+    rows = pages.select(column(id_col).alias("id"), utf8(html_col).alias("html"))
+    out = rows.mapInArrow(scan, with_id(rows, "id", "text string"))
     return out.select(
         F.col("id").alias(id_col),
         "text",

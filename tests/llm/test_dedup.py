@@ -9,7 +9,7 @@ import pytest
 
 from chronoloom.llm import near
 from chronoloom.llm.decontamination import clean_of_benchmark, contamination_report, digest_of
-from chronoloom.llm.exact_dedup import drop_exact_copies, find_exact_copies
+from chronoloom.llm.exact_dedup import DigestIndex, append_documents, drop_exact_copies, find_exact_copies, known_copies
 from chronoloom.llm.near_join import drop_near_copies, fewest_matches, near_classes
 
 DOCS = "doc_id long, text string, digest string, `Row` string"
@@ -51,6 +51,31 @@ def test_exact_copies_of_nothing(spark):
     assert find_exact_copies(empty).count() == 0 and drop_exact_copies(empty).count() == 0
 
 
+def test_index_of_several_tables(spark, tmp_path):
+    rng = random.Random(4)
+    tables = [[(100 * k + i, f"text {rng.randrange(90)}") for i in range(30)] + [(100 * k + 50, None)] for k in range(6)]
+    root = f"file://{tmp_path}/index"
+    seen = []
+    for k, rows in enumerate(tables):
+        index = DigestIndex(spark, root, fanout=2)  # opened again each time
+        docs = frame(spark, rows)
+        if seen:
+            got = {r.doc_id: r.known_id for r in known_copies(docs, index, frame(spark, seen)).collect()}
+            first = {}
+            for i, t in seen:
+                first.setdefault(t or "", i)
+            assert got == {i: first[t or ""] for i, t in rows if (t or "") in first}
+        append_documents(docs, index)
+        seen += rows
+        digests = {t or "" for _, t in seen}
+        assert index.merged().count() == len(digests) and max(sum(r.level == n for r in index.runs) for n in range(4)) < 2
+    assert max(r.level for r in index.runs) == 2 and sum(r.n for r in index.runs) >= len(digests)
+    total = {r.id: r.n for r in index.merged().collect()}
+    assert sum(total.values()) == len(seen)
+    assert len(list((tmp_path / "index").glob("run-*-filter"))) == len(index.runs)
+    assert known_copies(frame(spark, tables[0]), DigestIndex(spark, f"{root}-none"), frame(spark, seen)).count() == 0
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     vocab = ["a", "B", "c", "é", "d1"]

@@ -2,15 +2,17 @@
 
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
 from chronoloom.llm import lm_score, near
 from chronoloom.llm.common import words_of
-from chronoloom.llm.html_text import extract_text, render
+from chronoloom.llm.html_text import UNSEEN, VOID, extract_text, render
 from chronoloom.llm.lang_crf import Labeller, Messages, fit_crf, predict_languages, train_languages
 from chronoloom.llm.lm_score import MU, cross_entropy_difference
 from chronoloom.llm.near import tune_bands
@@ -405,7 +407,9 @@ PAGES = [
     ("<a href=\"a>b\">k</a>", "k"),
     ("<head><meta x><p>body text", "body text"),
     ("<textarea> a\n b</textarea><input type=submit value=Go><input value=no>", " a\n bGo"),
-    ("<select><option>no</select>yes", "yes"),
+    ("<select><option>a<option selected>b</select> c", "b c"),
+    ("<select><optgroup label=g><option>a<option>b</select>", "a"),
+    ("<p hidden=until-found>no<p>x<math><mi>y</mi></math><svg><title>t</title><text>z</text></svg>", "xyz"),
 ]
 
 
@@ -424,6 +428,58 @@ def test_odd_pages():
         render("".join(rng.choices(bits, k=30)))
 
 
+class Words(HTMLParser):
+    """The visible words of well-formed pages, whatever their layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        gone = "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "") or tag in UNSEEN
+        if tag not in VOID:
+            self.open.append((tag, gone))
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.found += data.split()
+
+
+def test_words_of_a_table_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    same = 0
+    for r in extract_text(pages).collect():
+        brute = Words()
+        brute.feed(html[r.page_id] or "")
+        brute.close()
+        marks = re.compile(r"^\s*(?:-|\d+\.) ", re.M)
+        a, b = (sorted("".join(x).replace("-", "")) for x in ("".join(marks.sub("", r.text).split()), "".join(brute.found)))
+        same += a == b
+    assert same >= 0.97 * len(html), same / len(html)
+
+
+def test_tables_stay_in_proportion():
+    wide = "<table>" + f"<tr><td>{'w' * 20_000}<td>x" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(render(wide)) < 8 * len(wide) + 100_000 and "a  b" in render(wide)
+    far = "<table>" + "<tr>" + "<td>c" * 3000 + "<tr><td colspan=1000>" * 3 + ("<tr>" + "<td colspan=1000>" * 2 + "<td>z") * 3000 + "</table>"
+    assert len(render(far)) < 8 * len(far) + 100_000
+    nested = "<table><tr><td>a<td>" * 60 + "x" * 300 + "</table>" * 60
+    assert len(render(nested)) < 8 * len(nested) + 100_000
+
+
+def test_pages_that_are_not_utf8(spark):
+    (r,) = extract_text(spark.sql("select 1L as page_id, cast(unhex('3C703E61FF62') as string) as html")).collect()
+    assert r.text == "a\ufffdb"
+
+
 def test_pages(spark):
     rows = [(i, h, "x") for i, (h, _) in enumerate(PAGES)] + [(None, "<p>a", "x"), (3, PAGES[3][0], "x")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
