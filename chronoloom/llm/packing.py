@@ -43,7 +43,7 @@ class _Chunks(dict):
     """The ids of a chunk of text, as bytes. Chunks of up to LONG bytes are remembered, until they and
     their ids take ``room`` bytes."""
 
-    LONG, ENTRY = 64, 250
+    LONG, ENTRY = 64, 170
 
     def __init__(self, tokenizer, room: int):
         self.tokenizer, self.room = tokenizer, room
@@ -75,7 +75,7 @@ class Encoder:
     lower-cased, so a text with one, in whatever case, is encoded as a whole. Bytes that aren't UTF-8
     are read as U+FFFD."""
 
-    def __init__(self, path: str, room: int = 100_000_000):
+    def __init__(self, path: str, room: int = 130_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
