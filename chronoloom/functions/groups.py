@@ -85,8 +85,9 @@ def load_group(path: str | Path) -> list[str]:
 
 
 def resolve(groups: list[str] | None) -> list[str]:
-    """The features of the groups, in the order of ALL_FEATURES. An entry is a group's name, a feature's name or
-    the path of a group file; an unknown one is an error. None or nothing: all."""
+    """The features of the groups, in the order of ALL_FEATURES. An entry is a group's name, also as that of a
+    file (``statistics.json``), a feature's name or the path of a group file; an unknown one is an error. None or
+    nothing: all."""
     if not groups:
         return list(ALL_FEATURES)
     wanted: set[str] = set()
@@ -97,6 +98,8 @@ def resolve(groups: list[str] | None) -> list[str]:
             wanted.add(g)
         elif Path(g).is_file():
             wanted.update(load_group(g))
+        elif g.removesuffix(".json") in GROUPS:
+            wanted.update(GROUPS[g.removesuffix(".json")])
         else:
             raise ValueError(f"unknown feature or group: {g}")
     if unknown := wanted - set(ALL_FEATURES):

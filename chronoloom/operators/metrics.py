@@ -29,9 +29,10 @@ def macro_metrics(per_channel: DataFrame) -> DataFrame:
     return per_channel.groupBy("query_id").agg(F.avg("top_k_accuracy").alias("top_k_accuracy"), F.avg("precision_at_k").alias("precision_at_k"), F.count("*").alias("num_channels"))
 
 
-def zscores(rows: DataFrame, col: str, out: str, tiny: float = 1e-12) -> DataFrame:
-    """The rows with (x - mean) / sample deviation; 0 where that is at most ``tiny`` or there is one row. The
-    statistics are one row and are sent to all."""
-    stats = rows.agg(F.avg(col).alias("__mean"), F.coalesce(F.stddev_samp(col), F.lit(0.0)).alias("__sd"))
-    z = F.when(F.col("__sd") <= tiny, F.lit(0.0)).otherwise((F.col(col) - F.col("__mean")) / F.nullif(F.col("__sd"), F.lit(0.0)))
-    return rows.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("__mean", "__sd")
+def zscores(rows: DataFrame, names: dict[str, str], tiny: float = 1e-12) -> DataFrame:
+    """The rows with (x - mean) / sample deviation of columns, under the names they are mapped to; 0 where the deviation is
+    at most ``tiny`` or there is one row. The statistics of all columns are one row, made in one pass and sent to all."""
+    own = {c: (f"__mean_{i}", f"__sd_{i}") for i, c in enumerate(names)}
+    stats = rows.agg(*(x for c, (m, s) in own.items() for x in (F.avg(c).alias(m), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(s))))
+    z = {names[c]: F.when(F.col(s) <= tiny, F.lit(0.0)).otherwise((F.col(c) - F.col(m)) / F.nullif(F.col(s), F.lit(0.0))) for c, (m, s) in own.items()}
+    return rows.crossJoin(F.broadcast(stats)).withColumns(z).drop(*(x for pair in own.values() for x in pair))

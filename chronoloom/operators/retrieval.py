@@ -1,8 +1,8 @@
 """Nearest neighbours: normalization statistics, exact top-k, confidence.
 
-Queries meet the gallery in blocks: a bounded chunk of queries goes to all workers, each keeps the best k
-of its part of the gallery, and only those are shuffled. The gallery is never moved, and no frame of all
-pairs is made.
+Queries meet the gallery in blocks. A bounded set of queries goes to all workers, each keeps the best k of its part of the
+gallery, and only those are shuffled; the gallery is not moved. More queries are dealt into blocks on the workers, as is
+the gallery, and each block meets each other block in a task. No frame of all pairs is made.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import confidence, signed_log1p
 from ..schema import Distance, Normalization, RetrieverConfig
 
-#: Values of a chunk of queries that is sent to the workers: 32 MB.
+#: Values of the queries that are sent to the workers, and of a block of queries or gallery that a task holds: 32 MB.
 CHUNK_VALUES = 4_000_000
+#: Rows that are compared at a time.
+ROWS = 512
 #: Distances are compared to so many places, so that ties don't hang on the order of a sum.
 PLACES = 9
 
@@ -76,16 +78,39 @@ def fit_scaling(vectors: DataFrame, normalize: str, *, vector: str = "vector") -
     return Scaling(tuple(r.centre for r in rows), tuple(r.scale for r in rows), normalize is Normalization.LOG1P_ROBUST)
 
 
-def _distances(q: np.ndarray, g: np.ndarray, distance: Distance) -> np.ndarray:
+def _nearest(q: np.ndarray, g: np.ndarray, apart: np.ndarray, ord_: np.ndarray, distance: Distance, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of g, distance) of the ``k`` nearest of each row of q among those that are ``apart``. A matrix product says
+    which can be among them, with the error it can have; their distances are computed exactly, and ties go by ``ord_``."""
     if distance is Distance.COSINE:
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(g, axis=1)[None]
-        out = 1 - np.divide(q @ g.T, norms, out=np.zeros((len(q), len(g))), where=norms > 0)
-        return np.maximum(out, 0.0)
-    out = np.empty((len(q), len(g)))
-    for i, row in enumerate(q):
-        d = g - row
-        out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
+        rough = 1 - np.divide(q @ g.T, norms, out=np.zeros((len(q), len(g))), where=norms > 0)
+        slack = np.full((len(q), 1), 1e-9)
+    else:
+        qq, gg = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", g, g)
+        rough = qq[:, None] + gg[None] - 2 * (q @ g.T)
+        slack = 1e-12 * (qq[:, None] + gg.max(initial=0)) + 1e-9
+    if not np.isfinite(rough[apart]).all():
+        raise ValueError("a distance is not finite")
+    rough = np.where(apart, rough, np.inf)
+    if rough.shape[1] > k:
+        # places are rounded in distances, which makes ties of squares that differ by up to so much
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+        near = 2 * slack if distance is Distance.COSINE else 2 * slack + 4 * 10.0**-PLACES * np.sqrt(np.maximum(np.where(np.isfinite(kth), kth, 0), 0) + slack)
+        rows, cols = np.nonzero(apart & (rough <= kth + near))
+    else:
+        rows, cols = np.nonzero(apart)
+    if distance is Distance.COSINE:
+        exact = np.maximum(rough[rows, cols], 0.0)
+    else:
+        exact = np.empty(len(rows))
+        for at in range(0, len(rows), 65536):
+            d = g[cols[at : at + 65536]] - q[rows[at : at + 65536]]
+            exact[at : at + 65536] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    order = np.lexsort((ord_[cols], np.round(exact, PLACES), rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    kept = rank < k
+    return rows[kept], cols[kept], exact[kept]
 
 
 def knn(
@@ -126,53 +151,57 @@ def knn(
         x = scaling.apply(np.array(vectors, dtype=float).reshape(len(vectors), width))
         return x * weights if config.distance is Distance.WEIGHTED_L2 else x
 
-    def part(k: int) -> DataFrame:
-        mine = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == k)
-        rows = mine.collect()
-        held = spark.sparkContext.broadcast(
-            ([str(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows], prepare([r[3] for r in rows]) if rows else None)
-        )
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, samples, channels, q = held.value
-            if q is None:
-                return
-            samples_, channels_ = np.array(samples, dtype=object), np.array([-1 if c is None else c for c in channels])
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    b = batch.slice(at, 2048)
-                    if not b.num_rows:
-                        continue
-                    g = prepare(b.column(5).to_pylist())
-                    sample = np.array(b.column(1).to_pylist(), dtype=object)
-                    channel = np.array([-1 if c is None else c for c in b.column(3).to_pylist()])
-                    ord_ = np.array(b.column(4).to_pylist(), dtype=np.int64)
-                    rows_, cols_, dist_ = [], [], []
-                    for lo in range(0, len(q), 512):
-                        d = _distances(q[lo : lo + 512], g, config.distance)
-                        apart = samples_[lo : lo + 512, None] != sample[None]
-                        if config.by_channel:
-                            apart &= (channels_[lo : lo + 512, None] == channel[None]) | (channels_[lo : lo + 512, None] < 0)
-                        if not np.isfinite(d[apart]).all():
-                            raise ValueError("a distance is not finite")
-                        for i in range(len(d)):
-                            mine_ = np.flatnonzero(apart[i])
-                            near = mine_[np.lexsort((ord_[mine_], np.round(d[i, mine_], PLACES)))[: config.top_k]]
-                            rows_ += [lo + i] * len(near)
-                            cols_ += near.tolist()
-                            dist_ += d[i, near].tolist()
-                    at_ = pa.array(cols_, pa.int64())
+    def search(asked_: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The best of a part of the gallery for (query_id, sample_id, channel_id, vector) rows."""
+        ids, samples = [str(r[0]) for r in asked_], np.array([r[1] for r in asked_], dtype=object)
+        channels, q = np.array([-1 if r[2] is None else r[2] for r in asked_]), prepare([r[3] for r in asked_])
+        for at in range(0, b.num_rows, 2048):
+            some = b.slice(at, 2048)
+            g = prepare(some.column(5).to_pylist())
+            sample = np.array(some.column(1).to_pylist(), dtype=object)
+            channel = np.array([-1 if c is None else c for c in some.column(3).to_pylist()])
+            ord_ = np.array(some.column(4).to_pylist(), dtype=np.int64)
+            # a query that names a channel is compared with that channel's entries only
+            for c in np.unique(channel) if config.by_channel else [None]:
+                mine = np.arange(len(g)) if c is None else np.flatnonzero(channel == c)
+                theirs = np.arange(len(q)) if c is None else np.flatnonzero((channels == c) | (channels < 0))
+                for lo in range(0, len(theirs), ROWS):
+                    those = theirs[lo : lo + ROWS]
+                    rows, cols, dist = _nearest(q[those], g[mine], samples[those, None] != sample[mine][None], ord_[mine], config.distance, config.top_k)
+                    take = pa.array(mine[cols], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[r] for r in rows_], pa.string()), *(b.column(i).take(at_).cast(t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.string()), (3, pa.int32()), (4, pa.int64()))), pa.array(dist_, pa.float64())],
+                        [pa.array([ids[those[r]] for r in rows], pa.string()), *(some.column(i).take(take).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))), pa.array(dist, pa.float64())],
                         names=["query_id", "entry_id", "sample_id", "label", "channel_id", "ord", "distance"],
                     )
 
-        return gallery.mapInArrow(scan, schema)
+    if chunks == 1:
+        held = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])
 
-    found = part(0)
-    for k in range(1, chunks):
-        found = found.unionByName(part(k))
-    return _ranked(found, config.top_k)
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if held.value and batch.num_rows:
+                    yield from search(held.value, batch)
+
+        return _ranked(gallery.mapInArrow(scan, schema), config.top_k)
+
+    blocks = -(-gallery.count() * width // CHUNK_VALUES)
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = ["entry_id", "sample_id", "label", "channel_id", "ord", "v"]
+    # both sides can come from one table: with names of their own, no column stands for two
+    left = asked.select(*[F.col(c).alias(f"q{i}") for i, c in enumerate(cols)], deal("query_id", chunks).alias("lq"), copies(blocks).alias("lg"))
+    right = gallery.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(names)], copies(chunks).alias("rq"), deal("entry_id", blocks).alias("rg"))
+
+    def meet(left_: pa.Table, right_: pa.Table) -> pa.Table:
+        rows = list(zip(*(left_.column(f"q{i}").to_pylist() for i in range(4)), strict=True)) if left_.num_rows else []
+        found = []
+        if rows and right_.num_rows:
+            for batch in right_.select([f"g{i}" for i in range(6)]).combine_chunks().to_batches():
+                found += list(search(rows, batch))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
+        return pa.Table.from_batches(found, pa.schema(list(zip(["query_id", *names[:5], "distance"], kinds, strict=True))))
+
+    return _ranked(left.groupBy("lq", "lg").cogroup(right.groupBy("rq", "rg")).applyInArrow(meet, schema), config.top_k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

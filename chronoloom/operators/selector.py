@@ -79,7 +79,9 @@ def fuse_scores(scores: DataFrame, alpha: float = 0.5) -> DataFrame:
     """The rows (channel_id, score_b, score_c) with their z-scores, the fused score and the rank; ties by channel."""
     from pyspark.sql import Window
 
-    z = zscores(zscores(scores, "score_b", "z_b"), "score_c", "z_c")
+    # a row for each channel: collected once, so that their lineage isn't run again for the statistics
+    known = scores.sparkSession.createDataFrame(scores.collect(), scores.schema)
+    z = zscores(known, {"score_b": "z_b", "score_c": "z_c"})
     fused = z.withColumn("fused", F.lit(alpha) * F.col("z_b") + F.lit(1 - alpha) * F.col("z_c"))
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("fused", 9)), "channel_id")))
 

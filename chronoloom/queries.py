@@ -248,8 +248,9 @@ def cap_first_n(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), "event_id")
-    rows = rows.withColumn("sample_index", F.row_number().over(Window.partitionBy("split").orderBy("event_id")).cast("long") - 1)
-    return W.cap_per_split(rows, 100).drop("sample_index")
+    # a limit on the rank itself lets Spark drop the rest before the shuffle
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("split").orderBy("event_id"))).where("n <= 100")
+    return W.cap_per_split(first.withColumn("sample_index", F.col("n").cast("long") - 1), 100).select("split", "event_id")
 
 
 _U = """u AS (SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY ts, event_id) AS v, list(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END ORDER BY ts, event_id) AS y FROM events GROUP BY user_id)"""

@@ -55,6 +55,79 @@ def test_spectral():
     assert cwt.shape == (9, 4000) and FEATURES["0_Wavelet variance_3"](Spectrum(x)) == pytest.approx(cwt[3].var())
 
 
+def by_definition(x, fs=100.0):
+    """The transformed features of a series from sums, one term at a time."""
+    n, out = len(x), {}
+    dft = lambda v, size: [abs(sum(v[t] * np.exp(-2j * np.pi * k * t / size) for t in range(len(v)))) for k in range(size // 2 + 1)]
+    m = np.array(dft(x, n))
+    f = np.arange(len(m)) * fs / n
+    cum = np.array([m[: k + 1].sum() for k in range(len(m))])
+    at = lambda share: next(f[k] for k in range(len(m)) if cum[k] >= share * cum[-1])
+    centre = sum(a * b for a, b in zip(f, m, strict=True)) / m.sum()
+    spread = np.sqrt(sum((a - centre) ** 2 * b for a, b in zip(f, m, strict=True)) / m.sum())
+    moment = lambda k: sum((a - centre) ** k * b for a, b in zip(f, m, strict=True)) / m.sum() / spread**k
+    share = lambda e: [v / sum(e) for v in e if v > 0]
+    entropy = lambda e: -sum(v * np.log2(v) for v in share(e)) / np.log2(len(share(e)))
+    peaks = [k for k in range(1, len(m) - 1) if m[k] > (m[k - 1] if k > 1 else 0) and m[k] >= m[k + 1] and m[k] > 0.5 * m[1:].max()]
+    r = [sum((x[t] - x.mean()) * (x[t + lag] - x.mean()) for t in range(n - lag)) for lag in range(n)]
+    out |= {
+        "Autocorrelation": next((k for k in range(n) if r[k] / r[0] < np.exp(-1)), n), "Fundamental frequency": f[peaks[0]] if peaks else f[1 + m[1:].argmax()],
+        "Human range energy": sum(v**2 for k, v in zip(f, m, strict=True) if 0.6 <= k <= 2.5) / (m**2).sum(), "Maximum frequency": at(0.95), "Median frequency": at(0.5),
+        "Spectral centroid": centre, "Spectral decrease": sum((m[k] - m[0]) / k for k in range(1, len(m))) / m[1:].sum(), "Spectral distance": sum(cum[-1] * k / (len(m) - 1) - cum[k] for k in range(len(m))),
+        "Spectral entropy": entropy(m**2), "Spectral kurtosis": moment(4), "Spectral skewness": moment(3), "Spectral spread": spread, "Spectral roll-off": at(0.95), "Spectral roll-on": at(0.05),
+        "Spectral positive turning points": sum(m[k] > m[k - 1] and m[k] > m[k + 1] for k in range(1, len(m) - 1)), "Spectral slope": np.polyfit(f, m, 1)[0],
+        "Spectral variation": 1 - sum(m[k] * m[k + 1] for k in range(len(m) - 1)) / np.sqrt((m[:-1] ** 2).sum() * (m[1:] ** 2).sum()),
+    }
+    size = min(256, n)
+    y, hann = x / x.std(), [0.5 - 0.5 * np.cos(2 * np.pi * t / size) for t in range(size)]
+    parts = [y[a : a + size] for a in range(0, n - size + 1, size - size // 2)]
+    power = np.mean([np.array(dft([(v - p.mean()) * h for v, h in zip(p, hann, strict=True)], size)) ** 2 for p in parts], axis=0) / fs / sum(h * h for h in hann)
+    power = [v * (1 if k == 0 or 2 * k == size else 2) for k, v in enumerate(power)]
+    level = lambda s: next(k * fs / size for k in range(len(power)) if sum(power[: k + 1]) >= s * sum(power) - 1e-15)
+    out |= {"Max power spectrum": max(power), "Power bandwidth": level(0.975) - level(0.025)}
+    # linear prediction from its normal equations, cepstrum from the logarithm of its spectrum
+    r = np.array([sum(x[t] * x[t + k] for t in range(n - k)) for k in range(13)])
+    a = np.append(1.0, np.linalg.solve([[r[abs(i - j)] for j in range(12)] for i in range(12)], -r[1:]))
+    cepstrum = np.fft.ifft(-np.log(np.abs(np.fft.fft(a, 1 << 16)))).real * 2
+    out |= {f"LPCC_{k}": cepstrum[k + 1] for k in range(12)}
+    y = [x[0], *(x[t] - 0.97 * x[t - 1] for t in range(1, n))]
+    width, hop = round(0.025 * fs), round(0.01 * fs)
+    starts = range(0, max(1, n - width + hop), hop)
+    mel = [2595 * np.log10(1 + fs / 2 / 700) * k / 41 for k in range(42)]
+    edge = [int(513 * 700 * (10 ** (v / 2595) - 1) / fs) for v in mel]
+    coefficients = []
+    for s in starts:
+        cut = [(y[s + t] if s + t < n else 0.0) * (0.54 - 0.46 * np.cos(2 * np.pi * t / (width - 1))) for t in range(width)]
+        p = [v**2 / 512 for v in dft(cut, 512)]
+        logs = []
+        for k in range(40):
+            lo, mid, hi = edge[k : k + 3]
+            e = sum(p[b] * (b - lo) / (mid - lo) for b in range(lo, mid)) + sum(p[b] * (hi - b) / (hi - mid) for b in range(mid, hi))
+            logs.append(20 * np.log10(max(e, np.finfo(float).eps)))
+        coefficients.append([(1 + 11 * np.sin(np.pi * j / 22)) * np.sqrt(2 / 40) * sum(v * np.cos(np.pi * j * (2 * k + 1) / 80) for k, v in enumerate(logs)) for j in range(1, 13)])
+    out |= {f"MFCC_{k}": np.mean([c[k] for c in coefficients]) for k in range(12)}
+    energies = []
+    for width in range(1, 10):
+        size = min(10 * width, n)
+        wave = [2 / (np.sqrt(3 * width) * np.pi**0.25) * (1 - ((t - (size - 1) / 2) / width) ** 2) * np.exp(-(((t - (size - 1) / 2) / width) ** 2) / 2) for t in range(size)]
+        row = np.array([sum(x[t - j + (size - 1) // 2] * wave[j] for j in range(size) if 0 <= t - j + (size - 1) // 2 < n) for t in range(n)])
+        energies.append((row**2).sum())
+        k = width - 1
+        out |= {f"Wavelet absolute mean_{k}": abs(row.mean()), f"Wavelet energy_{k}": np.sqrt((row**2).mean()), f"Wavelet standard deviation_{k}": row.std(), f"Wavelet variance_{k}": row.var()}
+    return out | {"Wavelet entropy": entropy(energies)}
+
+
+@pytest.mark.parametrize("n", [97, 300])
+def test_transformed_features_by_definition(n):
+    rng = np.random.default_rng(n)
+    t = np.arange(n) / 100
+    x = 2 + np.sin(2 * np.pi * 1.3 * t) + 0.4 * np.sin(2 * np.pi * 11 * t) + 0.3 * rng.normal(size=n)
+    expected, s = by_definition(x), Spectrum(x)
+    assert {f"0_{k}" for k in expected} == set(FEATURES)
+    for name, value in expected.items():
+        assert FEATURES[f"0_{name}"](s) == pytest.approx(float(value), rel=1e-6, abs=1e-7), name
+
+
 def test_all_features_are_finite_on_a_ramp(spark):
     out = statistic_view(frame(spark, np.linspace(1, 100, 256), np.ones(5), [1.0], [], None)).orderBy("sample_id").collect()
     view = out[0].statistic_view

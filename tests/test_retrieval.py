@@ -104,10 +104,10 @@ def test_metrics(spark):
     per = {r.query_id: (r.top_k_accuracy, r.precision_at_k) for r in M.query_metrics(truth, near, 4).collect()}
     assert per == {"a": (1.0, 0.5), "b": (0.0, 0.0), "c": (0.0, 0.0)}
     assert M.batch_metrics(M.query_metrics(truth, near, 4)).first().num_query == 3
-    z = M.zscores(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), "x", "z").orderBy("x").collect()
+    z = M.zscores(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), {"x": "z"}).orderBy("x").collect()
     x = np.array([1.0, 2, 4])
     assert np.allclose([r.z for r in z], (x - x.mean()) / x.std(ddof=1))
-    assert M.zscores(spark.createDataFrame([(1.0,)], "x double"), "x", "z").first().z == 0
+    assert M.zscores(spark.createDataFrame([(1.0,)], "x double"), {"x": "z"}).first().z == 0
 
 
 def series(spark, n=24, seed=0):
@@ -283,9 +283,49 @@ def test_cli(spark, tmp_path):
     rng = np.random.default_rng(0)
     for split, n in (("TRAIN", 8), ("TEST", 4)):
         (d / f"Toy_{split}").write_text("\n".join(",".join(map(str, [i % 2, *(rng.normal(size=16) + 9 * (i % 2)).round(3)])) for i in range(n)))
-    out = main(["--dataset", "Toy", "--base-dir", str(tmp_path / "data"), "--feature-groups", "0_Mean", "0_Median", "--distance", "l2", "--k", "1", "--save-json", "--outputs-root", str(tmp_path / "out")])
+    out = main(["--dataset", "Toy", "--base-dir", str(tmp_path / "data"), "--feature-groups", "0_Mean", "0_Median", "--distance", "l2", "--k", "1", "--outputs-root", str(tmp_path / "out")])
     assert out[0]["metrics"]["top_k_accuracy"] == 1.0
     assert read_json(tmp_path / "out" / "evaluations" / "stat_retrieval_Toy.json")[0]["num_query"] == 4
+    args = ["--dataset-loader", "ucr2015", "--dataset", "Toy", "--channel-id", "0", "--feature-groups", "statistics.json", "spectral_frequency.json", "--distance", "cosine", "--normalize", "zscore", "--k", "5", "--persist-memory"]
+    out = main([*args, "--base-dir", str(tmp_path / "data"), "--outputs-root", str(tmp_path / "out"), "--experiment-name", "x", "--save-json", str(tmp_path / "s.json")])
+    assert read_json(tmp_path / "s.json")[0]["dataset_loader"] == "ucr2015" and out[0]["channel_id"] == 0
+    with pytest.raises(SystemExit):
+        main(["--dataset", "Toy", "--base-dir", str(tmp_path / "data"), "--channel-id", "3"])
+
+
+@pytest.mark.parametrize("distance", ["l2", "cosine", "weighted_l2"])
+@pytest.mark.parametrize("values", [4_000_000, 300])
+def test_neighbours_against_brute_force(spark, monkeypatch, distance, values):
+    """Queries sent whole, and queries and gallery in blocks; ties, far-off values, channels."""
+    from chronoloom.operators import retrieval as R
+
+    monkeypatch.setattr(R, "CHUNK_VALUES", values)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-2, 3, (50, 4)).astype(float), rng.normal(size=(20, 4)) * 1e5 + 1e6])
+    rows = [(f"e{i}", f"s{i // 2}", str(i % 3), i % 2, i, x[i].tolist()) for i in range(len(x))]
+    g = spark.createDataFrame(rows, "entry_id string, sample_id string, label string, channel_id int, ord long, vector array<double>").repartition(3)
+    q = g.select(F.col("entry_id").alias("query_id"), "sample_id", F.when(F.col("ord") < 60, F.col("channel_id")).alias("channel_id"), "vector")
+    w = (1.0, 0.5, 2.0, 0.0)
+    config = RetrieverConfig(distance, "none", 4, w if distance == "weighted_l2" else None)
+    got = {}
+    for r in R.knn(q, g, config).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.entry_id, r.distance)
+    for i, (e, sample, _, channel, _, v) in enumerate(rows):
+        a = np.array(v)
+        near = []
+        for f, s2, _, c2, j, u in rows:
+            if s2 == sample or config.by_channel and i < 60 and c2 != channel:
+                continue
+            b = np.array(u)
+            if distance == "cosine":
+                n = np.linalg.norm(a) * np.linalg.norm(b)
+                d = max(0.0, 1 - (a @ b / n if n else 0.0))
+            else:
+                d = np.sqrt(((a - b) ** 2 * (w if distance == "weighted_l2" else 1.0)).sum())
+            near.append((round(d, 9), j, f, d))
+        near.sort()
+        assert [got[e][k + 1][0] for k in range(4)] == [n[2] for n in near[:4]]
+        assert [got[e][k + 1][1] for k in range(4)] == pytest.approx([n[3] for n in near[:4]], abs=1e-9)
 
 
 def test_stream(spark, tmp_path):
