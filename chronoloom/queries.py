@@ -21,6 +21,11 @@ from .operators import retrieval as R
 from .operators import selector as S
 from .operators import series as W
 from .schema import RetrieverConfig, SelectorConfig
+from .session import shared_folder
+from .sources import writers
+from .sources.skab import load_skab_sequences, load_skab_windows
+from .sources.ucr import load_ucr
+from .sources.uea import load_uea
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -494,3 +499,73 @@ def format_retrieved(spark, sf_dir):
     near = R.knn(q, g, RetrieverConfig("cosine", "none", 5)).withColumn("distance", F.round("distance", 6))
     shown = near.select(F.col("query_id").cast("long").alias("query_id"), "rank", X.format_example("sample_id", label="label", score="distance").alias("t"))
     return shown.groupBy("query_id").agg(X.format_set(F.col("t"), F.col("rank")).alias("text"))
+
+
+# --- sources -------------------------------------------------------------------------------------------------
+
+_SPLIT = """e AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) AS r,
+  count(*) OVER () AS n, dense_rank() OVER (ORDER BY label) AS up, dense_rank() OVER (ORDER BY label DESC) AS down FROM embeddings),
+f AS (SELECT *, least(greatest(1, CAST(floor(n * 0.5) AS BIGINT)), n - 1) AS cut FROM e),
+s AS (SELECT *, CASE WHEN r <= cut THEN 'train' ELSE 'test' END AS split, CASE WHEN r <= cut THEN r - 1 ELSE r - cut - 1 END AS sample_index FROM f)"""
+
+
+@query("source_ucr", f"WITH {_SPLIT} SELECT 'X' AS dataset, split, split || '_' || sample_index AS sample_id, sample_index, CAST(0 AS INT) AS channel_id, v AS values, CAST(up - 1 AS VARCHAR) AS label FROM s")
+def source_ucr(spark, sf_dir):
+    """Univariate files written from the embeddings, and loaded with labels mapped."""
+    folder = shared_folder(spark, "ucr")
+    rows = W.prefix_split(vectors(spark, sf_dir), 0.5, order="ord")
+    writers.write_ucr(rows.select("split", F.col("ord").alias("sample_index"), "label", F.col("vector").alias("values")), "X", folder)
+    data = load_ucr(spark, "X", folder)
+    return data.series.select(F.lit(data.name).alias("dataset"), "split", "sample_id", "sample_index", "channel_id", "values", "label")
+
+
+@query(
+    "source_uea",
+    f"""WITH {_SPLIT} SELECT split, split || '_' || sample_index AS sample_id, sample_index, CAST(c AS INT) AS channel_id, list_slice(v, 8 * c + 1, 8 * c + 8) AS values, CAST(down - 1 AS VARCHAR) AS label
+FROM (SELECT *, unnest(generate_series(0, 7)) AS c FROM s)""",
+)
+def source_uea(spark, sf_dir):
+    """Multivariate files with declared classes, from eight pieces of each embedding."""
+    folder = shared_folder(spark, "uea")
+    rows = W.prefix_split(vectors(spark, sf_dir), 0.5, order="ord")
+    pieces = F.array(*[F.slice("vector", 8 * c + 1, 8) for c in range(8)])
+    samples = rows.select("split", F.col("ord").alias("sample_index"), pieces.alias("channels"), F.concat(F.lit("c"), "label").alias("label"))
+    classes = [f"c{r.label}" for r in _table(spark, sf_dir, "embeddings").select("label").distinct().orderBy(F.desc("label")).collect()]
+    writers.write_uea(samples, "X", folder, dimensions=8, class_values=classes)
+    return load_uea(spark, "X", folder).series.select("split", "sample_id", "sample_index", "channel_id", "values", "label")
+
+
+_FILES = """u AS (SELECT event_type, list(CAST(coalesce(value, 0) AS DOUBLE) ORDER BY ts, event_id) AS v, list(CAST(user_id AS DOUBLE) ORDER BY ts, event_id) AS w,
+  list(CASE WHEN coalesce(value, 0) > 50 THEN 1 ELSE 0 END ORDER BY ts, event_id) AS y FROM events GROUP BY event_type),
+o AS (SELECT *, row_number() OVER (ORDER BY event_type) AS r, count(*) OVER () AS n FROM u),
+s AS (SELECT *, CASE WHEN r <= least(greatest(1, CAST(floor(n * 0.5) AS BIGINT)), n - 1) THEN 'train' ELSE 'test' END AS split FROM o)"""
+_BOTH = "CAST(c AS INT) AS channel_id, CASE WHEN c = 0 THEN v ELSE w END AS values"
+
+
+def _sensor_files(spark: SparkSession, sf_dir: str) -> str:
+    """A file of points for each type of event: two channels, and values over 50 as anomalies."""
+    e = _table(spark, sf_dir, "events")
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    points = e.select("event_type", F.col("ts").alias("datetime"), "event_id", value.alias("value"), F.col("user_id").cast("double").alias("user"), (value > 50).cast("int").alias("anomaly"))
+    return writers.write_sensors(points, shared_folder(spark, "sensors"), key="event_type", order=["datetime", "event_id"])
+
+
+@query(
+    "source_sensor_sequence",
+    f"""WITH {_FILES} SELECT split, row_number() OVER (PARTITION BY split, c ORDER BY r) - 1 AS sample_index, {_BOTH}, CASE WHEN list_sum(y) / len(y) >= 0.4 THEN '1' ELSE '0' END AS label
+FROM (SELECT *, unnest([0, 1]) AS c FROM s)""",
+)
+def source_sensor_sequence(spark, sf_dir):
+    data = load_skab_sequences(spark, _sensor_files(spark, sf_dir), rule="ratio", threshold=0.4, drop_columns=("event_id",))
+    return data.series.select("split", "sample_index", "channel_id", "values", "label")
+
+
+@query(
+    "source_sensor_window",
+    f"""WITH {_FILES}, p AS (SELECT split, r, v, w, y, unnest(generate_series(0, len(y) - 60, 10)) AS b FROM s WHERE len(y) >= 60),
+x AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY r, b) - 1 AS sample_index, list_slice(v, b + 1, b + 60) AS v, list_slice(w, b + 1, b + 60) AS w, list_slice(y, b + 1, b + 60) AS y FROM p)
+SELECT split, sample_index, {_BOTH}, CASE WHEN list_sum(y) / 60.0 >= 0.5 THEN '1' ELSE '0' END AS label FROM (SELECT *, unnest([0, 1]) AS c FROM x)""",
+)
+def source_sensor_window(spark, sf_dir):
+    data = load_skab_windows(spark, _sensor_files(spark, sf_dir), rule="ratio", threshold=0.5, drop_columns=("event_id",))
+    return data.series.select("split", "sample_index", "channel_id", "values", "label")

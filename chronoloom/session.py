@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +40,13 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     return spark
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset and the session runs on one machine, one of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix=f"chronoloom-{label}-")
+    return f"{re.sub('^file:/*', '/', root).rstrip('/')}/{label}-{uuid.uuid4().hex}"
