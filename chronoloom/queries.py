@@ -569,3 +569,35 @@ SELECT split, sample_index, {_BOTH}, CASE WHEN list_sum(y) / 60.0 >= 0.5 THEN '1
 def source_sensor_window(spark, sf_dir):
     data = load_skab_windows(spark, _sensor_files(spark, sf_dir), rule="ratio", threshold=0.5, drop_columns=("event_id",))
     return data.series.select("split", "sample_index", "channel_id", "values", "label")
+
+
+# --- kept memories -------------------------------------------------------------------------------------------
+
+_VECTORS = SQL["gallery_vectors"]
+
+
+@query("gallery_kept_parquet", _VECTORS)
+def gallery_kept_parquet(spark, sf_dir):
+    """A gallery written as Parquet and read again."""
+    path = f"{shared_folder(spark, 'gallery')}/entries.parquet"
+    G.save_gallery(channel_gallery(spark, sf_dir), path)
+    rows, _ = G.gallery_vectors(G.load_gallery(spark, path))
+    return rows.select("entry_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("gallery_kept_json", _VECTORS)
+def gallery_kept_json(spark, sf_dir):
+    """A gallery written as lines of JSON and read again."""
+    path = f"{shared_folder(spark, 'gallery')}/entries.json"
+    G.save_gallery_json(channel_gallery(spark, sf_dir), path)
+    rows, _ = G.gallery_vectors(G.load_gallery_json(spark, path))
+    return rows.select("entry_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query("index_kept", f"WITH {_CH} SELECT vec_id || '__ch' || c AS entry_id, CAST(vec_id AS VARCHAR) AS sample_id, CAST(label AS VARCHAR) AS label, CAST(c AS INT) AS channel_id, [round(list_max(v), 6), round(list_avg(v), 6), round(list_min(v), 6), round(list_var_pop(v), 6)] AS vector FROM ch")
+def index_kept(spark, sf_dir):
+    """The vectors of a gallery written as an index and read again."""
+    path = f"{shared_folder(spark, 'index')}/index"
+    G.save_index(channel_gallery(spark, sf_dir), path)
+    rows, _ = G.load_index(spark, path)
+    return rows.select("entry_id", "sample_id", "label", "channel_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
