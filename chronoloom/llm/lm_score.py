@@ -5,8 +5,9 @@ P(x | v) = (c(v x) + MU * u(x)) / (c(v) + MU) with u(x) = (c(x) + 1) / (T + V).
 stands before its first word. Each token's loss under the target less its loss under the background, averaged, scores a
 document. A document's own counts are left out of the models that score it.
 
-Nothing is cut by frequency, and no table of words or bigrams is sent to the workers but that of the most frequent
-words, which has a bound that doesn't depend on the input. Bigrams are dealt by their second word, and those that end
+Nothing is cut by frequency, and no tables of words or bigrams are sent to the workers but those of the most frequent
+ones, which have a bound that doesn't depend on the input. What a frequent bigram adds is known where the document is.
+The others are dealt by their second word, and those that end
 in a frequent word by both; so whoever has all bigrams that end in a word also has that word's count, and can say what
 each occurrence adds to the loss of its document. Bigrams travel in packed arrays, and what comes back are sums by document.
 """
@@ -28,7 +29,8 @@ from .common import Scratch, column, utf8, with_id, words_of
 
 #: Weight of the unigrams, in counts.
 MU = 32.0
-#: Words with this share of all tokens are frequent: at most 10,000.
+#: Words with this share of all tokens are frequent, and so are bigrams that have it in the blocks where they have it: at
+#: most 10,000 of each, and no other bigram has twice this share.
 FREQUENT = 1e-4
 #: Tokens of a block of documents, bigrams that are counted at a time, and tasks that count.
 BLOCK, COUNTED, TASKS = 400_000, 2_000_000, 20_000
@@ -43,12 +45,14 @@ MARK = np.uint64(0)
 @dataclass(frozen=True)
 class Totals:
     """What is known of both corpora (0: target, 1: background): tokens with marks, words in the vocabulary, and the
-    counts of frequent words, sorted by key."""
+    counts of frequent words and of frequent bigrams, sorted by key."""
 
     tokens: tuple[int, int]
     vocabulary: int
     keys: np.ndarray
     counts: np.ndarray  # word x 2
+    pairs: np.ndarray
+    pair_counts: np.ndarray  # bigram x 2
 
 
 def word_keys(words: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
@@ -88,7 +92,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
 
 
 def count_words(rows: DataFrame) -> Totals:
-    """Totals of rows (id, text, flags). Words are summed on each worker before they are shuffled."""
+    """Totals of rows (id, text, flags). Words are summed on each worker before they are shuffled. Keys of bigrams that may
+    be frequent are less than 0, those of words are not."""
+    rate = FREQUENT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -105,8 +111,15 @@ def count_words(rows: DataFrame) -> Totals:
         for _, words, flags in _blocks(batches, BLOCK):
             if len(known) > 300_000:
                 known.clear()
-            sizes = np.array([len(w) for w in words])
-            keys, back = np.unique(word_keys(words, known), return_inverse=True)
+            sizes = np.array([len(w) for w in words], dtype=np.int64)
+            read = word_keys(words, known)
+            pairs, often = np.unique(pair_keys(*bigrams_of(read, sizes)[:2]), return_counts=True)
+            some = often >= rate * often.sum()
+            held["key"].append(pairs[some])
+            held["n0"].append(np.zeros(some.sum()))
+            held["n1"].append(often[some].astype(float))
+            n += int(some.sum())
+            keys, back = np.unique(read, return_inverse=True)
             for name, value in (("key", keys), *((f"n{k}", np.bincount(back, np.repeat(flags >> k & 1, sizes), len(keys))) for k in range(2))):
                 held[name].append(value)
             some = sizes > 0
@@ -121,9 +134,64 @@ def count_words(rows: DataFrame) -> Totals:
 
     counted = rows.mapInArrow(scan, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n1 > 0")
     counted = Scratch(rows.sparkSession, "lm-words").write(counted, "words")
-    n0, n1, size = counted.agg(F.sum("n0"), F.sum("n1"), F.count("*")).first()
-    often = counted.where(F.col("n1") >= FREQUENT * (n1 or 0)).toArrow().sort_by("key")
-    return Totals((n0 or 0, n1 or 0), size + 1, often["key"].to_numpy().astype(np.uint64), np.stack([often[c].to_numpy() for c in ("n0", "n1")], axis=1))
+    n0, n1, size = counted.where("key >= 0").agg(F.sum("n0"), F.sum("n1"), F.count("*")).first()
+    often = counted.where(F.col("n1") >= rate * (n1 or 0)).select("key", "n0", "n1").toArrow().sort_by("key")
+    keys, counts = often["key"].to_numpy(), np.stack([often[c].to_numpy() for c in ("n0", "n1")], axis=1)
+    pairs = keys[keys < 0].view(np.uint64)
+    return Totals((n0 or 0, n1 or 0), size + 1, keys[keys >= 0].astype(np.uint64), counts[keys >= 0], pairs, count_pairs(rows, pairs))
+
+
+def count_pairs(rows: DataFrame, pairs: np.ndarray) -> np.ndarray:
+    """How often each of ``pairs``, sorted keys, stands in either corpus of rows (id, text, flags). Each task sends its sums."""
+    out = np.zeros((len(pairs), 2), dtype=np.int64)
+    if not len(pairs):
+        return out
+    held = rows.sparkSession.sparkContext.broadcast(pairs)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        wanted = held.value
+        sums = np.zeros((len(wanted), 2), dtype=np.int64)
+        for _, words, flags in _blocks(batches, BLOCK):
+            if len(known) > 300_000:
+                known.clear()
+            x, v, doc = bigrams_of(word_keys(words, known), np.array([len(w) for w in words], dtype=np.int64))
+            spot, hit = _found(wanted, pair_keys(x, v))
+            for k in range(2):
+                sums[:, k] += np.bincount(spot[hit & (flags[doc] >> k & 1 == 1)], minlength=len(wanted))
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(sums[some, k]) for k in range(2))], names=["at", "n0", "n1"])
+
+    counted = rows.mapInArrow(scan, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    for k in range(2):
+        out[counted["at"].to_numpy(), k] = counted[f"n{k}"].to_numpy()
+    return out
+
+
+def bigrams_of(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of several documents: each word, and the mark at a document's end; what stands before it; its document."""
+    live = np.flatnonzero(sizes)
+    n = sizes[live] + 1
+    ends = np.cumsum(n)
+    x = np.zeros(n.sum(), dtype=np.uint64)
+    x[np.delete(np.arange(len(x)), ends - 1)] = keys
+    v = np.empty_like(x)
+    v[1:] = x[:-1]
+    v[ends - n] = MARK
+    return x, v, np.repeat(live, n)
+
+
+def pair_keys(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: 63 bits of a hash under a leading 1."""
+    return _mix(x, v) | np.uint64(1 << 63)
+
+
+def _found(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value is in a sorted array, and whether it is there."""
+    if not len(held):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    spot = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return spot, held[spot] == wanted
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -164,32 +232,29 @@ def _spread(blob: bytes, *kinds: str) -> list[np.ndarray]:
 EVENTS = ("<u8", "<u4", "<u2", "<u4", "<u4", "<u2", "<u2", "<u2", "<u4", "u1")
 
 
-def bigram_events(words: list[list[bytes]], flags: np.ndarray, known: dict[bytes, int], totals: Totals, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, packed events) of a block of documents: each bigram of each document once, with how often the document has it
-    and its second word."""
+def bigram_events(words: list[list[bytes]], flags: np.ndarray, known: dict[bytes, int], totals: Totals, parts: int, mu: float) -> Iterator[tuple[int, bytes]]:
+    """First (-1, packed sums) of a block of documents: their sizes, and what frequent bigrams add to their losses, in units.
+    Then (part, packed events): each other bigram of each document once, with how often the document has it and its second word."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    live = np.flatnonzero(sizes)
-    if not len(live):
-        return
-    keys, n = word_keys(words, known), sizes[live] + 1
-    ends = np.cumsum(n)
-    x = np.zeros(ends[-1], dtype=np.uint64)
-    x[np.delete(np.arange(len(x)), ends - 1)] = keys  # the mark is at each document's end
-    v = np.empty_like(x)
-    v[1:] = x[:-1]
-    v[ends - n] = MARK
-    doc = np.repeat(live, n)
+    x, v, doc = bigrams_of(word_keys(words, known), sizes)
     order = np.lexsort((v, doc, x))
     x, v, doc = x[order], v[order], doc[order]
     at, own_word = _runs(x, doc)
     own_word = np.repeat(own_word, own_word)
     at, own = _runs(x, doc, v)
     x, v, doc, own_word = x[at], v[at], doc[at], own_word[at]
-    if len(totals.keys):
-        spot = np.minimum(np.searchsorted(totals.keys, x), len(totals.keys) - 1)
-        frequent = totals.keys[spot] == x
-    else:
-        frequent = np.zeros(len(x), dtype=bool)
+    spot, frequent = _found(totals.keys, x)
+    pair, hot = _found(totals.pairs, pair_keys(x, v))
+    hot &= frequent
+    sums = []
+    for k in range(2):
+        inside = flags[doc[hot]].astype(np.int64) >> k & 1
+        units = losses(own[hot], own_word[hot], inside, totals.pair_counts[pair[hot], k], totals.counts[spot[hot], k], sizes[doc[hot]] + 1, totals, k, mu)
+        sums.append(np.bincount(doc[hot], units, len(sizes)).astype(np.int64))
+    yield -1, _squeeze(sizes.astype("<u4"), *sums)
+    x, v, doc, own, own_word, frequent = (a[~hot] for a in (x, v, doc, own, own_word, frequent))
+    if not len(x):
+        return
     part = (_mix(x, np.where(frequent, v, np.uint64(0))) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     starts, counts = _runs(part[order])
@@ -205,6 +270,14 @@ def bigram_events(words: list[list[bytes]], flags: np.ndarray, known: dict[bytes
         )
 
 
+def losses(own: np.ndarray, own_word: np.ndarray, inside: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: np.ndarray, totals: Totals, k: int, mu: float) -> np.ndarray:
+    """What bigrams add to the losses of documents, in units: ``own`` times in a document of ``tokens``, its second word ``own_word`` times; counts
+    of both in corpus k, of which the document is a part or not."""
+    word = word - own_word * inside
+    unigram = (word + 1) / (totals.tokens[k] - tokens * inside + totals.vocabulary)
+    return np.rint(own * (np.log(word + mu) - np.log(pair - own * inside + mu * unigram)) / UNIT)
+
+
 def event_losses(blobs: list[bytes], totals: Totals, mu: float) -> list[bytes]:
     """For blobs that have all events of their words, or of their bigrams where the word is frequent: each document's
     number, and what they add to its losses, in units."""
@@ -217,23 +290,17 @@ def event_losses(blobs: list[bytes], totals: Totals, mu: float) -> list[bytes]:
     pair_at, pair_run = _runs(x[order], v[order])
     word_at, word_run = _runs(x[order])
     words = x[order][word_at]
-    spot = np.minimum(np.searchsorted(totals.keys, words), max(0, len(totals.keys) - 1)) if len(totals.keys) else None
-    loss = np.empty((len(x), 2))
+    spot, often = _found(totals.keys, words)
+    units = np.empty((len(x), 2), dtype=np.int64)
     for k in range(2):
         mine = own * (flags >> k & 1)
         pair = np.empty(len(x))
         pair[order] = np.repeat(np.add.reduceat(mine[order], pair_at), pair_run)
         count = np.add.reduceat(mine[order], word_at)
-        if spot is not None:
-            often = totals.keys[spot] == words
-            count[often] = totals.counts[spot[often], k]
+        count[often] = totals.counts[spot[often], k]
         word = np.empty(len(x))
         word[order] = np.repeat(count, word_run)
-        inside = flags >> k & 1
-        word -= own_word * inside
-        unigram = (word + 1) / (totals.tokens[k] - tokens * inside + totals.vocabulary)
-        loss[:, k] = own * (np.log(word + mu) - np.log(pair - own * inside + mu * unigram))
-    units = np.rint(loss / UNIT).astype(np.int64)
+        units[:, k] = losses(own, own_word, flags >> k & 1, pair, word, tokens, totals, k, mu)
     out, at = [], 0
     for g in got:
         n = len(g[2])
@@ -262,10 +329,8 @@ def score_documents(rows: DataFrame, totals: Totals, id_col: str, id_type, *, mu
             if len(known) > 300_000:
                 known.clear()
             none = ids.slice(0, 0)
-            sizes = np.array([len(w) for w in words], dtype="<u4")
-            yield batch_of(block % subs, block, 0, sizes.tobytes(), ids)
-            for sub, data in bigram_events(words, flags, known, held.value, subs):
-                yield batch_of(sub, block, 1, data, none)
+            for sub, data in bigram_events(words, flags, known, held.value, subs, mu):
+                yield batch_of(block % subs, block, 0, data, ids) if sub < 0 else batch_of(sub, block, 1, data, none)
             block += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,8 +360,8 @@ def score_documents(rows: DataFrame, totals: Totals, id_col: str, id_type, *, mu
         """One block: the row that has its documents, and sums for them."""
         group = group.combine_chunks()
         first = group["kind"].to_pylist().index(0)
-        sizes = np.frombuffer(group["data"][first].as_py(), "<u4").astype(np.int64)
-        sums = np.zeros((len(sizes), 2), dtype=np.int64)
+        sizes, *known = _spread(group["data"][first].as_py(), "<u4", "<i8", "<i8")
+        sizes, sums = sizes.astype(np.int64), np.stack(known, axis=1)
         for kind, data in zip(group["kind"].to_pylist(), group["data"], strict=True):
             if kind:
                 docs, *more = _spread(data.as_py(), "<u2", "<i8", "<i8")
@@ -319,7 +384,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, others: Dat
 
     Counts are over whole texts of all rows. Texts without words (null, empty) have null losses and no part in the models.
     Repeated rows count each and give each its result. Null ids are no targets. Other columns are ignored. Without targets the
-    target model is uniform; an empty table gives an empty result. ``docs`` is read twice.
+    target model is uniform; an empty table gives an empty result. ``docs`` is read three times.
     """
     flagged = flag_documents(docs, targets, id_col, text_col)
     totals = count_words(flagged)

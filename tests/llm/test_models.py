@@ -73,6 +73,21 @@ def test_cross_entropy_difference(spark, monkeypatch, counted, block, frequent):
     same_scores(cross_entropy_difference(frame(spark, rows), ids, others=frame(spark, others), counted=counted), brute_lm(rows, targets, others))
 
 
+def test_frequent_bigrams_are_not_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 0.05)
+    rows = [(i, f"of the a{i} b{i} c{i}") for i in range(50)]
+    flagged = lm_score.flag_documents(frame(spark, rows), spark.createDataFrame([(1,)], "doc_id long"), "doc_id", "text")
+    totals = lm_score.count_words(flagged)
+    of, the = lm_score.word_keys([[b"of", b"the"]], {})
+    wanted = lm_score.pair_keys(np.array([the, of]), np.array([of, lm_score.MARK]))
+    assert set(wanted) == set(totals.pairs) and totals.pair_counts.tolist() == [[1, 50], [1, 50]]
+    first, *events = lm_score.bigram_events([[b"of", b"the", b"x"]] * 3, np.array([2, 2, 3]), {}, totals, 4, MU)
+    sizes, target, background = lm_score._spread(first[1], "<u4", "<i8", "<i8")
+    assert first[0] == -1 and sizes.tolist() == [3, 3, 3] and (target > 0).all() and (background > 0).all()
+    dealt = np.concatenate([lm_score._spread(data, "<u8")[0] for _, data in events])
+    assert len(dealt) and not np.isin([of, the], dealt).any()
+
+
 def test_rare_words_of_a_large_input_are_known(spark):
     rows = [(i, "x " * 150_000) for i in range(3)] + [(20, "p q r s"), (21, "p q t"), (22, "x p q")]
     same_scores(cross_entropy_difference(frame(spark, rows), spark.createDataFrame([(20,)], "doc_id long")), brute_lm(rows, {20}))
