@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import column, utf8, with_id
 
-_TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>|[!?/][^>]*+(?:>|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(?:>|(\Z))|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -57,7 +57,8 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The tree of a page, with omitted end tags, rows and the end of the head implied."""
+    """The tree of a page, with omitted end tags, rows and the end of the head implied. A tag that never closes takes the rest
+    of the page with it, as browsers have it; so no part is looked at twice."""
     root = Node("html")
     stack = [root]
 
@@ -86,6 +87,8 @@ def parse(html: str) -> Node:
             break
         text(html[at : m.start()])
         at = m.end()
+        if m[4] is not None:
+            break
         tag = m[2].lower() if m[2] else None
         if tag is None:
             continue

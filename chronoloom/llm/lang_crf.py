@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import column, utf8, with_id, words_of
 
-#: Documents that training sees at most, and characters of each: longer documents are not chosen.
-MAX_TRAINING_DOCS, MAX_TRAINING_CHARS = 480, 8000
+#: Documents that training sees at most, each with its whole text, and languages that a model may have: of more, those of most documents.
+MAX_TRAINING_DOCS, MAX_LANGUAGES = 240, 64
 #: Buckets of hashed features; words of a stretch.
 BUCKETS, STRETCH = 1 << 17, 128
 LEXICON_WORDS = 200
@@ -141,8 +141,9 @@ def _groups(lengths: np.ndarray, most: int = 4096) -> Iterator[tuple[int, int]]:
         yield lo, min(len(lengths), lo + most)
 
 
-def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, ...], *, steps: int = 50, rate: float = 0.15, l2: float = 1e-6) -> LangModel:
-    """Weights and transitions of greatest penalised conditional likelihood, by Adam on all chains."""
+def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, ...], *, steps: int = 50, rate: float = 0.15, l2: float = 1e-6, enough: float = 0.002) -> LangModel:
+    """Weights and transitions of greatest penalised conditional likelihood, by Adam on all chains, until the labels given have
+    a mean probability of 1 - ``enough``, or for ``steps`` steps."""
     n_lang = len(languages)
     seen = [Counter() for _ in languages]
     for words, labels in chains:
@@ -176,6 +177,8 @@ def fit_crf(chains: list[tuple[list[bytes], list[int]]], languages: tuple[str, .
         e = np.exp(scores - scores.max(axis=1, keepdims=True))[ids]
         passed = Messages(e, sizes, t)
         marginals = passed.marginals()
+        if marginals[np.arange(total), gold].mean() > 1 - enough:
+            break
         joint = passed.alpha[after - 1][:, :, None] * np.exp(t)[None] * (e[after] * passed.beta[after])[:, None, :]
         pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         expected = np.stack([np.bincount(ids, marginals[:, y], len(types)) for y in range(n_lang)], axis=1)
@@ -196,18 +199,22 @@ def training_part(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS, max_chars: int = MAX_TRAINING_CHARS) -> LangModel | None:
-    """Fit on at most ``max_docs`` documents with a language, outside the held-out part, of at most ``max_chars``
-    characters: those with the smallest hash of their id, in equal parts by language as far as there are any, and
-    all of their texts. Of rows that repeat an id one is used. A third of the chains join two documents, so that
-    transitions are seen. None if there is nothing to learn from."""
+def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAINING_DOCS, max_languages: int = MAX_LANGUAGES) -> LangModel | None:
+    """Fit on at most ``max_docs`` documents with a language, outside the held-out part: those with the smallest hash of their id, in
+    equal parts by language as far as there are any, and all of their texts, however long. Languages are those of the ``max_languages`` values
+    of ``lang_col`` that most rows have (of equal counts the first by name); rows of other values, nulls, and null or empty texts teach nothing. Of rows that repeat an id
+    one is used. A third of the chains join two documents, so that transitions are seen. Other columns are ignored. None if there is nothing to learn from, as
+    in an empty table."""
     from pyspark.sql import Window
 
-    labelled = docs.where(training_part(id_col) & column(lang_col).isNotNull() & (F.char_length(column(text_col)) <= max_chars))
+    labelled = docs.where(training_part(id_col) & column(lang_col).isNotNull() & (F.octet_length(utf8(text_col)) > 0))
     keys = labelled.select(column(id_col).alias("__k"), column(lang_col).cast("string").alias("__lang"))
-    languages = sorted(r[0] for r in keys.select("__lang").distinct().collect())
+    counted = keys.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(max_languages)
+    languages = sorted(r[0] for r in counted.collect())
     if not languages:
         return None
+    keys = keys.where(F.col("__lang").isin(languages))
+    labelled = labelled.where(column(lang_col).cast("string").isin(languages))
     share = max(1, max_docs // len(languages))
     order, salt = (F.xxhash64("__k"), F.col("__k")), F.pmod(F.xxhash64("__k", F.lit(1)), F.lit(64))
     chosen = keys

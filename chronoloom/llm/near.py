@@ -135,6 +135,8 @@ WORDS = 50_000
 
 def sketch(rows: DataFrame, *, hashes: int, shingle: int = 5) -> DataFrame:
     """Of rows (id, text): id, fp, n (shingles) and sig. Texts without words have a null fp."""
+    if not 0 < hashes <= len(_MULT):
+        raise ValueError(f"there are 1 to {len(_MULT)} hashes")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -153,12 +155,14 @@ def sketch(rows: DataFrame, *, hashes: int, shingle: int = 5) -> DataFrame:
 
 def tune_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
     """(bands, rows): of those with at most ``most`` values in all that reach the recall at the
-    threshold, the most selective, with as many bands as fit."""
+    threshold, the most selective, with as many bands as fit. Where none does, that is an error."""
+    if not 0 < most <= len(_MULT):
+        raise ValueError(f"there are 1 to {len(_MULT)} hashes")
     for rows in range(most, 0, -1):
         bands = most // rows
         if 1 - (1 - threshold**rows) ** bands >= recall:
             return bands, rows
-    return most, 1
+    raise ValueError(f"{most} hashes don't reach a recall of {recall} at {threshold}")
 
 
 def band_members(classes: DataFrame, scratch: Scratch, *, bands: int, rows: int) -> DataFrame:
@@ -357,7 +361,7 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
     bucket are compared, block against block within workers; a pair counts in the first band that it shares, if its
     signatures pass the rule and its texts the threshold. None if there are no large buckets."""
     large = members.where(F.col("g") > SMALL_BUCKET).select("bk", "band", "fp", "g")
-    told = large.groupBy("fp").agg(F.expr("bit_or(shiftleft(1L, band))").alias("wide"))
+    told = large.groupBy("fp").agg(F.collect_set("band").alias("wide"))
     told = scratch.write(told.join(classes.select("fp", "id", "n", "sig"), "fp"), "large")
     if told.isEmpty():
         return None
@@ -373,7 +377,9 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         one, two = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         group = group.sort_values("block", kind="stable")
-        fps, texts_, wide = group["fp"].to_list(), group["text"].to_list(), group["wide"].to_numpy()
+        fps, texts_ = group["fp"].to_list(), group["text"].to_list()
+        wide = np.zeros((len(group), bands), dtype=bool)
+        wide[np.repeat(np.arange(len(group)), group["wide"].map(len)), np.concatenate(group["wide"].to_list())] = True
         split = int((group["block"] == one).sum())
         sigs = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), -1)
         band, width = int(group["band"].iloc[0]), sigs.shape[1] // bands
@@ -387,7 +393,7 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
         for k in range(split):
             start = k + 1 if one == two else split
             shared = (sigs[start:, : bands * width] == sigs[k, : bands * width]).reshape(-1, bands, width).all(axis=2)
-            narrow = (int(wide[k]) >> np.arange(bands)) & 1 == 0
+            narrow = ~wide[k]
             near = start + np.flatnonzero((shared.argmax(axis=1) == band) & shared[:, band] & ~shared[:, narrow].any(axis=1))
             near = near[rule(np.broadcast_to(sigs[k], (len(near), sigs.shape[1])), sigs[near])]
             if not len(near):

@@ -3,7 +3,7 @@
 Texts are tokenized once; the ids are kept, compressed, in the shared folder while the sequences are counted.
 A keyed Feistel permutation with cycle-walking gives each sequence's number a global slot. Slots are dealt
 to shards by range, and each shard is one file of fixed-stride records, so that any position of the training
-order is a seek. Shards that are whole are not written again when an interrupted write is repeated.
+order is a seek. A shard's checksum is written after it; shards that have theirs are not written again when an interrupted write is repeated.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ class Layout:
     shard_slots: int
     key: int
     pad_id: int
-    check: int  # of all sequences' ids, in any order
+    check: int  # of all sequences' ids in their order
 
     @property
     def stride(self) -> int:
@@ -80,12 +80,18 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def check_name(shard: int) -> str:
+    return f"shard-{shard:08d}.crc32"
+
+
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 #: Texts tokenized at a time, sequences dealt to shards at a time, and the level of compression between.
 TEXTS, DEALT, LEVEL = 256, 16384, 3
+#: Tasks that write shards: of more shards, each writes a range, one after the other.
+MAX_TASKS = 20_000
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -145,14 +151,15 @@ def write_training_order(
     Null and empty texts are their end id. Repeated rows and null ids are written like others; other
     columns are ignored; an empty table writes an index without shards. A shard appears when it is whole,
     by a rename, so a task that runs again replaces it with the same bytes. Where ``out_dir`` has the index of
-    the same sequences and the same order, shards that are there in full length are left as they are.
+    the same sequences in the same order, shards that are there in full length, with the checksum of just these records, are left as they are;
+    any other index, of other documents or of the same in another order, and all of its shards are replaced.
     """
     spark = docs.sparkSession
     width = 2 if vocabulary <= 1 << 16 else 4
     scratch = Scratch(spark, "token-store")
     told = scratch.write(tokenized(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, end_id=end_id, width=width, length=length), "tokens")
 
-    sums = told.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.crc32("crc")).alias("check"))
+    sums = told.groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.crc32(F.concat(F.concat_ws(",", "part", "first", F.lit("")).cast("binary"), "crc"))).alias("check"))
     starts, total, check = {}, 0, 0
     for r in sorted(sums.collect()):  # a row for each partition of the scan
         starts[r.part] = total
@@ -161,10 +168,9 @@ def write_training_order(
     layout = Layout(total, length, width, shard_slots, key, pad_id, check)
     fs, path = _open(out_dir)
     fs.create_dir(path, recursive=True)
-    same = _layout(fs, path) == layout
-    if not same:
+    if _layout(fs, path) != layout:
         for old in fs.get_file_info(pyarrow.fs.FileSelector(path)):
-            if old.is_file and old.base_name.endswith(".bin"):
+            if old.is_file and old.base_name.endswith((".bin", ".crc32")):
                 fs.delete_file(old.path)
         with fs.open_output_stream(f"{path}/index.json") as f:
             f.write(json.dumps(layout.__dict__).encode())
@@ -214,35 +220,61 @@ def write_training_order(
         if held:
             yield emit()
 
+    def record(fs: pyarrow.fs.FileSystem, path: str, shard: int, got: list[list]) -> pa.RecordBatch:
+        """One shard: as many records as it has slots are held, and written in order unless they are there."""
+        slots, seq_no, n_tokens, crc = (np.concatenate([_unpack(g[k], t) for g in got]) for k, t in ((0, "<i8"), (1, "<i8"), (2, "<u4"), (3, "<u4")))
+        if not np.array_equal(np.sort(slots), np.arange(layout.slots_of(shard)) + shard * shard_slots):
+            raise ValueError(f"shard {shard} has {len(slots)} records")
+        tokens = np.concatenate([_unpack(g[4], f"<u{width}") for g in got])
+        n = n_tokens.astype(np.int64)
+        out = np.full((len(slots), length), pad_id, dtype=f"<u{width}")
+        spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(slots % shard_slots, n), spot] = tokens
+        whole = out.tobytes()
+        name, told_ = f"{path}/{shard_name(shard)}", f"{path}/{check_name(shard)}"
+        there, sum_ = fs.get_file_info(name), b"%08x" % zlib.crc32(whole)
+        if not (there.is_file and there.size == len(whole) and _content(fs, told_) == sum_):
+            attempt = TaskContext.get().taskAttemptId()
+            if fs.get_file_info(told_).is_file:
+                fs.delete_file(told_)  # first, so that it never stands beside other records
+            for held, content in ((name, whole), (told_, sum_)):
+                part = f"{path}/.{held.rsplit('/', 1)[1]}.{attempt}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content)
+                fs.move(part, held)
+        columns = [pa.array(x.astype(np.int64)) for x in (seq_no, slots, np.full(len(slots), shard), slots % shard_slots * layout.stride, n_tokens, crc)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([g[5] for g in got]), *columns], names=out_schema.names)
+
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard: as many records as it has slots are held, and written in order."""
+        """A range of shards, whose rows come one shard after the other."""
         fs, path = _open(out_dir)
-        attempt = TaskContext.get().taskAttemptId()
-        rows = {}  # by shard, of which a task has one
+        shard, got = -1, []
         for batch in batches:
             for i in range(batch.num_rows):
-                rows.setdefault(batch.column(0)[i].as_py(), []).append([batch.column(k)[i].as_py() for k in range(1, 6)] + [batch.column(6)[i].values])
-        for shard, got in rows.items():
-            slots, seq_no, n_tokens, crc = (np.concatenate([_unpack(g[k], t) for g in got]) for k, t in ((0, "<i8"), (1, "<i8"), (2, "<u4"), (3, "<u4")))
-            if not np.array_equal(np.sort(slots), np.arange(layout.slots_of(shard)) + shard * shard_slots):
-                raise ValueError(f"shard {shard} has {len(slots)} records")
-            name = f"{path}/{shard_name(shard)}"
-            there = fs.get_file_info(name)
-            if not (same and there.is_file and there.size == len(slots) * layout.stride):
-                tokens = np.concatenate([_unpack(g[4], f"<u{width}") for g in got])
-                n = n_tokens.astype(np.int64)
-                out = np.full((len(slots), length), pad_id, dtype=f"<u{width}")
-                spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(slots % shard_slots, n), spot] = tokens
-                with fs.open_output_stream(f"{path}/.{shard_name(shard)}.{attempt}") as f:
-                    f.write(out.tobytes())
-                fs.move(f"{path}/.{shard_name(shard)}.{attempt}", name)
-            columns = [pa.array(x.astype(np.int64)) for x in (seq_no, slots, np.full(len(slots), shard), slots % shard_slots * layout.stride, n_tokens, crc)]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([g[5] for g in got]), *columns], names=out_schema.names)
+                mine = batch.column(0)[i].as_py()
+                if mine != shard and got:
+                    yield record(fs, path, shard, got)
+                    got = []
+                shard = mine
+                got.append([batch.column(k)[i].as_py() for k in range(1, 6)] + [batch.column(6)[i].values])
+        if got:
+            yield record(fs, path, shard, got)
 
     shards = max(1, -(-total // shard_slots))
+    each = -(-shards // MAX_TASKS)
     out_schema = with_id(docs, id_col, SCHEMA)
-    return told.mapInArrow(deal, dealt).repartitionById(shards, F.col("shard")).mapInArrow(store, out_schema)
+    by_shard = told.mapInArrow(deal, dealt).repartitionById(-(-shards // each), (F.col("shard") / each).cast("int"))
+    if each > 1:
+        by_shard = by_shard.sortWithinPartitions("shard")
+    return by_shard.mapInArrow(store, out_schema)
+
+
+def _content(fs: pyarrow.fs.FileSystem, path: str) -> bytes | None:
+    try:
+        with fs.open_input_stream(path) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
 
 
 def _layout(fs: pyarrow.fs.FileSystem, path: str) -> Layout | None:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -10,7 +11,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
-from chronoloom.llm import lm_score, near
+from chronoloom.llm import lm_score, near, token_store
 from chronoloom.llm.common import words_of
 from chronoloom.llm.html_text import UNSEEN, VOID, extract_text, render
 from chronoloom.llm.lang_crf import Labeller, Messages, fit_crf, predict_languages, train_languages
@@ -223,6 +224,17 @@ def test_feistel_is_a_permutation(n):
         assert (a != Feistel(n, 6)(np.arange(n))).any() and (np.diff(a) == 1).mean() < 0.05
 
 
+def test_a_language_that_only_long_texts_have(spark):
+    rng = random.Random(8)
+    vocab = {"en": ["the", "and", "with", "ing", "house"], "de": ["der", "und", "mit", "ung", "haus"], "xx": ["zzz", "qqq"]}
+    rows = [(i, " ".join(rng.choices(vocab[lang], k=n)), lang) for i, (lang, n) in enumerate([("en", 40)] * 60 + [("de", 4000)] * 12 + [("xx", 9)] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.doc_id: r.lang_pred for r in predict_languages(docs, train_languages(docs)).collect()}
+    assert all(told[i] == lang for i, _, lang in rows)
+    two = train_languages(docs, max_languages=2)
+    assert two.languages == ("de", "en") and {r.lang_pred for r in predict_languages(docs, two).collect()} == {"de", "en"}
+
+
 def test_token_store(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -260,6 +272,28 @@ def test_token_store(spark, tmp_path):
     assert write_training_order(docs.limit(0), f"file://{tmp_path}/none").count() == 0 and list(read_training_order(f"file://{tmp_path}/none")) == []
 
 
+@pytest.mark.parametrize("tasks", [20_000, 2])
+def test_token_store_in_another_order(spark, tmp_path, monkeypatch, tasks):
+    """The same documents with their parts swapped: rows and shards agree after each write."""
+    monkeypatch.setattr(token_store, "MAX_TASKS", tasks)
+    one, two = ([(i, f"word{i} and so on " * (i % 9)) for i in range(a, a + 60)] for a in (0, 60))
+    out_dir = f"file://{tmp_path}/out"
+    for k, parts in enumerate(((one, two), (two, one), (one, two))):
+        for j, rows in enumerate(parts):
+            spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{k}/{j}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}/0").unionByName(spark.read.parquet(f"{tmp_path}/{k}/1"))
+        out = write_training_order(docs, out_dir, length=16, shard_slots=20).collect()
+        order = list(read_training_order(out_dir))
+        assert len(order) == len(out) and all(r.ids_crc32 == zlib.crc32(order[r.slot][: r.n_tokens].astype("<u4").tobytes()) for r in out)
+    # a shard of full length with other bytes is replaced
+    shard = next((tmp_path / "out").glob("*.bin"))
+    good = shard.read_bytes()
+    shard.write_bytes(good[::-1])
+    shard.with_suffix(".crc32").write_text("00000000")
+    write_training_order(docs, out_dir, length=16, shard_slots=20).collect()
+    assert shard.read_bytes() == good
+
+
 # --- paragraphs ----------------------------------------------------------------------------------------------
 
 
@@ -267,6 +301,9 @@ def test_bands_reach_the_recall():
     for threshold, recall, most in ((0.8, 0.99, 24), (0.8, 0.95, 64), (0.5, 0.9, 32)):
         b, r = tune_bands(threshold, recall, most)
         assert b * r <= most and 1 - (1 - threshold**r) ** b >= recall
+    for most in (2, 0, 257):
+        with pytest.raises(ValueError):
+            tune_bands(0.3, 0.99, most)
 
 
 def brute_edit(x, y):
@@ -481,6 +518,17 @@ def test_words_of_a_table_of_pages(spark):
     assert same >= 0.97 * len(html), same / len(html)
 
 
+@pytest.mark.parametrize("bit", ["<a ", "<div x=\"", "<div x='", "<", "</", "</a ", "<!", "<!--", "<a b=", "<p ", "&", "<table><td>", "<a\n"])
+def test_hostile_pages_take_linear_time(bit):
+    began = time.perf_counter()
+    render("<p>seen</p>" + bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - began < (10 if bit == "<table><td>" else 1.5)
+
+
+def test_unclosed_tags():
+    assert render("<p>a</p>b<i c") == "a\n\nb" and render("x</b") == "x" and render("<a x=\"1>2") == "2"
+
+
 def test_tables_stay_in_proportion():
     wide = "<table>" + f"<tr><td>{'w' * 20_000}<td>x" + "<tr><td>a<td>b" * 2000 + "</table>"
     assert len(render(wide)) < 8 * len(wide) + 100_000 and "a  b" in render(wide)
