@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import confidence, signed_log1p
 from ..schema import Distance, Normalization, RetrieverConfig
+from .quantiles import exact_quantiles
 
 #: Values of the queries that are sent to the workers, and of a block of queries or gallery that a task holds: 32 MB.
 CHUNK_VALUES = 4_000_000
@@ -60,8 +61,8 @@ def norm_stats(vectors: DataFrame, normalize: str, *, vector: str = "vector") ->
     if normalize is Normalization.ZSCORE:
         out = long.groupBy("dim").agg(F.avg("x").alias("centre"), F.stddev_pop("x").alias("scale"))
     elif normalize in (Normalization.ROBUST, Normalization.LOG1P_ROBUST):
-        q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out = long.groupBy("dim").agg(q.alias("q")).select("dim", F.get("q", F.lit(1)).alias("centre"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("scale"))
+        value = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+        out = exact_quantiles(long, (0.25, 0.5, 0.75)).groupBy("dim").agg(value(1).alias("centre"), (value(2) - value(0)).alias("scale"))
     else:
         raise ValueError("no statistics without a normalization")
     return out.withColumn("scale", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")))

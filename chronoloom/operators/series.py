@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..functions.labels import point_label
 from ..schema import non_negative, positive
+from .positions import with_positions
 
 
 def cap_per_split(series: DataFrame, n: int | None) -> DataFrame:
@@ -34,22 +34,10 @@ def prefix_split(rows: DataFrame, ratio: float, *, order: str) -> DataFrame:
 
 
 def with_position(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """The rows with ``__position``, from 1, by a column. Many rows, by a number, are ranked within ranges that
-    approximate quantiles bound, and moved by how many rows the ranges before have."""
-    kind = rows.schema[order].dataType
-    if n <= RANK_IN_ONE or not isinstance(kind, NumericType):
-        return rows.withColumn("__position", F.row_number().over(Window.orderBy(order)).cast("long"))
-    parts = -(-n // RANK_IN_ONE)
-    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)))
-    places = F.array(*[F.lit(b) for b in bounds])
-    ranged = rows.withColumn("__range", F.size(F.filter(places, lambda b: b <= F.col(order))))
-    before, total = {}, 0
-    for r in sorted(ranged.groupBy("__range").count().collect()):
-        before[r[0]] = total
-        total += r[1]
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__range")]
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(order))
-    return ranged.withColumn("__position", within + offset.cast("long")).drop("__range")
+    """The rows with ``__position``, from 1, by a column of any type. Few rows are ranked in one task, more by ranges."""
+    if n > RANK_IN_ONE:
+        return with_positions(rows, [order], name="__position").withColumn("__position", F.col("__position") + 1)
+    return rows.withColumn("__position", F.row_number().over(Window.orderBy(order)).cast("long"))
 
 
 def pick_channel(series: DataFrame, channel_id: int) -> DataFrame:
@@ -92,6 +80,33 @@ def sliding_windows(sequences: DataFrame, *, size: int, stride: int, rule: str =
     ).withColumn("label", point_label("point_labels", rule, threshold))
 
 
+#: Points of a chunk, besides those that the windows that start in it need of the next one.
+CHUNK = 65_536
+
+
+def point_windows(points: DataFrame, *, size: int, stride: int, values: list[str], by: list[str], at: str = "t") -> DataFrame:
+    """Windows of series that are tables of points, at positions 0, 1, ... of ``at`` for each value of the columns ``by``: those columns, start, end and, for each
+    of the columns ``values``, an array of the window's points. A series shorter than a window has none.
+
+    Points are dealt into chunks, each with the first points of the next, so that a series needn't fit a row or a task: a task holds
+    ``CHUNK`` points and ``size`` more.
+    """
+    positive(size, "size")
+    positive(stride, "stride")
+    length = max(1, CHUNK // stride) * stride
+    chunk = F.floor(F.col(at) / length)
+    reach = -(-size // length)  # chunks that a window may reach into
+    homes = F.filter(F.sequence(F.greatest(chunk - reach, F.lit(0)), chunk), lambda c: (c == chunk) | (F.col(at) - c * length < length - stride + size))
+    dealt = points.select(*by, F.explode(homes).alias("__chunk"), F.struct(F.col(at).alias("__at"), *values).alias("__point"))
+    held = dealt.groupBy(*by, "__chunk").agg(F.array_sort(F.collect_list("__point")).alias("__points"))
+    offsets = F.sequence(F.lit(0), F.least(F.size("__points") - size, F.lit(length - stride)), F.lit(stride))
+    fits = F.size("__points") >= size
+    out = held.where(fits).select(*by, "__chunk", "__points", F.explode(offsets).alias("__off"))
+    window = F.slice("__points", F.col("__off") + 1, F.lit(size))
+    start = F.col("__chunk") * length + F.col("__off")
+    return out.select(*by, start.alias("start"), (start + size).alias("end"), *[window.getField(v).alias(v) for v in values])
+
+
 def windows_1d(series: DataFrame, *, size: int, stride: int, values: str = "values") -> DataFrame:
     """Windows of plain series: the rows with start and the window's values. A series shorter than a window is an error."""
     length = F.size(values)

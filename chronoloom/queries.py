@@ -20,6 +20,7 @@ from .operators import metrics as M
 from .operators import retrieval as R
 from .operators import selector as S
 from .operators import series as W
+from .operators.positions import with_positions
 from .schema import RetrieverConfig, SelectorConfig
 from .session import shared_folder
 from .sources import writers
@@ -571,6 +572,30 @@ def source_sensor_window(spark, sf_dir):
     return data.series.select("split", "sample_index", "channel_id", "values", "label")
 
 
+@query(
+    "window_points",
+    """WITH u AS (SELECT event_type, list(CAST(coalesce(value, 0) AS DOUBLE) ORDER BY ts, event_id) AS v, list(CASE WHEN coalesce(value, 0) > 50 THEN 1 ELSE 0 END ORDER BY ts, event_id) AS y FROM events GROUP BY event_type),
+p AS (SELECT event_type, v, y, unnest(generate_series(0, len(v) - 60, 10)) AS b FROM u WHERE len(v) >= 60)
+SELECT event_type, CAST(b AS BIGINT) AS start, CAST(b + 60 AS BIGINT) AS "end", list_slice(v, b + 1, b + 60) AS values, CASE WHEN list_sum(list_slice(y, b + 1, b + 60)) / 60.0 >= 0.4 THEN 1 ELSE 0 END AS label FROM p""",
+)
+def window_points(spark, sf_dir):
+    """Windows of a table of points, in the order of time by type of event, labelled from their points."""
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0))
+    points = _table(spark, sf_dir, "events").select("event_type", "ts", "event_id", value.alias("values"), (value > 50).cast("int").alias("y"))
+    placed = with_positions(points, ["ts", "event_id"], by=["event_type"], name="t")
+    wins = W.point_windows(placed, size=60, stride=10, values=["values", "y"], by=["event_type"])
+    return wins.select("event_type", "start", "end", "values", L.point_label("y", "ratio", 0.4).alias("label"))
+
+
+@query(
+    "positions_by_text",
+    "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS position FROM orders",
+)
+def positions_by_text(spark, sf_dir):
+    """Places in a global order by text and number."""
+    return with_positions(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"])
+
+
 # --- kept memories -------------------------------------------------------------------------------------------
 
 _VECTORS = SQL["gallery_vectors"]

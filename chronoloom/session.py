@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -48,5 +47,5 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        return tempfile.mkdtemp(prefix=f"chronoloom-{label}-")
-    return f"{re.sub('^file:/*', '/', root).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        return f"{tempfile.mkdtemp(prefix='chronoloom-')}/{label}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

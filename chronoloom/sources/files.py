@@ -1,4 +1,4 @@
-"""Small files on the driver, lines of files in order, and dataset folders."""
+"""Small files on the driver, and dataset folders."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from enum import Enum
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def to_jsonable(value: Any) -> Any:
@@ -75,31 +74,21 @@ def normalize_name(name: str) -> str:
     return out
 
 
-def whole_files(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
-    """(path, value): each file is a row, so that the order of its lines, which has a meaning, is kept."""
-    reader = spark.read.options(**options)
-    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def splits_of(root: str | Path, suffix: str = "", spark: SparkSession | None = None) -> list[str]:
+    """Names of the folders under ``root``, of any store, that hold both splits; none if there is no such root."""
+    from .store import Store
 
+    top = Store(spark or SparkSession.builder.getOrCreate(), root)
+    return [n for n in top.names(folders=True) if all((top / n / f"{n}_{s}{suffix}").exists() for s in ("TRAIN", "TEST"))]
 
-def lines(value: Column | str, comment: str | None = None) -> Column:
-    """The lines of a text that aren't blank."""
-    value = F.col(value) if isinstance(value, str) else value
-    out = F.filter(F.split(value, r"\R"), lambda x: F.trim(x) != "")
-    return F.filter(out, lambda x: ~F.ltrim(x).startswith(comment)) if comment else out
 
+def both_splits(spark: SparkSession, root: str | Path, name: str, suffix: str = "") -> dict[str, str]:
+    """Where the splits are; each is a file, or a folder of parts in the order of their names."""
+    from .store import Store
 
-def splits_of(root: str | Path, suffix: str = "") -> list[str]:
-    """Names of the folders under ``root`` that hold both splits; none if there is no such root."""
-    root = Path(root)
-    if not root.is_dir():
-        return []
-    return sorted(p.name for p in root.iterdir() if p.is_dir() and all((p / f"{p.name}_{s}{suffix}").is_file() for s in ("TRAIN", "TEST")))
-
-
-def both_splits(root: str | Path, name: str, suffix: str = "") -> dict[str, str]:
     name = dataset_name(name)
-    out = {s: Path(root) / name / f"{name}_{s.upper()}{suffix}" for s in ("train", "test")}
+    out = {s: Store(spark, root) / name / f"{name}_{s.upper()}{suffix}" for s in ("train", "test")}
     for p in out.values():
-        if not p.is_file():
+        if not p.exists():
             raise FileNotFoundError(str(p))
     return {s: str(p) for s, p in out.items()}

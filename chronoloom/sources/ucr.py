@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import numeric_label_map, remap_labels
 from ..operators.series import cap_per_split
-from .files import both_splits, lines, splits_of, whole_files
+from .files import both_splits, splits_of
+from .ordered import ordered_lines
 
 
 @dataclass
@@ -30,8 +31,9 @@ def list_ucr(root: str | Path) -> list[str]:
 
 
 def scan_ucr(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """The series of one file, in the order of its lines. A value that isn't a number is an error."""
-    rows = whole_files(spark, path).select(F.posexplode(lines("value")).alias("sample_index", "line"))
+    """The series of one file, or of a folder of parts, numbered in the order of the lines, by as many tasks as it has blocks.
+    A value that isn't a number is an error."""
+    rows = ordered_lines(spark, path).withColumnRenamed("line_no", "sample_index")
     parts = F.transform(F.split("line", ","), lambda x: F.trim(x).cast("double"))
     return rows.select(
         F.concat(F.lit(f"{split}_"), F.col("sample_index").cast("string")).alias("sample_id"),
@@ -45,7 +47,7 @@ def scan_ucr(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 def load_ucr(spark: SparkSession, name: str, base_dir: str | Path, *, remap_labels_: bool = True, max_samples_per_split: int | None = None) -> Dataset:
     """Both splits; they are capped before labels are mapped, so the map covers what is kept."""
-    paths = both_splits(base_dir, name)
+    paths = both_splits(spark, base_dir, name)
     series = scan_ucr(spark, paths["train"], "train").unionByName(scan_ucr(spark, paths["test"], "test"))
     series = cap_per_split(series, max_samples_per_split)
     if not remap_labels_:

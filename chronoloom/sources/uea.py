@@ -3,6 +3,7 @@ dimensions and its label separated by colons."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import declared_label_map, numeric_label_map, remap_labels
 from ..operators.series import cap_per_split
-from .files import both_splits, lines, splits_of, whole_files
+from .files import both_splits, splits_of
+from .ordered import ordered_lines
+from .store import Store
 from .ucr import Dataset
 
 
@@ -70,22 +73,34 @@ def parse_header(text: str) -> Header:
     return Header(found.get("problemname"), dimensions, _flag("equalLength", found["equallength"]), univariate, classes, length, flags["missing"], flags["timestamps"])
 
 
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """The lines up to @data: only these are read."""
+    at = Store(spark, path)
+    if at.is_dir():
+        at = at / min((n for n in at.names(folders=False) if n[0] not in "._"), key=lambda n: (len(n), n), default="")
+    if (found := at.head(re.compile(r"^\s*@data", re.I))) is None:
+        raise ValueError("Missing @data section")
+    return found
+
+
 def list_uea(root: str | Path) -> list[str]:
     return splits_of(root, ".ts")
 
 
 def _check(ok: Column, message: str, out: Column, kind: str) -> Column:
-    return F.when(ok, out).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("line"))).cast(kind))
+    return F.when(ok | F.col("line").isNull(), out).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.col("line"))).cast(kind))
 
 
 def scan_uea(spark: SparkSession, path: str, split: str, header: Header) -> DataFrame:
-    """The samples of a file: sample_id, split, sample_index, ``channels`` (dimension x time) and label."""
+    """The samples of a file, or of a folder of parts that begins with the header: sample_id, split, sample_index, ``channels`` (dimension x time) and label."""
     if header.class_values is None:
         raise ValueError("classLabel must be true")
     if not header.equal_length:
         raise ValueError("Variable-length series are not supported")
-    body = F.regexp_extract("value", r"(?is)^.*?(?:^|\n)\s*@data[^\n]*\n?(.*)$", 1)
-    rows = whole_files(spark, path).select(F.posexplode(lines(body, "#")).alias("sample_index", "line"))
+    before = sum(1 for x in read_header(spark, path) if x.strip() and not x.lstrip().startswith("#"))
+    # the header's lines are null, not only left out: filters that follow from the checks below may be met first
+    line = F.when(F.col("line_no") >= before, F.col("line"))
+    rows = ordered_lines(spark, path, comment="#").where(F.col("line_no") >= before).select((F.col("line_no") - before).alias("sample_index"), line.alias("line"))
     parts = F.split("line", ":")
     d = header.dimensions
     tokens = F.transform(F.slice(parts, 1, d), lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
@@ -113,11 +128,8 @@ def scan_uea(spark: SparkSession, path: str, split: str, header: Header) -> Data
 
 def load_uea_samples(spark: SparkSession, name: str, base_dir: str | Path) -> tuple[DataFrame, Header]:
     """The samples of both splits, after checks that they agree."""
-    paths = both_splits(base_dir, name, ".ts")
-    headers = {}
-    for split, path in paths.items():
-        with open(path, encoding="utf-8") as f:
-            headers[split] = parse_header(f.read())
+    paths = both_splits(spark, base_dir, name, ".ts")
+    headers = {split: parse_header("\n".join(read_header(spark, path))) for split, path in paths.items()}
     if headers["train"].class_values != headers["test"].class_values:
         raise ValueError("class label declaration mismatch between splits")
     samples = [scan_uea(spark, paths[s], s, headers[s]) for s in ("train", "test")]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.operators.quantiles import exact_quantiles
 from chronoloom.functions import text as X
 from chronoloom.functions import vectors as V
 from chronoloom.operators import gallery as G
@@ -340,3 +341,34 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert 0 < got.count() <= static.count() and got.where("sample_id = split(query_id, '@')[0]").count() == 0
+
+
+@pytest.mark.parametrize("few", [20_000, 60])
+def test_exact_quantiles(spark, monkeypatch, few):
+    """Against NumPy, with the values ranked at once or by brackets; heavy ties, outliers, nulls and a single value."""
+    from chronoloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "ACCURACY", 300)
+    rng = np.random.default_rng(3)
+    columns = [
+        rng.normal(size=4000), np.exp(rng.normal(size=3001) * 40), np.array([1.5]), np.repeat([3.0, -1.0, 7.0], [2500, 500, 100]),
+        np.concatenate([np.zeros(1500), rng.normal(size=1500)]), np.array([-0.0, 0.0, 5e-324, -1e308, 1e308]), rng.integers(0, 50, 5000).astype(float), np.full(900, 2.0),
+    ]
+    rows = [(d, float(x)) for d, c in enumerate(columns) for x in c] + [(0, None), (99, None)]
+    long = spark.createDataFrame(rows, "dim int, x double").repartition(4)
+    probabilities = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    found = exact_quantiles(long, probabilities)
+    got = {(r.dim, r.q): r.value for r in found.collect()}
+    assert set(got) == {(d, q) for d in range(len(columns)) for q in range(len(probabilities))}
+    for d, c in enumerate(columns):
+        for q, p in enumerate(probabilities):
+            assert got[d, q] == pytest.approx(np.percentile(c, 100 * p), rel=1e-12), (d, p)
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    assert exact_quantiles(long.limit(0), probabilities).count() == 0
+
+
+def test_quantiles_of_nan(spark):
+    long = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, float("nan"))], "dim int, x double")
+    low, high = (r.value for r in exact_quantiles(long, (0.5, 1.0)).orderBy("q").collect())
+    assert low == 2.0 and high != high

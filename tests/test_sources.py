@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.labels import first_seen_label_map, numeric_label_map, point_label, remap_labels
 from chronoloom.functions.text import path_of_sample_id, sample_id_of_path
-from chronoloom.operators.series import cap_per_split, collate, describe_modes, feature_columns_of, pick_channel, prefix_split, sliding_windows, windows_1d
+from chronoloom.operators.series import cap_per_split, collate, describe_modes, feature_columns_of, pick_channel, point_windows, prefix_split, sliding_windows, windows_1d
 from chronoloom.sources import files
+from chronoloom.sources.ordered import ordered_lines
 from chronoloom.sources.registry import get_loader, list_loaders, load_prediction, register_loader
 from chronoloom.sources.skab import load_skab_sequences, load_skab_windows, scan_sequences
 from chronoloom.sources.ucr import list_ucr, load_ucr
 from chronoloom.sources.uea import list_uea, load_uea, parse_header
+from chronoloom.sources.writers import write_ucr, write_uea
 
 
 def ucr(root, train, test, name="ToyDS"):
@@ -182,6 +184,106 @@ def test_ranged_positions(spark, monkeypatch):
     assert sorted(r.k for r in out.where("split = 'train'").collect()) == list(range(150))
 
 
+def test_positions_of_any_order(spark):
+    import random
+
+    from chronoloom.operators.positions import with_positions
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["x", "x", "x", "b", None, "é"]), rng.choice("pq"), i) for i in range(900)] + [("x", "p", 7)] * 3
+    table = spark.createDataFrame(rows, "k string, g string, i long").repartition(5)
+    got = with_positions(table, ["k"], partitions=9).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    keys = [r.k for r in sorted(got, key=lambda r: r.position)]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or "")) and sorted(map(str, ((r.k, r.g, r.i) for r in got))) == sorted(map(str, rows))
+    for r in (by := with_positions(table, ["i", "k"], by=["g"], partitions=4).collect()):
+        assert 0 <= r.position < len(rows)
+    for g in "pq":
+        mine = sorted((r for r in by if r.g == g), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(len(mine))) and [r.i for r in mine] == sorted(r.i for r in mine)
+    plan = with_positions(table, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1 and "HashAggregate(keys=[__range" in plan[plan.index("SinglePartition") :]  # ranges, not rows
+    assert with_positions(table.limit(0), ["k"]).count() == 0
+
+
+def test_string_orders_beyond_one_task(spark, monkeypatch):
+    from chronoloom.operators import series
+
+    monkeypatch.setattr(series, "RANK_IN_ONE", 40)
+    rows = spark.range(0, 300).selectExpr("lpad(cast((id * 7919) % 300 as string), 3, '0') as k").repartition(4)
+    out = prefix_split(rows, 0.5, order="k")
+    assert sorted(int(r.k) for r in out.where("split = 'train'").collect()) == list(range(150))
+
+
+def test_point_windows(spark, monkeypatch):
+    from chronoloom.operators import series
+
+    rows = [(s, t, float(t * 3 % 7), t % 5) for s, n in (("a", 47), ("b", 3), ("c", 20)) for t in range(n)]
+    points = spark.createDataFrame(rows, "s string, t long, v double, y int").repartition(3)
+    for chunk, size, stride in ((8, 5, 2), (4, 9, 3), (1, 4, 1), (65_536, 4, 4), (6, 4, 10)):
+        monkeypatch.setattr(series, "CHUNK", chunk)
+        got = {(r.s, r.start): (r.end, list(r.v), list(r.y)) for r in point_windows(points, size=size, stride=stride, values=["v", "y"], by=["s"]).collect()}
+        want = {}
+        for s, n in (("a", 47), ("b", 3), ("c", 20)):
+            for at in range(0, n - size + 1, stride):
+                want[s, at] = (at + size, [float(t * 3 % 7) for t in range(at, at + size)], [t % 5 for t in range(at, at + size)])
+        assert got == want
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    """A UCR, a .ts and a sensor file of several blocks each, in the order of their lines."""
+    lines = [f"{i % 3},{i}.0,{i}.5" for i in range(4000)]
+    ucr(tmp_path, lines, lines[:5])
+    uea(tmp_path, [f"{i},1,2:3,4,5:{'cat' if i % 2 else 'dog'}" for i in range(3000)], [GOOD])
+    skab(tmp_path / "s" / "one.csv", [i % 2 for i in range(3000)])
+    skab(tmp_path / "s" / "two words+é.csv", [0] * 70)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = ordered_lines(spark, str(tmp_path / "ToyDS" / "ToyDS_TRAIN"))
+        assert spark.read.text(str(tmp_path / "ToyDS" / "ToyDS_TRAIN")).rdd.getNumPartitions() > 3
+        assert [r.line for r in rows.orderBy("line_no").collect()] == lines
+        assert [r.line_no for r in rows.orderBy("line_no").collect()] == list(range(4000))
+        got = load_ucr(spark, "ToyDS", tmp_path).split("train").orderBy("sample_index").collect()
+        assert [r["values"][0] for r in got] == [float(i) for i in range(4000)] and got[3999].sample_id == "train_3999"
+        got = load_uea(spark, "Toy", tmp_path, remap_labels_=False).split("train").where("channel_id = 0").orderBy("sample_index").collect()
+        assert [r["values"][0] for r in got] == [float(i) for i in range(3000)]
+        seq = scan_sequences(spark, tmp_path / "s").orderBy("seq_index").collect()
+        assert [r.sample_id for r in seq] == ["one", "two words+é"] and seq[0].channels[0] == [float(1 + i) for i in range(3000)]
+        wins = load_skab_windows(spark, tmp_path / "s", window_size=60, stride=10).split("train").where("channel_id = 2").orderBy("sample_index").collect()
+        assert [r.sample_index for r in wins] == list(range(295)) and wins[200]["values"] == [float(3 + i) for i in range(2000, 2060)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_splits_in_parts(spark, tmp_path):
+    """A split may be a folder of parts, written by many tasks."""
+    rows = [("train" if i < 50 else "test", i, str(i % 3), [float(i), 1.0]) for i in range(70)]
+    series = spark.createDataFrame(rows, "split string, sample_index long, label string, values array<double>").repartition(4)
+    for one in (False, True):
+        root = f"file://{tmp_path}/{one}"
+        write_ucr(series, "X", root, one_file=one)
+        got = load_ucr(spark, "X", root, remap_labels_=False).series.orderBy("split", "sample_index").collect()
+        assert [r["values"][0] for r in got] == [*map(float, range(50, 70)), *map(float, range(50))]
+        samples = series.select("split", "sample_index", F.array("values", "values").alias("channels"), F.concat(F.lit("c"), "label").alias("label"))
+        write_uea(samples, "Y", root, dimensions=2, class_values=["c2", "c0", "c1"], one_file=one)
+        got = load_uea(spark, "Y", root).split("test").where("channel_id = 1").orderBy("sample_index").collect()
+        assert [r["values"][0] for r in got] == [*map(float, range(50, 70))] and list_uea(root) == ["Y"] and list_ucr(root) == ["X"]
+
+
+def test_store(spark, tmp_path):
+    from chronoloom.sources.store import Store
+
+    at = Store(spark, f"file://{tmp_path}") / "a" / "b.json"
+    assert not at.exists() and (Store(spark, tmp_path) / "none").names(True) == []
+    at.write_json({"x": [1, "é"]})
+    at.write_json({"x": [2, "é"]})
+    assert at.read_json() == {"x": [2, "é"]} and list(Store(spark, tmp_path).walk()) == ["a/b.json"]
+    assert (Store(spark, tmp_path) / "a").names(False) == ["b.json"] and Store(spark, tmp_path).names(True) == ["a"]
+    at.delete()
+    assert not at.exists()
+
+
 def test_point_labels(spark):
     row = spark.createDataFrame([([0, 1, 0, 2],), ([0, 0],), ([1, 1],)], "y array<int>")
     got = row.select(point_label("y").alias("a"), point_label("y", "all").alias("b"), point_label("y", "ratio", 0.5).alias("c")).collect()
