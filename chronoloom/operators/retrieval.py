@@ -1,8 +1,8 @@
 """Nearest neighbours: normalization statistics, exact top-k, confidence.
 
 Queries meet the gallery in blocks. A bounded set of queries goes to all workers, each keeps the best k of its part of the
-gallery, and only those are shuffled; the gallery is not moved. More queries are dealt into blocks on the workers, as is
-the gallery, and each block meets each other block in a task. No frame of all pairs is made.
+gallery, and only those are shuffled; the gallery is not moved. More queries meet, in blocks, those blocks of the gallery that can hold a neighbour
+(``pivots``). No frame of all pairs is made.
 """
 
 from __future__ import annotations
@@ -114,6 +114,50 @@ def _nearest(q: np.ndarray, g: np.ndarray, apart: np.ndarray, ord_: np.ndarray,
     return rows[kept], cols[kept], exact[kept]
 
 
+#: What a part of the gallery has to tell of its neighbours, before ranks.
+FOUND = "query_id string, entry_id string, sample_id string, label string, channel_id int, ord long, distance double"
+
+
+@dataclass(frozen=True)
+class Search:
+    """How vectors are prepared and compared; sent to the workers."""
+
+    width: int
+    scaling: Scaling
+    weights: np.ndarray | None
+    config: RetrieverConfig
+
+    def prepare(self, vectors: list) -> np.ndarray:
+        if any(v is None or len(v) != self.width for v in vectors):
+            raise ValueError("vectors differ in length")
+        x = self.scaling.apply(np.array(vectors, dtype=float).reshape(len(vectors), self.width))
+        return x * self.weights if self.config.distance is Distance.WEIGHTED_L2 else x
+
+    def __call__(self, asked: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The best of a part of the gallery (entry_id, sample_id, label, channel_id, ord, vector) for (query_id, sample_id, channel_id, vector) rows."""
+        config = self.config
+        ids, samples = [str(r[0]) for r in asked], np.array([r[1] for r in asked], dtype=object)
+        channels, q = np.array([-1 if r[2] is None else r[2] for r in asked]), self.prepare([r[3] for r in asked])
+        for at in range(0, b.num_rows, 2048):
+            some = b.slice(at, 2048)
+            g = self.prepare(some.column(5).to_pylist())
+            sample = np.array(some.column(1).to_pylist(), dtype=object)
+            channel = np.array([-1 if c is None else c for c in some.column(3).to_pylist()])
+            ord_ = np.array(some.column(4).to_pylist(), dtype=np.int64)
+            # a query that names a channel is compared with that channel's entries only
+            for c in np.unique(channel) if config.by_channel else [None]:
+                mine = np.arange(len(g)) if c is None else np.flatnonzero(channel == c)
+                theirs = np.arange(len(q)) if c is None else np.flatnonzero((channels == c) | (channels < 0))
+                for lo in range(0, len(theirs), ROWS):
+                    those = theirs[lo : lo + ROWS]
+                    rows, cols, dist = _nearest(q[those], g[mine], samples[those, None] != sample[mine][None], ord_[mine], config.distance, config.top_k)
+                    take = pa.array(mine[cols], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[those[r]] for r in rows], pa.string()), *(some.column(i).take(take).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))), pa.array(dist, pa.float64())],
+                        names=["query_id", "entry_id", "sample_id", "label", "channel_id", "ord", "distance"],
+                    )
+
+
 def knn(
     queries: DataFrame,
     gallery: DataFrame,
@@ -121,13 +165,15 @@ def knn(
     *,
     vector: str = "vector",
     scaling: Scaling | None = None,
+    by_pivots: bool | None = None,
 ) -> DataFrame:
     """(query_id, rank, entry_id, sample_id, label, channel_id, distance): the ``top_k`` nearest of each query.
 
     ``queries``: query_id, sample_id, vector and, with ``by_channel``, channel_id. ``gallery``: entry_id, sample_id, label,
     channel_id, ord, vector. Entries of the query's own sample are left out. The scaling is fit on the gallery unless
     given. Ties go to the smaller ``ord``. A query without other entries gets no rows; a vector of another
-    length, a null vector, or a distance that isn't finite is an error.
+    length, a null vector, or a distance that isn't finite is an error. ``by_pivots``: whether blocks that can't hold a neighbour are
+    left out by their distances to pivots, which is the same rows; None does so where queries are too many to be sent to all.
     """
     if not config.enabled:
         raise RuntimeError("the retriever is disabled")
@@ -137,72 +183,28 @@ def knn(
     cols = ["query_id", "sample_id", "channel_id", vector]
     asked = queries.select(*[c if c in queries.columns else F.lit(None).cast("int").alias(c) for c in cols])
     total = asked.count()
-    schema = "query_id string, entry_id string, sample_id string, label string, channel_id int, ord long, distance double"
     if not total or not width:
-        return _ranked(spark.createDataFrame([], schema), config.top_k)
+        return _ranked(spark.createDataFrame([], FOUND), config.top_k)
     chunks = -(-total * width // CHUNK_VALUES)
     weights = np.sqrt(np.array(config.weights)) if config.weights else None
     if weights is not None and config.distance is Distance.WEIGHTED_L2 and len(weights) != width:
         raise ValueError("one weight is needed for each dimension")
     gallery = gallery.select("entry_id", "sample_id", "label", "channel_id", "ord", F.col(vector).cast("array<double>").alias("v"))
 
-    def prepare(vectors: list) -> np.ndarray:
-        if any(v is None or len(v) != width for v in vectors):
-            raise ValueError("vectors differ in length")
-        x = scaling.apply(np.array(vectors, dtype=float).reshape(len(vectors), width))
-        return x * weights if config.distance is Distance.WEIGHTED_L2 else x
+    search = Search(width, scaling, weights, config)
+    if by_pivots or (by_pivots is None and chunks > 1):
+        from .pivots import pruned_neighbours
 
-    def search(asked_: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The best of a part of the gallery for (query_id, sample_id, channel_id, vector) rows."""
-        ids, samples = [str(r[0]) for r in asked_], np.array([r[1] for r in asked_], dtype=object)
-        channels, q = np.array([-1 if r[2] is None else r[2] for r in asked_]), prepare([r[3] for r in asked_])
-        for at in range(0, b.num_rows, 2048):
-            some = b.slice(at, 2048)
-            g = prepare(some.column(5).to_pylist())
-            sample = np.array(some.column(1).to_pylist(), dtype=object)
-            channel = np.array([-1 if c is None else c for c in some.column(3).to_pylist()])
-            ord_ = np.array(some.column(4).to_pylist(), dtype=np.int64)
-            # a query that names a channel is compared with that channel's entries only
-            for c in np.unique(channel) if config.by_channel else [None]:
-                mine = np.arange(len(g)) if c is None else np.flatnonzero(channel == c)
-                theirs = np.arange(len(q)) if c is None else np.flatnonzero((channels == c) | (channels < 0))
-                for lo in range(0, len(theirs), ROWS):
-                    those = theirs[lo : lo + ROWS]
-                    rows, cols, dist = _nearest(q[those], g[mine], samples[those, None] != sample[mine][None], ord_[mine], config.distance, config.top_k)
-                    take = pa.array(mine[cols], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[those[r]] for r in rows], pa.string()), *(some.column(i).take(take).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))), pa.array(dist, pa.float64())],
-                        names=["query_id", "entry_id", "sample_id", "label", "channel_id", "ord", "distance"],
-                    )
+        return _ranked(pruned_neighbours(asked.withColumnRenamed(vector, "v"), gallery, search, chunk=CHUNK_VALUES), config.top_k)
+
+    held = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if held.value and batch.num_rows:
+                yield from search(held.value, batch)
 
-    if chunks == 1:
-        held = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if held.value and batch.num_rows:
-                    yield from search(held.value, batch)
-
-        return _ranked(gallery.mapInArrow(scan, schema), config.top_k)
-
-    blocks = -(-gallery.count() * width // CHUNK_VALUES)
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    names = ["entry_id", "sample_id", "label", "channel_id", "ord", "v"]
-    # both sides can come from one table: with names of their own, no column stands for two
-    left = asked.select(*[F.col(c).alias(f"q{i}") for i, c in enumerate(cols)], deal("query_id", chunks).alias("lq"), copies(blocks).alias("lg"))
-    right = gallery.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(names)], copies(chunks).alias("rq"), deal("entry_id", blocks).alias("rg"))
-
-    def meet(left_: pa.Table, right_: pa.Table) -> pa.Table:
-        rows = list(zip(*(left_.column(f"q{i}").to_pylist() for i in range(4)), strict=True)) if left_.num_rows else []
-        found = []
-        if rows and right_.num_rows:
-            for batch in right_.select([f"g{i}" for i in range(6)]).combine_chunks().to_batches():
-                found += list(search(rows, batch))
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
-        return pa.Table.from_batches(found, pa.schema(list(zip(["query_id", *names[:5], "distance"], kinds, strict=True))))
-
-    return _ranked(left.groupBy("lq", "lg").cogroup(right.groupBy("rq", "rg")).applyInArrow(meet, schema), config.top_k)
+    return _ranked(gallery.mapInArrow(scan, FOUND), config.top_k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -148,6 +148,13 @@ def knn_loo_l2(spark, sf_dir):
     return _shown(R.knn(rows.withColumnRenamed("entry_id", "query_id"), rows, RetrieverConfig("l2", "none", 5)))
 
 
+@query("knn_pruned_l2", SQL["knn_loo_l2"])
+def knn_pruned_l2(spark, sf_dir):
+    """The same with blocks left out by pivots."""
+    rows = vectors(spark, sf_dir)
+    return _shown(R.knn(rows.withColumnRenamed("entry_id", "query_id"), rows, RetrieverConfig("l2", "none", 5), by_pivots=True))
+
+
 @query(
     "topk_metrics",
     knn_sql("cosine", "zscore")

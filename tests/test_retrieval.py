@@ -372,3 +372,35 @@ def test_quantiles_of_nan(spark):
     long = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, float("nan"))], "dim int, x double")
     low, high = (r.value for r in exact_quantiles(long, (0.5, 1.0)).orderBy("q").collect())
     assert low == 2.0 and high != high
+
+
+@pytest.mark.parametrize("distance", ["l2", "cosine"])
+def test_blocks_are_left_out(spark, distance):
+    """Clusters far apart: most pairs of query and block are never met, and the rows are those of all pairs."""
+    from chronoloom.operators import pivots
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 50
+    x = [centres[i % 12] + rng.normal(size=8) for i in range(1200)] + [np.zeros(8)] * 2
+    rows = [(f"e{i}", f"s{i}", str(i % 3), None if i % 100 == 7 else 0, i, v.tolist()) for i, v in enumerate(x)]
+    g = spark.createDataFrame(rows, "entry_id string, sample_id string, label string, channel_id int, ord long, vector array<double>").repartition(3)
+    q = g.where("ord % 4 = 0 or ord > 1199").select(F.col("entry_id").alias("query_id"), "sample_id", F.lit(None).cast("int").alias("channel_id"), "vector")
+    config = RetrieverConfig(distance, "none", 5)
+    told = {}
+    search = R.Search(8, R.Scaling(), None, config)
+    found = R._ranked(pivots.pruned_neighbours(q.withColumnRenamed("vector", "v"), g.withColumnRenamed("vector", "v"), search, chunk=640, told=told), 5)
+    key = lambda df: sorted((r.query_id, r["rank"], r.entry_id, round(r.distance, 7)) for r in df.collect())
+    assert key(found) == key(R.knn(q, g, config, by_pivots=False)) and len(key(found)) == 302 * 5
+    pairs = told["first"].count() + told["second"].count()
+    assert told["blocks"] > 20 and pairs < 0.35 * told["blocks"] * 302
+
+
+def test_far_off_queries_and_errors_by_pivots(spark):
+    g = entries(spark, [(f"e{i}", [1e6 + i, 1e6]) for i in range(30)] + [("far", [-1e9, 5.0])])
+    q = ask(spark, (0, 0))
+    got = [(r.entry_id, r["rank"]) for r in R.knn(q, g, RetrieverConfig("l2", "none", 3), by_pivots=True).collect()]
+    assert sorted(got) == [("e0", 1), ("e1", 2), ("e2", 3)]
+    with pytest.raises(Exception, match="differ in length"):
+        R.knn(ask(spark, (1,)), g, RetrieverConfig("l2"), by_pivots=True).collect()
+    with pytest.raises(Exception, match="not finite"):
+        R.knn(ask(spark, (float("nan"), 1)), g, RetrieverConfig("l2"), by_pivots=True).collect()
