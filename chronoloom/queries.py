@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import feature_sql
 from .functions import labels as L
 from .functions import text as X
 from .functions.features import statistic_view, with_features
@@ -399,9 +400,17 @@ for _name, _exprs, _groups in (
         return _round(with_features(user_series(spark, sf_dir), groups))
 
 
-for _name, _groups in (("feat_spectral", ["spectral_frequency", "0_Autocorrelation"]), ("feat_cepstral", ["cepstral"]), ("feat_wavelet", ["wavelet"]), ("feat_all", None)):
+_JOINED = lambda *parts: "SELECT * FROM " + " JOIN ".join(f"({SQL.get(p, p)}) AS t{i}" + (" USING (sample_id)" if i else "") for i, p in enumerate(parts))
+_SPECTRAL = _JOINED("feat_power", feature_sql.SPECTRAL)
+_ALL = _JOINED("feat_statistics", "feat_distribution", "feat_complexity_peaks", "feat_time_shape_energy", _SPECTRAL, feature_sql.CEPSTRAL, feature_sql.WAVELET)
+for _name, _sql, _groups in (
+    ("feat_spectral", _SPECTRAL, ["spectral_frequency", "0_Autocorrelation"]),
+    ("feat_cepstral", feature_sql.CEPSTRAL, ["cepstral"]),
+    ("feat_wavelet", feature_sql.WAVELET, ["wavelet"]),
+    ("feat_all", _ALL, None),
+):
 
-    @query(_name)
+    @query(_name, _sql)
     def _more(spark, sf_dir, groups=_groups):
         return _round(with_features(user_series(spark, sf_dir), groups))
 

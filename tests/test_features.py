@@ -52,7 +52,7 @@ def test_spectral():
         x[i] += 0.7 * x[i - 1]
     assert FEATURES["0_LPCC_0"](Spectrum(x)) == pytest.approx(0.7, abs=0.06)
     cwt = Spectrum(x).get("cwt")
-    assert cwt.shape == (9, 4000) and FEATURES["0_Wavelet variance_3"](Spectrum(x)) == pytest.approx(cwt[3].var())
+    assert cwt.shape == (9, 1, 4000) and FEATURES["0_Wavelet variance_3"](Spectrum(x)) == pytest.approx(cwt[3].var())
 
 
 def by_definition(x, fs=100.0):
@@ -128,6 +128,23 @@ def test_transformed_features_by_definition(n):
         assert FEATURES[f"0_{name}"](s) == pytest.approx(float(value), rel=1e-6, abs=1e-7), name
 
 
+def test_series_together_are_as_each_alone(spark, monkeypatch):
+    """Matrices of series of one length against each series, short and constant ones too."""
+    from chronoloom.functions import spectral
+
+    monkeypatch.setattr(spectral, "TOGETHER", 200)
+    rng = np.random.default_rng(12)
+    rows = [rng.normal(size=n) * 10 for n in (1, 2, 3, 7, 64, 64, 64, 64, 301, 301) for _ in range(2)] + [np.zeros(64), np.ones(64), np.arange(64.0), np.full(3, -2.0)]
+    names = list(FEATURES)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(90, None), (91, [])], "i int, v array<double>").coalesce(1)
+    got = {r.i: r.f for r in table.select("i", spectral.spectral_array("v", names).alias("f")).collect()}
+    assert got[90] is None and got[91] is None
+    for i, v in enumerate(rows):
+        alone = Spectrum(v)
+        with np.errstate(all="ignore"):
+            assert np.allclose(got[i], [FEATURES[n](alone)[0] for n in names], rtol=1e-9, atol=1e-9, equal_nan=True), i
+
+
 def test_all_features_are_finite_on_a_ramp(spark):
     out = statistic_view(frame(spark, np.linspace(1, 100, 256), np.ones(5), [1.0], [], None)).orderBy("sample_id").collect()
     view = out[0].statistic_view
