@@ -404,3 +404,32 @@ def test_far_off_queries_and_errors_by_pivots(spark):
         R.knn(ask(spark, (1,)), g, RetrieverConfig("l2"), by_pivots=True).collect()
     with pytest.raises(Exception, match="not finite"):
         R.knn(ask(spark, (float("nan"), 1)), g, RetrieverConfig("l2"), by_pivots=True).collect()
+
+
+@pytest.mark.parametrize("width", [20, 200])
+def test_leave_one_out_by_blocks(spark, monkeypatch, width):
+    """Against brute force, in several blocks of a channel; all probed, some, and a channel of one sample."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(width)
+    rows = [(c, i, int(rng.integers(0, 3)), np.cumsum(rng.normal(size=width)).round(3).tolist()) for c, n in ((0, 60), (1, 41), (2, 1)) for i in range(n)]
+    rows[5] = (0, 5, rows[5][2], rows[9][3])  # a tie at 0
+    prepared = spark.createDataFrame(rows, "channel_id int, idx long, label int, x array<double>").repartition(3)
+    for config in (SelectorConfig(nn_eval=0), SelectorConfig(nn_eval=30)):
+        got = {r.channel_id: r.score_c for r in S.one_nn_accuracy(prepared, config).collect()}
+        for c in (0, 1, 2):
+            mine = [r for r in rows if r[0] == c]
+            hits = []
+            for i in S.probe_ids(len(mine), c, config) or range(len(mine)):
+                near = min(((round(float(np.linalg.norm(np.subtract(mine[i][3], r[3]))), 9), r[1], r[2]) for r in mine if r[1] != i), default=(0, 0, None))
+                hits.append(near[2] == mine[i][2])
+            assert got[c] == pytest.approx(np.mean(hits)), (c, config)
+
+
+def test_fewer_distances_than_pairs():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(12, 1)) * 9 + np.cumsum(rng.normal(size=(12, 256)), axis=1) * k for k in (0.2, 1, 3) for _ in range(8)])
+    apart = ~np.eye(len(x), dtype=bool)
+    rows, cols, d, n = S.nearest_by_segments(x, x, apart, np.arange(len(x)))
+    all_ = np.where(apart, np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.inf)
+    assert (rows == np.arange(len(x))).all() and np.allclose(d, all_.min(axis=1)) and (cols == all_.round(9).argmin(axis=1)).all()
+    assert n < 0.2 * apart.sum()
