@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ordered_vector
@@ -136,8 +136,10 @@ def load_gallery_json(spark: SparkSession, path: str) -> DataFrame:
 def save_index(gallery: DataFrame, path: str) -> dict:
     """The vectors as a table and what describes them beside it; returns that."""
     vectors, order = gallery_vectors(gallery)
-    vectors.select("entry_id", "sample_id", "label", "channel_id", "ord", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = {"feature_order": order, "dim": len(order), "num_entries": gallery.sparkSession.read.parquet(f"{path}/vectors").count()}
+    seen = Observation()  # the writing job counts
+    vectors = vectors.select("entry_id", "sample_id", "label", "channel_id", "ord", "vector").observe(seen, F.count(F.lit(1)).alias("n"))
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    meta = {"feature_order": order, "dim": len(order), "num_entries": seen.get["n"]}
     _put(gallery.sparkSession, f"{path}/meta", meta)
     return meta
 

@@ -179,25 +179,30 @@ def knn(
         raise RuntimeError("the retriever is disabled")
     spark = queries.sparkSession
     scaling = scaling if scaling is not None else fit_scaling(gallery, config.normalize, vector=vector)
-    width = gallery.select(F.max(F.size(vector))).first()[0]
+    first = gallery.select(F.size(vector).alias("n")).first()
     cols = ["query_id", "sample_id", "channel_id", vector]
     asked = queries.select(*[c if c in queries.columns else F.lit(None).cast("int").alias(c) for c in cols])
-    total = asked.count()
-    if not total or not width:
+    if first is None:
+        return _ranked(spark.createDataFrame([], FOUND), config.top_k)
+    if not (width := first.n or 0) > 0:
+        raise ValueError("vectors differ in length")
+    few = max(1, CHUNK_VALUES // width)
+    # queries that go to all are gathered anyway; one more says that there are too many
+    some = [] if by_pivots else [tuple(r) for r in asked.limit(few + 1).collect()]
+    if not some and not by_pivots:
         return _ranked(spark.createDataFrame([], FOUND), config.top_k)
-    chunks = -(-total * width // CHUNK_VALUES)
     weights = np.sqrt(np.array(config.weights)) if config.weights else None
     if weights is not None and config.distance is Distance.WEIGHTED_L2 and len(weights) != width:
         raise ValueError("one weight is needed for each dimension")
     gallery = gallery.select("entry_id", "sample_id", "label", "channel_id", "ord", F.col(vector).cast("array<double>").alias("v"))
 
     search = Search(width, scaling, weights, config)
-    if by_pivots or (by_pivots is None and chunks > 1):
+    if by_pivots or (by_pivots is None and len(some) > few):
         from .pivots import pruned_neighbours
 
         return _ranked(pruned_neighbours(asked.withColumnRenamed(vector, "v"), gallery, search, chunk=CHUNK_VALUES), config.top_k)
 
-    held = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])
+    held = spark.sparkContext.broadcast(some if len(some) <= few else [tuple(r) for r in asked.collect()])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import shutil
 from dataclasses import dataclass, field
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import statistic_view
@@ -16,17 +13,19 @@ from ..operators.metrics import batch_metrics, query_metrics
 from ..operators.retrieval import knn, top_predictions
 from ..operators.series import pick_channel
 from ..schema import RetrieverConfig, TaskType
-from ..sources.files import normalize_name, read_json, write_json
+from ..sources.files import normalize_name
+from ..sources.store import Store
+from .memory import Memory
 from .registry import PIPELINES, REPRESENTATIONS, RETRIEVERS
 from .telemetry import EventLog
 
 #: Names within a run's folder.
-ARTIFACTS = {"gallery": "memory_bank.parquet", "index": "index_stat", "channels": "selected_channels.json", "meta": "build_meta.json", "logs": "logs"}
+ARTIFACTS = {"gallery": "memory_bank", "index": "index_stat", "channels": "selected_channels.json", "meta": "build_meta.json", "logs": "logs"}
 
 
 @dataclass(frozen=True)
 class Persistence:
-    """Where a memory is kept: ``<root>/memory/<dataset>_<experiment>``."""
+    """Where a memory is kept, in any store: ``<root>/memory/<dataset>_<experiment>``."""
 
     enabled: bool = False
     reuse: bool = True
@@ -40,8 +39,8 @@ class Persistence:
             raise ValueError("persistence needs a dataset and an experiment name")
 
     @property
-    def folder(self) -> Path:
-        return Path(self.root) / "memory" / f"{normalize_name(self.dataset or '')}_{normalize_name(self.experiment or '')}"
+    def folder(self) -> str:
+        return f"{str(self.root).rstrip('/')}/memory/{normalize_name(self.dataset or '')}_{normalize_name(self.experiment or '')}"
 
 
 @dataclass
@@ -63,13 +62,6 @@ class Evaluation:
         return {k: getattr(self, k) for k in keys}
 
 
-def fingerprint(series: DataFrame) -> str:
-    """A sum over the rows that changes with any sample, label or value."""
-    h = F.xxhash64("sample_id", F.coalesce(F.col("label").cast("string"), F.lit("")), "channel_id", "values").cast("decimal(38,0)")
-    n, total = series.agg(F.count("*"), F.coalesce(F.sum(h), F.lit(0))).first()
-    return f"{n}:{total}"
-
-
 class StatRetrieval:
     """Features of one channel, a memory of the training samples, and nearest neighbours in it. Queries are compared
     on the same channel as the memory."""
@@ -85,28 +77,32 @@ class StatRetrieval:
         checked = F.when(F.col("statistic_view").isNull(), F.raise_error(F.concat(F.lit("missing statistics: "), F.col("sample_id"))).cast("map<string,double>"))
         return rows.withColumn("statistic_view", checked.otherwise(F.col("statistic_view"))).drop("error")
 
-    def expected_meta(self, train: DataFrame, channel_id: int) -> dict:
-        return {"task_type": self.task_type, "channel_id": channel_id, "feature_groups": self.groups, "fingerprint": fingerprint(train)}
+    def settings(self, channel_id: int) -> dict:
+        return {"task_type": self.task_type, "channel_id": channel_id, "feature_groups": self.groups, "dataset": self.persistence.dataset}
+
+    def entries(self, series: DataFrame, channel_id: int) -> DataFrame:
+        """The gallery's rows of these samples, and ``source`` if the series has it."""
+        rows = self.features(series, channel_id)
+        made = G.build_gallery(rows, task_type=self.task_type, dataset=self.persistence.dataset)
+        if "source" not in series.columns:
+            return made
+        kept = rows.select(F.concat("sample_id", F.lit("__ch"), F.col("channel_id").cast("string")).alias("entry_id"), "source")
+        return made.join(kept, "entry_id")
 
     def memory(self, train: DataFrame, channel_id: int = 0) -> DataFrame:
-        """The gallery of the training samples: the kept one if it was made from the same data and settings."""
-        spark, keep = train.sparkSession, self.persistence
+        """The gallery of the training samples. A kept one is brought up to date: features are computed of samples that are new or changed."""
+        keep = self.persistence
         if not keep.enabled:
-            return G.build_gallery(self.features(train, channel_id), task_type=self.task_type, dataset=keep.dataset)
-        folder, meta = keep.folder, self.expected_meta(train, channel_id)
-        paths = {k: folder / v for k, v in ARTIFACTS.items()}
-        if keep.reuse and not keep.force_rebuild and paths["meta"].is_file() and paths["gallery"].is_dir():
-            if read_json(paths["meta"]) == json.loads(json.dumps(meta)):
-                return G.load_gallery(spark, str(paths["gallery"]))
-        for k in ("gallery", "index"):
-            shutil.rmtree(paths[k], ignore_errors=True)
-        paths["meta"].unlink(missing_ok=True)
-        G.save_gallery(G.check_unique(G.build_gallery(self.features(train, channel_id), task_type=self.task_type, dataset=keep.dataset)), str(paths["gallery"]))
-        gallery = G.load_gallery(spark, str(paths["gallery"]))
-        G.save_index(gallery, str(paths["index"]))
-        write_json(paths["channels"], {"selected_channel_ids": [channel_id]})
-        paths["logs"].mkdir(parents=True, exist_ok=True)
-        write_json(paths["meta"], meta)  # last, so that a broken build isn't reused
+            return self.entries(train, channel_id)
+        folder, settings = Store(train.sparkSession, keep.folder), self.settings(channel_id)
+        kept = Memory(train.sparkSession, str(folder / ARTIFACTS["gallery"]))
+        before = kept.manifest()
+        gallery = kept.update(pick_channel(train, channel_id), lambda s: self.entries(s, channel_id), settings, reuse=keep.reuse and not keep.force_rebuild)
+        now = kept.manifest()
+        if before is None or before["number"] != now["number"]:
+            G.save_index(gallery, str(folder / ARTIFACTS["index"]))
+            (folder / ARTIFACTS["channels"]).write_json({"selected_channel_ids": [channel_id]})
+            (folder / ARTIFACTS["meta"]).write_json(settings | {"number": now["number"], "entries": kept.entries()})
         return gallery
 
     def neighbours(self, gallery: DataFrame, samples: DataFrame, channel_id: int = 0) -> DataFrame:
@@ -118,15 +114,16 @@ class StatRetrieval:
 
     def evaluate(self, train: DataFrame, test: DataFrame, channel_id: int = 0) -> Evaluation:
         """Scores of the test samples against a memory of the training samples, in one plan for all queries."""
-        gallery = self.memory(train, channel_id)
+        seen = Observation()
+        gallery = self.memory(train, channel_id).observe(seen, F.count(F.lit(1)).alias("entries"))
         near = self.neighbours(gallery, test, channel_id)
         truth = pick_channel(test, channel_id).select(F.concat(F.lit("query__"), "sample_id").alias("query_id"), "label")
         per = query_metrics(truth, near, self.retriever.top_k)
         row = batch_metrics(per).first()
         keep = self.persistence
         out = Evaluation(
-            {"top_k_accuracy": row.top_k_accuracy, "precision_at_k": row.precision_at_k}, per, near, gallery.count(), row.num_query, self.retriever.top_k, channel_id, self.task_type,
-            {k: str(keep.folder / v) for k, v in ARTIFACTS.items()} if keep.enabled else {},
+            {"top_k_accuracy": row.top_k_accuracy, "precision_at_k": row.precision_at_k}, per, near, seen.get["entries"], row.num_query, self.retriever.top_k, channel_id, self.task_type,
+            {k: f"{keep.folder}/{v}" for k, v in ARTIFACTS.items()} if keep.enabled else {},
         )
         if self.log:
             self.log.write("evaluation", out.summary())

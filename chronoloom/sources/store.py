@@ -86,6 +86,11 @@ class Store:
         if not self._fs.rename(self._at, to._at):
             raise OSError(f"cannot rename {self} to {to}")
 
+    def move_new(self, to: Store) -> bool:
+        """To where nothing is; False if something is."""
+        to._fs.mkdirs(to._at.getParent())
+        return not to.exists() and self._fs.rename(self._at, to._at)
+
     def delete(self) -> None:
         self._fs.delete(self._at, True)
 

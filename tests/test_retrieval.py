@@ -1,6 +1,7 @@
 """Distances, neighbours, metrics, memory, selection, text and plans."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from chronoloom.operators import gallery as G
 from chronoloom.operators import metrics as M
 from chronoloom.operators import retrieval as R
 from chronoloom.operators import selector as S
+from chronoloom.plans.memory import Conflict, Memory
 from chronoloom.plans.pipelines import Inference, Persistence, StatRetrieval, aggregate_channels, vote_by_channel
 from chronoloom.plans.registry import ConfigError, FactoryError, Registry
 from chronoloom.plans.tasks import build_queries, normalize_label, parse_output, prompt_target
@@ -195,11 +197,11 @@ def test_pipeline(spark, tmp_path):
     pipe = StatRetrieval(RetrieverConfig("cosine", "zscore", 3), groups=["statistics"], persistence=keep, log=log)
     out = pipe.evaluate(train, test, 1)
     assert out.metrics["top_k_accuracy"] == 1.0 and out.num_train == 24 and out.num_query == 8
-    meta = keep.folder / "build_meta.json"
+    meta = Path(keep.folder) / "build_meta.json"
     before = meta.stat().st_mtime_ns
     assert pipe.evaluate(train, test, 1).metrics == out.metrics and meta.stat().st_mtime_ns == before
     pipe.evaluate(train.where("sample_index < 20"), test, 1)
-    assert read_json(meta)["fingerprint"] != "" and meta.stat().st_mtime_ns != before
+    assert read_json(meta)["entries"] == 20 and meta.stat().st_mtime_ns != before
     best = pipe.predict(pipe.memory(train, 1), test, 1).collect()
     assert len(best) == 8 and all(0 < r.confidence <= 1 for r in best)
     assert [e["event_type"] for e in read_jsonl(tmp_path / "events.jsonl")] == ["evaluation"] * 3
@@ -433,3 +435,66 @@ def test_fewer_distances_than_pairs():
     all_ = np.where(apart, np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.inf)
     assert (rows == np.arange(len(x))).all() and np.allclose(d, all_.min(axis=1)) and (cols == all_.round(9).argmin(axis=1)).all()
     assert n < 0.2 * apart.sum()
+
+
+def test_a_memory_that_grows(spark, tmp_path):
+    """Brought up to date, it is the gallery of a full build, and only what is new or changed is computed."""
+    data = series(spark).where("split = 'train'")
+    pipe = lambda name, **more: StatRetrieval(RetrieverConfig(), groups=["statistics"], persistence=Persistence(True, root=f"file://{tmp_path}", dataset="toy", experiment=name, **more))
+    rows = lambda g: sorted(map(str, g.collect()))
+    whole = rows(pipe("whole").memory(data, 1))
+    grown = pipe("grown")
+    made = []
+    first = grown.entries
+    grown.entries = lambda s, c: made.append(s.count()) or first(s, c)
+    grown.memory(data.where("sample_index < 10"), 1)
+    assert rows(grown.memory(data, 1)) == whole and made == [10, 14]
+    assert rows(grown.memory(data, 1)) == whole and made[-1] == 0  # nothing is new
+    kept = Memory(spark, f"{grown.persistence.folder}/memory_bank")
+    assert kept.manifest()["number"] == 2 and kept.entries() == 24
+    changed = data.withColumn("label", F.when(F.col("sample_index") == 3, "other").otherwise(F.col("label"))).where("sample_index <> 5")
+    assert rows(grown.memory(changed, 1)) == rows(pipe("changed").memory(changed, 1)) and made[-1] == 1 and kept.entries() == 23
+    assert rows(grown.memory(data, 1)) == whole and made[-1] == 2  # back again
+    assert len(grown.memory(data, 0).collect()) == 24 and made[-1] == 24  # other settings
+    assert rows(pipe("grown", force_rebuild=True).memory(data, 1)) == whole
+
+
+def test_a_killed_build_is_invisible(spark, tmp_path, monkeypatch):
+    data = series(spark).where("split = 'train'")
+    keep = Persistence(True, root=str(tmp_path), dataset="toy", experiment="x")
+    pipe = StatRetrieval(RetrieverConfig(), groups=["0_Mean"], persistence=keep)
+    kept = Memory(spark, f"{keep.folder}/memory_bank")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(Memory, "_commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            pipe.memory(data, 0)
+    assert kept.manifest() is None and kept.entries() == 0
+    with pytest.raises(FileNotFoundError):
+        kept.gallery()
+    assert pipe.memory(data, 0).count() == 24 and len(kept.vacuum()) == 1 and pipe.memory(data, 0).count() == 24
+    with pytest.raises(Conflict):
+        kept._commit(kept.manifest())
+    assert pipe.memory(data.unionByName(data), 0).count() == 24
+    with pytest.raises(ValueError, match="repeated"):
+        pipe.memory(data.unionByName(data), 1)
+    monkeypatch.setattr("chronoloom.plans.memory.MOST_PARTS", 2)
+    for n in (5, 9, 24):
+        assert pipe.memory(data.where(F.col("sample_index") < n), 0).count() == n
+    assert len(kept.manifest()["parts"]) <= 2
+
+
+def test_no_job_only_counts(spark, tmp_path):
+    """Building and evaluating: numbers come from jobs that do something else."""
+    data = series(spark)
+    seen = []
+    real = type(data).count
+    type(data).count = lambda self: seen.append(self) or real(self)
+    try:
+        out = StatRetrieval(RetrieverConfig("l2", "zscore", 1), groups=["0_Mean"], persistence=Persistence(True, root=str(tmp_path), dataset="d", experiment="e")).evaluate(data.where("split = 'train'"), data.where("split = 'test'"), 0)
+    finally:
+        type(data).count = real
+    assert not seen and out.num_train == 24 and out.num_query == 8
