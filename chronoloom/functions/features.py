@@ -46,3 +46,19 @@ def statistic_view(series: DataFrame, groups: list[str] | None = None, *, values
         F.when(some, view).alias(column),
         F.when(~some, F.lit("empty series")).alias("error"),
     )
+
+
+def representation_records(series: DataFrame, groups: list[str] | None = None, *, names: str | None = None, save_path: str | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """The rows with ``record``: rep_type ``statistic``, the features as ``payload``, and ``metadata``: sample_id, channel_id, feature_groups, num_features and what is given. ``names``: a
+    column of names that stand for sample ids. A null or empty series has a null record. With ``save_path`` the records are written there as Parquet and read again."""
+    rows = statistic_view(series, groups)
+    told = {
+        "sample_id": F.col(names or "sample_id").cast("string"), "channel_id": F.col("channel_id").cast("string"),
+        "feature_groups": F.lit(",".join(groups) if groups else "all"), "num_features": F.size("statistic_view").cast("string"), **{k: F.lit(v) for k, v in (metadata or {}).items()},
+    }
+    record = F.struct(F.lit("statistic").alias("rep_type"), F.col("statistic_view").alias("payload"), F.create_map(*[x for k, v in told.items() for x in (F.lit(k), v)]).alias("metadata"))
+    out = rows.select(*[F.col(f"`{c}`") for c in series.columns], F.when(F.col("statistic_view").isNotNull(), record).alias("record"))
+    if save_path:
+        out.write.mode("overwrite").parquet(save_path)
+        out = series.sparkSession.read.schema(out.schema).parquet(save_path)
+    return out

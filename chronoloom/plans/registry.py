@@ -72,3 +72,4 @@ RETRIEVERS: Registry = Registry("retriever")
 REPRESENTATIONS: Registry = Registry("representation")
 AGENTS: Registry = Registry("agent")
 PIPELINES: Registry = Registry("pipeline")
+TASKS: Registry = Registry("task")
