@@ -361,7 +361,8 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
     bucket are compared, block against block within workers; a pair counts in the first band that it shares, if its
     signatures pass the rule and its texts the threshold. None if there are no large buckets."""
     large = members.where(F.col("g") > SMALL_BUCKET).select("bk", "band", "fp", "g")
-    told = large.groupBy("fp").agg(F.collect_set("band").alias("wide"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.when(F.array_contains("wide", b), "1").otherwise("0"))
+    told = large.groupBy("fp").agg(F.collect_set("band").alias("wide")).select("fp", F.array_join(mask, "").alias("wide"))
     told = scratch.write(told.join(classes.select("fp", "id", "n", "sig"), "fp"), "large")
     if told.isEmpty():
         return None
@@ -378,8 +379,7 @@ def large_degrees(rows: DataFrame, members: DataFrame, classes: DataFrame, scrat
         one, two = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         group = group.sort_values("block", kind="stable")
         fps, texts_ = group["fp"].to_list(), group["text"].to_list()
-        wide = np.zeros((len(group), bands), dtype=bool)
-        wide[np.repeat(np.arange(len(group)), group["wide"].map(len)), np.concatenate(group["wide"].to_list())] = True
+        wide = np.frombuffer("".join(group["wide"]).encode(), dtype=np.uint8).reshape(len(group), bands) == ord("1")
         split = int((group["block"] == one).sum())
         sigs = np.frombuffer(b"".join(group["sig"]), dtype=np.uint32).reshape(len(group), -1)
         band, width = int(group["band"].iloc[0]), sigs.shape[1] // bands
