@@ -62,3 +62,16 @@ def representation_records(series: DataFrame, groups: list[str] | None = None, *
         out.write.mode("overwrite").parquet(save_path)
         out = series.sparkSession.read.schema(out.schema).parquet(save_path)
     return out
+
+
+def batch_features(series: DataFrame, groups: list[str] | None = None, *, names: str = "sample_id", save_path: str | None = None) -> DataFrame:
+    """(name, channel_id, a column for each feature, error): series without features have nulls and say why, instead of being left out. ``names``: a column of
+    names, null in no row. With ``save_path`` the table is written there as Parquet and read again."""
+    name = F.when(F.col(names).isNull(), F.raise_error(F.lit("a series has no name")).cast("string")).otherwise(F.col(names).cast("string"))
+    df, columns = feature_columns(series, groups)
+    error = F.when(F.coalesce(F.size("values"), F.lit(0)) <= 0, F.lit("empty series"))
+    out = df.select(name.alias("name"), "channel_id", *[c.alias(snake(n)) for n, c in columns.items()], error.alias("error"))
+    if save_path:
+        out.write.mode("overwrite").parquet(save_path)
+        out = series.sparkSession.read.schema(out.schema).parquet(save_path)
+    return out

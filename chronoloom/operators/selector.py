@@ -193,10 +193,15 @@ def prune_similar(ranked: list[tuple[int, list[list[float]]]], k: int, threshold
 
 def select_channels(series: DataFrame, config: SelectorConfig) -> DataFrame:
     """(channel_id, score_b, score_c, z_b, z_c, fused, rank, selected, selection_applied). ``series`` are the training
-    samples. A single channel is selected as it is, with scores of 1."""
-    channels = [r[0] for r in series.select("channel_id").distinct().orderBy("channel_id").collect()]
+    samples, all of the same channels: samples with fewer, or univariate beside multivariate ones, are an error. A single channel is selected as it
+    is, with scores of 1."""
+    # a row for each channel
+    told = series.groupBy("channel_id").agg(F.count("*").alias("n"), F.countDistinct("sample_index").alias("samples")).orderBy("channel_id").collect()
+    channels = [r.channel_id for r in told]
     if not channels:
         raise ValueError("no series")
+    if len({r.samples for r in told}) > 1 or any(r.n != r.samples for r in told):
+        raise ValueError("samples differ in their channels")
     spark = series.sparkSession
     if len(channels) == 1:
         return spark.createDataFrame(

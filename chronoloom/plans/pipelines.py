@@ -17,7 +17,7 @@ from ..sources.files import normalize_name
 from ..sources.store import Store
 from .memory import Memory
 from .registry import PIPELINES, REPRESENTATIONS, RETRIEVERS
-from .telemetry import EventLog
+from .telemetry import EventLog, MetricTracker, NullTracker
 
 #: Names within a run's folder.
 ARTIFACTS = {"gallery": "memory_bank", "index": "index_stat", "channels": "selected_channels.json", "meta": "build_meta.json", "logs": "logs"}
@@ -66,8 +66,8 @@ class StatRetrieval:
     """Features of one channel, a memory of the training samples, and nearest neighbours in it. Queries are compared
     on the same channel as the memory."""
 
-    def __init__(self, retriever: RetrieverConfig, *, groups: list[str] | None = None, task_type: str = "classification", persistence: Persistence | None = None, log: EventLog | None = None):
-        self.retriever, self.groups = retriever, groups
+    def __init__(self, retriever: RetrieverConfig, *, groups: list[str] | None = None, task_type: str = "classification", persistence: Persistence | None = None, log: EventLog | None = None, tracker: MetricTracker | NullTracker | None = None):
+        self.retriever, self.groups, self.tracker = retriever, groups, tracker or NullTracker()
         self.task_type = str(TaskType(task_type))
         self.persistence = persistence or Persistence()
         self.log = log
@@ -127,6 +127,8 @@ class StatRetrieval:
         )
         if self.log:
             self.log.write("evaluation", out.summary())
+        told = {k: v for k, v in out.metrics.items() if v is not None} | {"entries": float(out.num_train), "queries": float(out.num_query)}
+        self.tracker.log(told, stage="evaluation", metadata={"top_k": out.top_k, "channel_id": channel_id, "task_type": self.task_type})
         return out
 
     def predict(self, gallery: DataFrame, samples: DataFrame, channel_id: int = 0) -> DataFrame:

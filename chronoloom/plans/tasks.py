@@ -9,9 +9,12 @@ from ..schema import TaskSpec, TaskType
 
 
 def build_queries(series: DataFrame, spec: TaskSpec) -> DataFrame:
-    """The series with query_id ``<task type>:<sample id>``, task_type, sequence_length, n_channels, data_mode and has_ground_truth."""
-    per = series.groupBy("sample_id", "split").agg(F.count("*").alias("n_channels"), F.max(F.size("values")).alias("sequence_length"))
-    return series.join(per, ["sample_id", "split"]).withColumns(
+    """The series with query_id ``<task type>:<sample id>``, task_type, sequence_length, n_channels, channel_ids (of the sample, ascending), data_mode, has_ground_truth
+    and these as ``metadata``, a map of text."""
+    per = series.groupBy("sample_id", "split").agg(
+        F.count("*").alias("n_channels"), F.max(F.size("values")).alias("sequence_length"), F.array_sort(F.collect_set("channel_id")).alias("channel_ids")
+    )
+    rows = series.join(per, ["sample_id", "split"]).withColumns(
         {
             "query_id": F.concat(F.lit(f"{spec.task_type}:"), "sample_id"),
             "task_type": F.lit(str(spec.task_type)),
@@ -19,6 +22,8 @@ def build_queries(series: DataFrame, spec: TaskSpec) -> DataFrame:
             "has_ground_truth": F.col("label").isNotNull(),
         }
     )
+    told = ("task_type", "sequence_length", "n_channels", "data_mode", "has_ground_truth")
+    return rows.withColumn("metadata", F.create_map(*[x for c in told for x in (F.lit(c), F.col(c).cast("string"))]))
 
 
 def normalize_label(label: Column | str, spec: TaskSpec) -> Column:

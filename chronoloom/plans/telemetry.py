@@ -18,6 +18,11 @@ def utc_now() -> str:
     return datetime.now(UTC).isoformat()
 
 
+def local_now() -> str:
+    """The time of this machine, with its distance from UTC."""
+    return datetime.now().astimezone().isoformat()
+
+
 def path_timestamp() -> str:
     return datetime.now(UTC).strftime("%Y%m%d_%H%M%S")
 

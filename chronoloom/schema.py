@@ -107,6 +107,30 @@ def finite(value: Any, name: str) -> float:
     return float(value)
 
 
+def vector_1d(value: Any, name: str) -> list[float]:
+    """The numbers of a sequence or array of one axis that isn't empty."""
+    out = value.tolist() if hasattr(value, "tolist") else list(value) if isinstance(value, list | tuple) else None
+    if not isinstance(out, list) or not out or any(isinstance(x, bool) or not isinstance(x, int | float) for x in out):
+        raise ValueError(f"{name} must be numbers along one axis")
+    return [float(x) for x in out]
+
+
+def non_empty_items(value: Any, name: str) -> list:
+    """The items of anything that can be gone through, at least one; a text isn't taken apart."""
+    if isinstance(value, str | bytes) or not hasattr(value, "__iter__") or not (out := list(value)):
+        raise ValueError(f"{name} must have items")
+    return out
+
+
+def existing_path(spark, path: Any, name: str) -> str:
+    """The path, of any store that Spark reaches, of a file or folder that is there."""
+    from .sources.store import Store
+
+    if not str(path).strip() or not Store(spark, path).exists():
+        raise FileNotFoundError(f"{name}: {path}")
+    return str(path)
+
+
 @dataclass(frozen=True)
 class TaskSpec:
     """What is asked: type, unique labels, granularity and a description."""

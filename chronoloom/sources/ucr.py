@@ -25,6 +25,10 @@ class Dataset:
     def split(self, name: str) -> DataFrame:
         return self.series.where(F.col("split") == name)
 
+    def as_dict(self) -> dict:
+        """The dataset as a dictionary of frames, for callers that know no ``Dataset``."""
+        return {"dataset_name": self.name, "train": self.split("train"), "test": self.split("test"), "label_map": self.label_map}
+
 
 def list_ucr(root: str | Path) -> list[str]:
     return splits_of(root)

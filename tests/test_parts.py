@@ -80,3 +80,46 @@ def test_agents(spark, tmp_path):
     a = random.random()
     set_seed(4)
     assert random.random() == a
+
+
+def test_checks_of_values(spark, tmp_path):
+    import numpy as np
+
+    from chronoloom.schema import existing_path, non_empty_items, vector_1d
+
+    assert vector_1d(np.arange(3), "x") == [0, 1, 2] and vector_1d((1, 2.5), "x") == [1, 2.5]
+    assert non_empty_items({3}, "x") == [3] and existing_path(spark, tmp_path, "x") == str(tmp_path)
+    for bad in (lambda: vector_1d([[1]], "x"), lambda: vector_1d([], "x"), lambda: vector_1d(np.ones((2, 2)), "x"), lambda: vector_1d("12", "x"), lambda: non_empty_items("ab", "x"), lambda: non_empty_items([], "x"), lambda: non_empty_items(3, "x")):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(FileNotFoundError):
+        existing_path(spark, tmp_path / "none", "x")
+
+
+def test_selector_needs_equal_channels(spark):
+    from chronoloom.operators.selector import select_channels
+    from chronoloom.schema import SelectorConfig
+
+    rows = [(f"s{i}", i, c, [1.0, 2.0, float(i)], str(i % 2)) for i in range(4) for c in range(2) if (i, c) != (3, 1)]
+    series = spark.createDataFrame(rows, "sample_id string, sample_index long, channel_id int, values array<double>, label string")
+    with pytest.raises(ValueError, match="differ in their channels"):
+        select_channels(series, SelectorConfig())
+
+
+def test_queries_and_batches_tell_all(spark, tmp_path):
+    from datetime import datetime
+
+    from chronoloom.functions.features import batch_features
+    from chronoloom.plans.tasks import build_queries
+    from chronoloom.plans.telemetry import local_now
+    from chronoloom.schema import TaskSpec
+
+    rows = [("a", "train", 0, c, [1.0, 2.0, 4.0], None) for c in (1, 0)] + [("b", "train", 1, 0, [], "1")]
+    series = spark.createDataFrame(rows, "sample_id string, split string, sample_index long, channel_id int, values array<double>, label string")
+    a = build_queries(series.where("sample_id = 'a'"), TaskSpec("classification")).first()
+    assert a.channel_ids == [0, 1] and a.metadata == {"task_type": "classification", "sequence_length": "3", "n_channels": "2", "data_mode": "multivariate", "has_ground_truth": "false"}
+    out = batch_features(series, ["0_Mean"], save_path=f"file://{tmp_path}/features").orderBy("name", "channel_id").collect()
+    assert [(r.name, r.channel_id, r.error) for r in out] == [("a", 0, None), ("a", 1, None), ("b", 0, "empty series")] and out[2].mean is None
+    assert datetime.fromisoformat(local_now()).utcoffset() is not None
+    with pytest.raises(Exception, match="no name"):
+        batch_features(series, ["0_Mean"], names="label").collect()
