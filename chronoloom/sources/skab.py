@@ -42,7 +42,8 @@ def scan_points(
     """One row per point of ``files`` (rel, and what else they have): the files' columns, sample_id, feature_columns, ``t`` (from 0, in the order
     of the lines), ``values`` (a number for each feature column) and ``point_label``. A file is read by as many tasks as it has blocks."""
     root = Store(spark, base_dir)
-    lines = ordered_lines(spark, [f"{root}/{r.rel}" for r in files.select("rel").collect()], by_file=True)
+    rels = sorted({r.rel for r in files.select("rel").collect()})  # a file may be in both splits
+    lines = ordered_lines(spark, [f"{root}/{rel}" for rel in rels], by_file=True)
     lines = lines.withColumn("rel", place_of("path", root.full)).drop("path")
     dropped = [label_col, *[c for c in (time_col, changepoint_col) if c], *drop_columns]
 
