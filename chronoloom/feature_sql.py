@@ -91,3 +91,11 @@ c AS (SELECT sample_id, a, list_sum(list_transform(range(greatest(0, t + (z - 1)
 s AS (SELECT sample_id, a, avg(v) AS mean, avg(v * v) AS square, var_pop(v) AS var, sum(v * v) AS e FROM c GROUP BY sample_id, a),
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id) AS share FROM s)
 SELECT sample_id, {_BY_WIDTH}, round(-sum(CASE WHEN share > 0 THEN share * log2(share) ELSE 0 END) / log2(count(*) FILTER (WHERE share > 0)), 6) AS wavelet_entropy FROM p GROUP BY sample_id"""
+
+#: Welch's density of the events of each type, as one series.
+WELCH_POINTS = """WITH pt AS (SELECT event_type, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, CAST(coalesce(value, 0) AS DOUBLE) AS v FROM events),
+y AS (SELECT event_type, n, t, v / CASE WHEN dev = 0 THEN 1 ELSE dev END AS v FROM (SELECT *, stddev_pop(v) OVER (PARTITION BY event_type) AS dev FROM pt) WHERE n >= 64),
+seg AS (SELECT *, avg(v) OVER (PARTITION BY event_type, a) AS mean, 0.5e0 - 0.5e0 * cos(2 * pi() * (t - a) / 64) AS h FROM (SELECT *, unnest(range(0, n - 63, 32)) AS a FROM y) WHERE t >= a AND t < a + 64),
+wd AS (SELECT event_type, a, k, (pow(sum((v - mean) * h * cos(2 * pi() * ((k * (t - a)) % 64) / 64)), 2) + pow(sum((v - mean) * h * sin(2 * pi() * ((k * (t - a)) % 64) / 64)), 2)) / (100 * sum(h * h)) AS p
+  FROM (SELECT *, unnest(range(0, 33)) AS k FROM seg) GROUP BY event_type, a, k)
+SELECT event_type, k, round(k * 100e0 / 64, 6) AS frequency, round(avg(p) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END, 6) AS power FROM wd GROUP BY event_type, k"""

@@ -21,6 +21,7 @@ from .operators import metrics as M
 from .operators import retrieval as R
 from .operators import selector as S
 from .operators import series as W
+from .operators.long_series import welch_density
 from .operators.positions import with_positions
 from .schema import RetrieverConfig, SelectorConfig
 from .session import shared_folder
@@ -603,6 +604,14 @@ def window_points(spark, sf_dir):
     return wins.select("event_type", "start", "end", "values", L.point_label("y", "ratio", 0.4).alias("label"))
 
 
+@query("welch_points", feature_sql.WELCH_POINTS)
+def welch_points(spark, sf_dir):
+    """The density of the events' values, each type as one series in the order of time."""
+    points = _table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    out = welch_density(with_positions(points, ["ts", "event_id"], by=["event_type"], name="t"), by=["event_type"], size=64)
+    return out.select("event_type", "k", F.round("frequency", 6).alias("frequency"), F.round("power", 6).alias("power"))
+
+
 @query(
     "positions_by_text",
     "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS position FROM orders",

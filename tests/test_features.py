@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.functions.features import statistic_view, with_features
 from chronoloom.functions.groups import ALL_FEATURES, GROUPS, load_group, resolve, snake
@@ -171,3 +172,24 @@ def test_only_what_is_asked_for(spark):
     out = statistic_view(frame(spark, np.linspace(1, 50, 256), np.linspace(2, 100, 256)), ["0_Mean", "0_Variance"])
     assert all(set(r.statistic_view) == {"0_Mean", "0_Variance"} for r in out.collect())
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", [64, 65_536])
+def test_density_of_points(spark, monkeypatch, chunk):
+    """Of tables of points as of whole series."""
+    from chronoloom.operators import series
+    from chronoloom.operators.long_series import welch_density
+
+    monkeypatch.setattr(series, "CHUNK", chunk)
+    rng = np.random.default_rng(2)
+    held = {"a": rng.normal(size=1000) * 3 + 5, "b": np.sin(np.arange(256) / 3.0), "c": np.ones(300), "d": rng.normal(size=20)}
+    points = spark.createDataFrame([(s, t, float(v)) for s, x in held.items() for t, v in enumerate(x)], "s string, t long, value double").repartition(4)
+    got = {}
+    for r in welch_density(points, by=["s"]).collect():
+        got.setdefault(r.s, {})[r.k] = (r.frequency, r.power)
+    assert set(got) == {"a", "b", "c"}
+    for s in got:
+        f, p = Spectrum(held[s]).get("welch")
+        assert np.allclose([got[s][k] for k in range(129)], np.stack([f, p[0]], axis=1), atol=1e-12)
+    with pytest.raises(Exception, match="no value"):
+        welch_density(points.withColumn("value", F.lit(None).cast("double")), by=["s"]).collect()
