@@ -277,7 +277,8 @@ def drop_exact_copies(
 ) -> DataFrame:
     """The documents, all columns as they were, without those that ``find_exact_copies`` drops.
     Texts that the index's filter doesn't hit stay where they are; the others are matched with the
-    rows to keep by digest and id, so that the copies of a text are dealt evenly."""
+    rows to keep by digest and id, so that the copies of a text are dealt evenly. Of rows that share id and text but differ in other columns one
+    is kept, whichever: ids that are to tell rows apart must be unique. An empty table stays empty."""
     index = Copies(docs, id_col, text_col, keep, digest_bytes)
     rows = docs.select(whole_row(docs), column(id_col).alias("__id"), F.coalesce(column(text_col), F.lit("")).alias("__text"))
     sha = F.unhex(F.sha2(F.col("__text").cast("binary"), 256))

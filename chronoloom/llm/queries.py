@@ -25,6 +25,7 @@ from .toxicity import score_severity, train_severity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the words and benchmark items in windows of 10 words that occur. Null texts have no words."""
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -35,36 +36,44 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shards of 256 ids a sequence in the shared folder, in training order; a row a sequence."""
     return write_training_order(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text; learned from documents outside the held-out part. ``und`` for texts without a letter."""
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, train_languages(docs)).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
 def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its class of near copies and how many different texts it is linked with. Texts without words are alone."""
     return near_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the lines and passages that other documents repeat."""
     return find_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the expected severity, by a model of labelled ones."""
     docs = table(spark, sf_dir, "documents")
     return score_severity(docs, train_severity(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids. A null text is its end id."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of each page. A null page has none."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the row of its text that stays, the one with the largest id. A null text is empty."""
     return find_exact_copies(table(spark, sf_dir, "documents"), keep="largest")
 
 

@@ -60,3 +60,41 @@ def test_pipeline(spark, tmp_path):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: len(ids_of(docs[i])) for i in expected}
     assert all(len(words_of((docs[i] or "").encode())) < 101 for i in expected)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `a.b` int, `__text` string, id int, `Doc Id` string"
+
+
+def tables(spark, tmp_path, docs):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", 1, "x", 2, "d") for i, t in docs], ODD)
+    spark.createDataFrame([(i, 1, int(i % 2)) for i in range(40)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, None), (3, "")], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    return frame.repartition(3)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows, ties and clashing column names."""
+    rng = random.Random(5)
+    plain = [(i, " ".join(f"t{rng.randrange(400)}" for _ in range(30)) + (" vile foul" if i % 2 else "")) for i in range(40)]
+    odd = [(None, "alone and without an id"), (None, None), (50, None), (51, ""), (52, "!?"), (53, "long " * 20_000), (54, plain[0][1]), (54, plain[0][1]), (55, "W1 w2 w3 w4 w5 w6 w7 w8 w9 w10 and more")]
+    docs = tables(spark, tmp_path, plain + odd)
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        assert left.schema.simpleString() == docs.schema.simpleString(), name
+        rows = left.collect()
+        assert all((r["row"], r["a.b"], r["__text"], r.id, r["Doc Id"]) == ("r", 1, "x", 2, "d") for r in rows)
+    ids = sorted((r.doc_id for r in rows), key=lambda i: (i is None, i))
+    assert ids.count(54) == 1 and 0 not in ids and 55 not in ids and ids.count(None) == 1
+    assert sum((r.text or "") == "" for r in rows) == 1 and {2, 4, 52, 53, 54} <= set(ids)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(ids) and check(pieces) < 0.03
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    left = docs = tables(spark, tmp_path, [(1, "a b c")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, str(tmp_path))
+        assert left.count() == 0, name
+        if name != "packing":
+            assert left.columns == docs.columns
