@@ -80,25 +80,30 @@ def sliding_windows(sequences: DataFrame, *, size: int, stride: int, rule: str =
     ).withColumn("label", point_label("point_labels", rule, threshold))
 
 
-#: Points of a chunk, besides those that the windows that start in it need of the next one.
-CHUNK = 65_536
+#: Points of a chunk, in windows and at least, besides those that the windows that start in it need of the next one. Each window's row is cut from a copy of its chunk.
+CHUNK_WINDOWS, CHUNK = 2, 512
+
+
+def _chunks(points: DataFrame, *, size: int, stride: int, values: list[str], by: list[str], at: str) -> tuple[DataFrame, int]:
+    """(``by``, __chunk, __points in their order), and how many points lie between the starts of two chunks."""
+    length = max(1, max(CHUNK, CHUNK_WINDOWS * size) // stride) * stride
+    chunk = F.floor(F.col(at) / length)
+    reach = -(-size // length)  # chunks that a window may reach into
+    homes = F.filter(F.sequence(F.greatest(chunk - reach, F.lit(0)), chunk), lambda c: (c == chunk) | (F.col(at) - c * length < length - stride + size))
+    dealt = points.select(*by, F.explode(homes).alias("__chunk"), F.struct(F.col(at).alias("__at"), *values).alias("__point"))
+    return dealt.groupBy(*by, "__chunk").agg(F.array_sort(F.collect_list("__point")).alias("__points")), length
 
 
 def point_windows(points: DataFrame, *, size: int, stride: int, values: list[str], by: list[str], at: str = "t") -> DataFrame:
     """Windows of series that are tables of points, at positions 0, 1, ... of ``at`` for each value of the columns ``by``: those columns, start, end and, for each
     of the columns ``values``, an array of the window's points. A series shorter than a window has none.
 
-    Points are dealt into chunks, each with the first points of the next, so that a series needn't fit a row or a task: a task holds
-    ``CHUNK`` points and ``size`` more.
+    Points are dealt into chunks, each with the first points of the next, so that a series needn't fit a row or a task: a row holds
+    some windows' points.
     """
     positive(size, "size")
     positive(stride, "stride")
-    length = max(1, CHUNK // stride) * stride
-    chunk = F.floor(F.col(at) / length)
-    reach = -(-size // length)  # chunks that a window may reach into
-    homes = F.filter(F.sequence(F.greatest(chunk - reach, F.lit(0)), chunk), lambda c: (c == chunk) | (F.col(at) - c * length < length - stride + size))
-    dealt = points.select(*by, F.explode(homes).alias("__chunk"), F.struct(F.col(at).alias("__at"), *values).alias("__point"))
-    held = dealt.groupBy(*by, "__chunk").agg(F.array_sort(F.collect_list("__point")).alias("__points"))
+    held, length = _chunks(points, size=size, stride=stride, values=values, by=by, at=at)
     offsets = F.sequence(F.lit(0), F.least(F.size("__points") - size, F.lit(length - stride)), F.lit(stride))
     fits = F.size("__points") >= size
     out = held.where(fits).select(*by, "__chunk", "__points", F.explode(offsets).alias("__off"))

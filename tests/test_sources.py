@@ -230,6 +230,16 @@ def test_point_windows(spark, monkeypatch):
         assert got == want
 
 
+def test_rows_of_long_series_stay_small(spark):
+    """A window is cut from a copy of its chunk, which must not grow with the series."""
+    from chronoloom.operators.series import _chunks
+
+    points = spark.range(0, 30_000).select(F.lit("a").alias("s"), F.col("id").alias("t"), F.col("id").cast("double").alias("v"))
+    held, length = _chunks(points, size=60, stride=10, values=["v"], by=["s"], at="t")
+    assert held.selectExpr("max(size(__points))").first()[0] <= length - 10 + 60 < 600
+    assert point_windows(points, size=60, stride=10, values=["v"], by=["s"]).count() == 2995
+
+
 def test_files_are_read_by_many_tasks(spark, tmp_path):
     """A UCR, a .ts and a sensor file of several blocks each, in the order of their lines."""
     lines = [f"{i % 3},{i}.0,{i}.5" for i in range(4000)]
