@@ -96,6 +96,14 @@ def confidence(distance: Column | str) -> Column:
     return 1 / (1 + F.greatest(F.lit(0.0), _col(distance)))
 
 
+def rounded(x: Column | str, places: int = 6) -> Column:
+    """To so many decimals, halves away from zero, as DuckDB has it: a negative number that rounds to zero is -0.0, where Spark's ``round`` gives 0.0."""
+    x, m = _col(x), 10.0**places
+    y = x * m
+    low = F.floor(F.abs(y)).cast("double")
+    return F.when(F.abs(y) < 2.0**52, F.signum(y) * (low + (F.abs(y) - low >= 0.5).cast("double")) / m).otherwise(x)
+
+
 def downsample(x: Column | str, max_len: int | None) -> Column:
     """The values at positions i * (n - 1) / (max_len - 1), halves rounded to even. Shorter arrays, and any
     array where there is no positive ``max_len``, stay; a single value is the first."""

@@ -15,7 +15,7 @@ from . import feature_sql
 from .functions import labels as L
 from .functions import text as X
 from .functions.features import statistic_view, with_features
-from .functions.vectors import downsample, znorm
+from .functions.vectors import downsample, rounded, znorm
 from .operators import gallery as G
 from .operators import metrics as M
 from .operators import retrieval as R
@@ -439,7 +439,7 @@ def gallery_filter(spark, sf_dir):
 )
 def gallery_vectors(spark, sf_dir):
     rows, _ = G.gallery_vectors(channel_gallery(spark, sf_dir))
-    return rows.select("entry_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rows.select("entry_id", F.transform("vector", lambda x: rounded(x)).alias("vector"))
 
 
 @query(
@@ -471,7 +471,7 @@ ALL_PROBES = SelectorConfig(top_k=3, nn_eval=0)
 @query("class_centroids", f"WITH {_Z} SELECT CAST(c AS INT) AS channel_id, label, list_transform(m, lambda x: round(x, 6)) AS centroid FROM cen")
 def class_centroids(spark, sf_dir):
     out = S.class_centroids(S.prepare_channels(channels(spark, sf_dir), ALL_PROBES))
-    return out.select("channel_id", "label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return out.select("channel_id", "label", F.transform("centroid", lambda x: rounded(x)).alias("centroid"))
 
 
 @query("prototype_margin", f"WITH {_Z} SELECT CAST(c AS INT) AS channel_id, round(w, 6) AS within, round(b, 6) AS between, round(score_b, 6) AS score_b FROM sb")
@@ -632,7 +632,7 @@ def gallery_kept_parquet(spark, sf_dir):
     path = f"{shared_folder(spark, 'gallery')}/entries.parquet"
     G.save_gallery(channel_gallery(spark, sf_dir), path)
     rows, _ = G.gallery_vectors(G.load_gallery(spark, path))
-    return rows.select("entry_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rows.select("entry_id", F.transform("vector", lambda x: rounded(x)).alias("vector"))
 
 
 @query("gallery_kept_json", _VECTORS)
@@ -641,7 +641,7 @@ def gallery_kept_json(spark, sf_dir):
     path = f"{shared_folder(spark, 'gallery')}/entries.json"
     G.save_gallery_json(channel_gallery(spark, sf_dir), path)
     rows, _ = G.gallery_vectors(G.load_gallery_json(spark, path))
-    return rows.select("entry_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rows.select("entry_id", F.transform("vector", lambda x: rounded(x)).alias("vector"))
 
 
 @query("index_kept", f"WITH {_CH} SELECT vec_id || '__ch' || c AS entry_id, CAST(vec_id AS VARCHAR) AS sample_id, CAST(label AS VARCHAR) AS label, CAST(c AS INT) AS channel_id, [round(list_max(v), 6), round(list_avg(v), 6), round(list_min(v), 6), round(list_var_pop(v), 6)] AS vector FROM ch")
@@ -650,4 +650,4 @@ def index_kept(spark, sf_dir):
     path = f"{shared_folder(spark, 'index')}/index"
     G.save_index(channel_gallery(spark, sf_dir), path)
     rows, _ = G.load_index(spark, path)
-    return rows.select("entry_id", "sample_id", "label", "channel_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rows.select("entry_id", "sample_id", "label", "channel_id", F.transform("vector", lambda x: rounded(x)).alias("vector"))
