@@ -313,7 +313,7 @@ def downsample_query(spark, sf_dir):
     f"""WITH {_U} SELECT user_id AS sample_id, list_transform(v, lambda x: round((x - list_avg(v)) / CASE WHEN list_var_pop(v) <= 1e-12 THEN 1.0 ELSE sqrt(list_var_pop(v)) END, 6)) AS z FROM u""",
 )
 def znorm_query(spark, sf_dir):
-    return user_series(spark, sf_dir).select("sample_id", F.transform(znorm("values"), lambda x: F.round(x, 6)).alias("z"))
+    return user_series(spark, sf_dir).select("sample_id", F.transform(znorm("values"), lambda x: rounded(x)).alias("z"))
 
 
 # --- features ------------------------------------------------------------------------------------------------
