@@ -2,7 +2,7 @@
 
 Some gallery vectors are pivots. Each entry belongs to the block of its nearest pivot (and channel), and a block keeps the least and
 greatest distance of its entries to the pivot. By the triangle inequality a query is at least d(query, pivot) - greatest, and least - d(query, pivot), from all of
-a block. Each query is compared with its nearest block first; its k-th distance there then says which other blocks can hold a neighbour,
+a block; and the plane between two pivots parts their entries. Each query is compared with its nearest block first; its k-th distance there then says which other blocks can hold a neighbour,
 and only with those is it compared. Cosine distances are bounded on unit vectors, whose distance squared is twice the cosine distance.
 
 Blocks stay what a task holds: a cell of too many entries is several blocks, and the queries of a block that too many ask are dealt out, with a
@@ -16,6 +16,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ if TYPE_CHECKING:
 
 #: At most so many pivots; blocks for each block that the gallery's size asks for.
 PIVOTS, FINER = 2048, 4
+#: Vectors of at most so many dimensions have blocks of so many entries of a channel: few of them are near a query.
+LOW, FEW_ENTRIES = 16, 512
 #: By what bounds and distances may be off.
 SLACK = 4e-9
 ENTRY = ["entry_id", "sample_id", "label", "channel_id", "ord", "v"]
 ASKED = ["query_id", "sample_id", "channel_id", "v"]
 
 
-def _points(search: Search, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def _points(search: Search, vectors: list | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Points whose distances can be bounded, and which vectors have none (of length 0, for cosines)."""
     x = search.prepare(vectors)
     if not np.isfinite(x).all():
@@ -66,9 +69,11 @@ class Blocks:
 
     def __init__(self, gallery: DataFrame, search: Search, chunk: int):
         spark, self.search, self.chunk = gallery.sparkSession, search, chunk
-        n = gallery.count()
+        self.known = None
+        sizes = [r["count"] for r in gallery.groupBy("channel_id").count().collect()]
         most = max(1, min(PIVOTS, chunk // search.width))
-        wanted = min(most, max(1, -(-n * search.width * FINER // chunk)))
+        wanted = -(-max(sizes) // FEW_ENTRIES) if search.width <= LOW else 0
+        wanted = min(most, max(1, wanted, -(-sum(sizes) * search.width * FINER // chunk)))
         chosen = gallery.where("v is not null").orderBy(F.xxhash64("entry_id"), "ord").select("v").limit(wanted).collect()
         points, none = _points(search, [r.v for r in chosen])
         self.pivots = points[~none] if (~none).any() else np.zeros((1, search.width))
@@ -76,7 +81,7 @@ class Blocks:
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x, none_ = _points(search, b.column(5).to_pylist())
+                x, none_ = _points(search, b.column(5))
                 d, off = _apart(x, pivots)
                 cell, r = np.where(none_, -1, d.argmin(axis=1)), d.min(axis=1)
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
@@ -95,20 +100,41 @@ class Blocks:
         key = F.coalesce(dealt.channel_id, F.lit(-1))
         self.entries = dealt.join(places, (key == places.channel) & (dealt.cell == places.of)).select(*ENTRY, "block", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int").alias("part"))
 
-    def bounds(self, asked: list[tuple]) -> np.ndarray:
-        """For (query_id, sample_id, channel_id, vector) rows: the least distance, in the points' space, to each block; infinite for blocks of other channels. Blocks of
+    def bounds(self, asked: pa.RecordBatch) -> np.ndarray:
+        """For rows (query_id, sample_id, channel_id, vector): the least distance, in the points' space, to each block; infinite for blocks of other channels. Blocks of
         entries without a point, and all blocks for queries without one, are at 0."""
-        x, none = _points(self.search, [r[3] for r in asked])
+        x, none = _points(self.search, asked.column(3))
         d, off = _apart(x, self.pivots)
-        d = d[:, np.maximum(self.cell, 0)]
-        out = np.maximum(np.maximum(d - self.high, self.low - d) - off[:, None], 0)
-        out[:, self.cell < 0] = 0
-        out[none] = 0
-        if self.search.config.by_channel:
-            named = np.array([-1 if r[2] is None else r[2] for r in asked])
-            out[(named[:, None] >= 0) & (named[:, None] != self.channel[None])] = np.inf
+        between, beyond = self._between()
+        home = d.argmin(axis=1)
+        named = pc.fill_null(asked.column(2).cast(pa.int32()), -1).to_numpy(zero_copy_only=False) if self.search.config.by_channel else np.full(len(x), -1)
+        out = np.full((len(x), len(self.cell)), np.inf)
+        for c in np.unique(named):
+            rows, cols = np.flatnonzero(named == c), np.arange(len(self.cell)) if c < 0 else np.flatnonzero(self.channel == c)
+            cell, h = np.maximum(self.cell[cols], 0), home[rows]
+            to, own, o = d[np.ix_(rows, cell)], d[rows, h][:, None], off[rows][:, None]
+            ring = np.maximum(to - self.high[cols] - o, self.low[cols] - to - o)
+            # entries of another cell are no nearer to the pivot of the query's cell than to their own
+            apart = between[np.ix_(h, cell)]
+            slack = 4 * (o + beyond[cols]) * (to + own + 2 * np.abs(self.high[cols]) + apart)
+            half = np.divide(to * to - own * own - slack, 2 * apart, out=np.zeros_like(to), where=apart > 0)
+            low = np.maximum(np.maximum(ring, half * (1 - 1e-9) - 1e-12), 0)
+            low[:, self.cell[cols] < 0] = 0
+            low[none[rows]] = 0
+            out[np.ix_(rows, cols)] = low
         return out
 
+    def _between(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of pivots to each other, and by how much those of a block's entries to pivots may be off."""
+        if self.known is None:
+            p = self.pivots - self.pivots.mean(axis=0)
+            far = np.sqrt(np.einsum("ij,ij->i", p, p))
+            apart, off = _apart(self.pivots, self.pivots)
+            at = np.maximum(self.cell, 0)
+            # shorter ones may be nothing but errors
+            self.known = np.where(apart > 1e3 * off.max(), apart, 0), 2 * np.sqrt(2.3e-16 * (p.shape[1] + 4)) * (far[at] + np.abs(self.high) + far.max())
+        return self.known
+
     def near(self, distance: np.ndarray) -> np.ndarray:
         """Distances as those of points, not less."""
         return np.sqrt(2 * distance + SLACK) + SLACK if self.search.config.distance is Distance.COSINE else distance + SLACK * (1 + distance)
@@ -124,8 +150,7 @@ def _pairs(asked: DataFrame, blocks: Blocks, first: bool) -> DataFrame:
             ids = np.array(b.column(0).to_pylist(), dtype=object)
             for lo in range(0, b.num_rows, 1024):
                 some = b.slice(lo, 1024)
-                rows = list(zip(*(some.column(i).to_pylist() for i in range(4)), strict=True))
-                bound = light.bounds(rows)
+                bound = light.bounds(some)
                 if first:
                     # the nearest of those with entries enough, if there is one
                     full = np.where((light.n > light.search.config.top_k) & (light.cell >= 0), bound, np.inf)
@@ -148,13 +173,14 @@ class _Light:
     def __init__(self, blocks: Blocks):
         for name in ("search", "pivots", "channel", "cell", "low", "high", "n"):
             setattr(self, name, getattr(blocks, name))
+        self.known = None
 
-    bounds, near = Blocks.bounds, Blocks.near
+    bounds, near, _between = Blocks.bounds, Blocks.near, Blocks._between
 
 
 def _meet(pairs: DataFrame, asked: DataFrame, blocks: Blocks) -> DataFrame:
     """The best of each pair of query and block."""
-    from .retrieval import FOUND
+    from .retrieval import FOUND, Asked
 
     search = blocks.search
     counts = pairs.groupBy("block").agg(F.ceil(F.count("*") * search.width / blocks.chunk).cast("int").alias("turns"))
@@ -165,11 +191,12 @@ def _meet(pairs: DataFrame, asked: DataFrame, blocks: Blocks) -> DataFrame:
     right = blocks.entries.join(counts, "block").select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(ENTRY)], F.col("block").alias("rb"), F.col("part").alias("rp"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("rt"))
 
     def meet(left_: pa.Table, right_: pa.Table) -> pa.Table:
-        rows = list(zip(*(left_.column(f"q{i}").to_pylist() for i in range(4)), strict=True)) if left_.num_rows else []
         found = []
-        if rows and right_.num_rows:
-            for batch in right_.select([f"g{i}" for i in range(6)]).combine_chunks().to_batches():
-                found += list(search(rows, batch))
+        if left_.num_rows and right_.num_rows:
+            best = Asked(search, left_.select([f"q{i}" for i in range(4)]))
+            for batch in right_.select([f"g{i}" for i in range(6)]).to_batches():
+                best.meet(batch)
+            found = best.result()
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64()]
         return pa.Table.from_batches(found, pa.schema(list(zip(["query_id", *ENTRY[:5], "distance"], kinds, strict=True))))
 
@@ -181,6 +208,7 @@ def pruned_neighbours(asked: DataFrame, gallery: DataFrame, search: Search, *, c
     pairs of the two rounds."""
     blocks = Blocks(gallery, search, chunk)
     asked = asked.select(F.col("query_id").cast("string").alias("query_id"), *ASKED[1:3], F.col("v").cast("array<double>").alias("v"))
+    asked = _kept(asked, "asked")
     home = _pairs(asked, blocks, True)
     found = _kept(_meet(home, asked, blocks), "found")
     k = search.config.top_k

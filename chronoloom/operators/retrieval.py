@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from .quantiles import exact_quantiles
 CHUNK_VALUES = 4_000_000
 #: Rows that are compared at a time.
 ROWS = 512
+#: Neighbours that a task holds, besides the best of each query, before it drops what can't be among these.
+PENDING = 500_000
 #: Distances are compared to so many places, so that ties don't hang on the order of a sum.
 PLACES = 9
 
@@ -127,35 +130,80 @@ class Search:
     weights: np.ndarray | None
     config: RetrieverConfig
 
-    def prepare(self, vectors: list) -> np.ndarray:
-        if any(v is None or len(v) != self.width for v in vectors):
-            raise ValueError("vectors differ in length")
-        x = self.scaling.apply(np.array(vectors, dtype=float).reshape(len(vectors), self.width))
+    def prepare(self, vectors: list | np.ndarray | pa.Array) -> np.ndarray:
+        if isinstance(vectors, pa.Array):
+            lengths = vectors.value_lengths()
+            if lengths.null_count or (len(lengths) and (lengths.to_numpy(zero_copy_only=False) != self.width).any()):
+                raise ValueError("vectors differ in length")
+            vectors = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, self.width)
+        elif not isinstance(vectors, np.ndarray):
+            if any(v is None or len(v) != self.width for v in vectors):
+                raise ValueError("vectors differ in length")
+            vectors = np.array(vectors, dtype=float).reshape(len(vectors), self.width)
+        x = self.scaling.apply(vectors)
         return x * self.weights if self.config.distance is Distance.WEIGHTED_L2 else x
 
-    def __call__(self, asked: list[tuple], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The best of a part of the gallery (entry_id, sample_id, label, channel_id, ord, vector) for (query_id, sample_id, channel_id, vector) rows."""
-        config = self.config
-        ids, samples = [str(r[0]) for r in asked], np.array([r[1] for r in asked], dtype=object)
-        channels, q = np.array([-1 if r[2] is None else r[2] for r in asked]), self.prepare([r[3] for r in asked])
+
+class Asked:
+    """Queries (query_id, sample_id, channel_id, vector) as arrays, and the best of the parts of the gallery (entry_id, sample_id, label, channel_id, ord,
+    vector) that they have met: a task holds the best k of each query and about ``PENDING`` more, however many entries it reads."""
+
+    def __init__(self, search: Search, asked: pa.Table | pa.RecordBatch):
+        self.search, self.k = search, search.config.top_k
+        one = lambda i: asked.column(i).combine_chunks() if isinstance(asked, pa.Table) else asked.column(i)
+        self.ids = one(0).cast(pa.string())
+        samples = one(1).cast(pa.string())
+        self.known = samples.unique()
+        self.samples = pc.index_in(samples, self.known).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.channels = pc.fill_null(one(2).cast(pa.int32()), -1).to_numpy(zero_copy_only=False)
+        self.q = search.prepare(one(3))
+        self.kth = np.full(len(self.q), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
+        self.rows = 0
+
+    def meet(self, b: pa.RecordBatch) -> None:
+        config = self.search.config
         for at in range(0, b.num_rows, 2048):
             some = b.slice(at, 2048)
-            g = self.prepare(some.column(5).to_pylist())
-            sample = np.array(some.column(1).to_pylist(), dtype=object)
-            channel = np.array([-1 if c is None else c for c in some.column(3).to_pylist()])
-            ord_ = np.array(some.column(4).to_pylist(), dtype=np.int64)
+            g = self.search.prepare(some.column(5))
+            sample = pc.fill_null(pc.index_in(some.column(1).cast(pa.string()), self.known), -1).to_numpy(zero_copy_only=False)
+            channel = pc.fill_null(some.column(3).cast(pa.int32()), -1).to_numpy(zero_copy_only=False)
+            ord_ = some.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            told = pa.RecordBatch.from_arrays([some.column(i).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["entry_id", "sample_id", "label", "channel_id", "ord"])
             # a query that names a channel is compared with that channel's entries only
             for c in np.unique(channel) if config.by_channel else [None]:
                 mine = np.arange(len(g)) if c is None else np.flatnonzero(channel == c)
-                theirs = np.arange(len(q)) if c is None else np.flatnonzero((channels == c) | (channels < 0))
+                theirs = np.arange(len(self.q)) if c is None else np.flatnonzero((self.channels == c) | (self.channels < 0))
                 for lo in range(0, len(theirs), ROWS):
                     those = theirs[lo : lo + ROWS]
-                    rows, cols, dist = _nearest(q[those], g[mine], samples[those, None] != sample[mine][None], ord_[mine], config.distance, config.top_k)
-                    take = pa.array(mine[cols], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[those[r]] for r in rows], pa.string()), *(some.column(i).take(take).cast(t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))), pa.array(dist, pa.float64())],
-                        names=["query_id", "entry_id", "sample_id", "label", "channel_id", "ord", "distance"],
-                    )
+                    rows, cols, dist = _nearest(self.q[those], g[mine], self.samples[those, None] != sample[mine][None], ord_[mine], config.distance, self.k)
+                    near = dist <= self.kth[those[rows]] + 2 * 10.0**-PLACES
+                    if near.any():
+                        self.found.append((those[rows[near]], dist[near], told.take(pa.array(mine[cols[near]], pa.int64()))))
+                        self.rows += int(near.sum())
+                if self.rows > len(self.q) * self.k + PENDING:
+                    self.best()
+
+    def best(self) -> None:
+        """Keeps the best k of each query."""
+        if not self.found:
+            return
+        row, dist = (np.concatenate([f[i] for f in self.found]) for i in range(2))
+        told = pa.Table.from_batches([f[2] for f in self.found]).combine_chunks()
+        order = np.lexsort((told.column("ord").to_numpy(), np.round(dist, PLACES), row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = rank < self.k
+        row, order = row[kept], order[kept]
+        dist = dist[order]
+        last = rank[kept] == self.k - 1
+        self.kth[row[last]] = dist[last]
+        self.found = [(row, dist, told.take(pa.array(order)).combine_chunks().to_batches()[0])]
+        self.rows = len(row)
+
+    def result(self) -> list[pa.RecordBatch]:
+        self.best()
+        return [pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), *told.columns, pa.array(dist, pa.float64())], names=["query_id", *told.schema.names, "distance"]) for row, dist, told in self.found]
 
 
 def knn(
@@ -188,8 +236,9 @@ def knn(
         raise ValueError("vectors differ in length")
     few = max(1, CHUNK_VALUES // width)
     # queries that go to all are gathered anyway; one more says that there are too many
-    some = [] if by_pivots else [tuple(r) for r in asked.limit(few + 1).collect()]
-    if not some and not by_pivots:
+    asked = asked.withColumn(vector, F.col(vector).cast("array<double>"))
+    some = None if by_pivots else asked.limit(few + 1).toArrow()
+    if some is not None and not some.num_rows:
         return _ranked(spark.createDataFrame([], FOUND), config.top_k)
     weights = np.sqrt(np.array(config.weights)) if config.weights else None
     if weights is not None and config.distance is Distance.WEIGHTED_L2 and len(weights) != width:
@@ -197,17 +246,21 @@ def knn(
     gallery = gallery.select("entry_id", "sample_id", "label", "channel_id", "ord", F.col(vector).cast("array<double>").alias("v"))
 
     search = Search(width, scaling, weights, config)
-    if by_pivots or (by_pivots is None and len(some) > few):
+    if some is None or (by_pivots is None and some.num_rows > few):
         from .pivots import pruned_neighbours
 
         return _ranked(pruned_neighbours(asked.withColumnRenamed(vector, "v"), gallery, search, chunk=CHUNK_VALUES), config.top_k)
 
-    held = spark.sparkContext.broadcast(some if len(some) <= few else [tuple(r) for r in asked.collect()])
+    held = spark.sparkContext.broadcast(some if some.num_rows <= few else asked.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
         for batch in batches:
-            if held.value and batch.num_rows:
-                yield from search(held.value, batch)
+            if batch.num_rows:
+                best = best or Asked(search, held.value)
+                best.meet(batch)
+        if best:
+            yield from best.result()
 
     return _ranked(gallery.mapInArrow(scan, FOUND), config.top_k)
 
