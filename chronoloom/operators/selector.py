@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import downsample, l2_distance, znorm
-from ..schema import Distance, SelectorConfig
+from ..schema import Distance, RetrieverConfig, SelectorConfig
 from ..session import shared_folder
 from ..sources.files import read_json, write_json
 from .metrics import zscores
-from .retrieval import PLACES, ROWS, _nearest
+from .pivots import LOW
+from .retrieval import PLACES, ROWS, _nearest, knn
 
 
 def prepare_channels(series: DataFrame, config: SelectorConfig) -> DataFrame:
@@ -64,6 +65,8 @@ def probe_ids(n: int, channel_id: int, config: SelectorConfig) -> list[int] | No
 BLOCK_ROWS, BLOCK_VALUES = 4096, 4_000_000
 #: Segments whose means bound distances, of longer series, and the share of pairs from which on all are computed.
 SEGMENTS, LONG, MANY = (8, 32), 64, 0.2
+#: Short series of more samples than this in a channel are dealt into cells, so that a sample meets only those that can hold its neighbour.
+CELLS_FROM = 4096
 _BEST = "channel_id int, idx long, label int, distance double, other long, other_label int"
 
 
@@ -138,13 +141,32 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, names=["channel_id", "idx", "label", "distance", "other", "other_label"])
 
 
+def _hits_by_pairs(rows: DataFrame) -> DataFrame:
+    """(channel_id, hits) of the probes, by pairs of blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("channel_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "idx", "label", "probe", "x")
+    found = dealt.groupBy("channel_id", "i", "j").applyInArrow(_compare, _BEST)
+    best = found.groupBy("channel_id", "idx", "label").agg(F.min(F.struct(F.round("distance", PLACES).alias("d"), "other", F.col("other_label").alias("l"))).alias("best"))
+    return best.groupBy("channel_id").agg(F.sum((F.col("best.l") == F.col("label")).cast("int")).alias("hits"))
+
+
+def _hits_by_cells(rows: DataFrame) -> DataFrame:
+    """(channel_id, hits) of the probes, by cells of the channels' samples. Samples at the same position are not each other's neighbours."""
+    idx, label = F.col("idx").cast("string"), F.col("label").cast("string")
+    gallery = rows.select(idx.alias("entry_id"), idx.alias("sample_id"), label.alias("label"), "channel_id", F.col("idx").alias("ord"), F.col("x").alias("vector"))
+    asked = rows.where("probe").select(F.concat_ws("#", "channel_id", idx, label).alias("query_id"), idx.alias("sample_id"), "channel_id", F.col("x").alias("vector"))
+    near = knn(asked, gallery, RetrieverConfig("l2", "none", 1), by_pivots=True)
+    told = F.split("query_id", "#")
+    return near.groupBy(told[0].cast("int").alias("channel_id")).agg(F.sum((F.col("label") == told[2]).cast("int")).alias("hits"))
+
+
 def one_nn_accuracy(prepared: DataFrame, config: SelectorConfig) -> DataFrame:
     """(channel_id, score_c): the share of probed samples whose nearest other sample has their label; the lower
-    position wins ties. Probes are ``nn_eval`` of a channel, or all of them. Blocks of a channel's samples meet in pairs, a pair a
-    task; only the nearest of each pair leaves it. A sample without others counts as missed."""
+    position wins ties. Probes are ``nn_eval`` of a channel, or all of them. Many short series are looked up among cells (``pivots``); else blocks of a channel's
+    samples meet in pairs, a pair a task, and only the nearest of each pair leaves it. A sample without others counts as missed."""
     spark = prepared.sparkSession
     # a row for each channel
-    counts = prepared.groupBy("channel_id").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).collect()
+    counts = prepared.groupBy("channel_id").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width"), F.min(F.size("x")).alias("least")).collect()
     sizes = [(r.channel_id, max(1, -(-r.n // max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, r.width or 1)))))) for r in counts]
     drawn = [(r.channel_id, i) for r in counts for i in (probe_ids(r.n, r.channel_id, config) or ())]
     rows = prepared.join(spark.createDataFrame(sizes, "channel_id int, blocks int"), "channel_id")
@@ -154,11 +176,11 @@ def one_nn_accuracy(prepared: DataFrame, config: SelectorConfig) -> DataFrame:
         rows = rows.join(named, ["channel_id", "idx"], "left").withColumn("probe", F.coalesce("drawn", F.col("channel_id").isin(*whole) if whole else F.lit(False)))
     else:
         rows = rows.withColumn("probe", F.lit(True))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("idx"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("channel_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "idx", "label", "probe", "x")
-    found = dealt.groupBy("channel_id", "i", "j").applyInArrow(_compare, _BEST)
-    best = found.groupBy("channel_id", "idx", "label").agg(F.min(F.struct(F.round("distance", PLACES).alias("d"), "other", F.col("other_label").alias("l"))).alias("best"))
-    hits = best.groupBy("channel_id").agg(F.sum((F.col("best.l") == F.col("label")).cast("int")).alias("hits"))
+    widths = {w for r in counts for w in (r.width, r.least)}
+    if len(widths) == 1 and None not in widths and 0 < max(widths) <= LOW and max((r.n for r in counts), default=0) > CELLS_FROM:
+        hits = _hits_by_cells(rows)
+    else:
+        hits = _hits_by_pairs(rows)
     probes = [(r.channel_id, len(probe_ids(r.n, r.channel_id, config) or range(r.n))) for r in counts]
     asked = spark.createDataFrame(probes, "channel_id int, probes long")
     return asked.join(hits, "channel_id", "left").select("channel_id", (F.coalesce("hits", F.lit(0)) / F.col("probes")).alias("score_c"))

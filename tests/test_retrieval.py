@@ -498,3 +498,53 @@ def test_no_job_only_counts(spark, tmp_path):
     finally:
         type(data).count = real
     assert not seen and out.num_train == 24 and out.num_query == 8
+
+
+def test_a_task_holds_the_best_only(monkeypatch):
+    """However many entries a task reads, it holds the best of each query and ``PENDING`` more."""
+    import pyarrow as pa
+
+    from chronoloom.operators import retrieval as R
+    from chronoloom.schema import RetrieverConfig
+
+    monkeypatch.setattr(R, "PENDING", 200)
+    rng = np.random.default_rng(5)
+    g, q = rng.normal(size=(20_000, 6)), rng.normal(size=(40, 6))
+    ids = [str(i) for i in range(len(g))]
+    entries = pa.record_batch([ids, ids, ids, pa.array([0] * len(g), pa.int32()), pa.array(range(len(g)), pa.int64()), pa.array(g.tolist())], names=list("abcdef"))
+    asked = pa.table({"q": [f"q{i}" for i in range(40)], "s": ids[:40], "c": pa.array([None] * 40, pa.int32()), "v": pa.array(q.tolist())})
+    best = R.Asked(R.Search(6, R.Scaling(), None, RetrieverConfig("l2", "none", 5)), asked)
+    most = 0
+    for lo in range(0, len(g), 2048):
+        best.meet(entries.slice(lo, 2048))
+        most = max(most, best.rows)
+    assert most <= 40 * 5 + 200
+    (out,) = best.result()
+    assert out.num_rows == 200
+    for i in range(40):
+        d = np.linalg.norm(g - q[i], axis=1)
+        d[i] = np.inf  # its own sample
+        assert [e for e, n in zip(out["entry_id"].to_pylist(), out["query_id"].to_pylist()) if n == f"q{i}"] == [str(j) for j in np.argsort(d)[:5]]
+
+
+def test_vectors_of_few_dimensions_meet_few_cells(spark, monkeypatch):
+    """Most pairs of sample and cell are left out, and the shares of hits are those of all pairs."""
+    from chronoloom.operators import pivots, selector
+    from chronoloom.operators.retrieval import Scaling, Search
+    from chronoloom.schema import RetrieverConfig, SelectorConfig
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 4)).round(2)
+    x[:300] = x[300:600]  # ties
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "i long, v array<double>")
+    gallery = rows.selectExpr("string(i) as entry_id", "string(i) as sample_id", "string(i % 3) as label", "0 as channel_id", "i as ord", "v")
+    told = {}
+    asked = gallery.selectExpr("entry_id as query_id", "sample_id", "channel_id", "v")
+    pivots.pruned_neighbours(asked, gallery, Search(4, Scaling(), None, RetrieverConfig("l2", "none", 1)), chunk=4_000_000, told=told)
+    assert told["blocks"] >= 12 and told["first"].count() + told["second"].count() < 0.6 * told["blocks"] * 6000
+    prepared = rows.selectExpr("int(i % 2) as channel_id", "i as idx", "int(i % 3) as label", "v as x")
+    config = SelectorConfig(top_k=3, nn_eval=0)
+    monkeypatch.setattr(selector, "CELLS_FROM", 100)
+    cells = sorted(selector.one_nn_accuracy(prepared, config).collect())
+    monkeypatch.setattr(selector, "CELLS_FROM", 10**9)
+    assert cells == sorted(selector.one_nn_accuracy(prepared, config).collect())
